@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .bpe import encode_documents
+from .common import id_fold, table
 from .exact_dedup import exact_duplicates
+from .langid import identify_languages, train_language_model
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_fold("doc_id", 3) == 1
+    model = train_language_model(docs.where(~held_out))
+    return identify_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_positions")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +41,8 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
