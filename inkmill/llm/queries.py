@@ -11,6 +11,7 @@ from .bpe import encode_documents
 from .common import id_fold, table
 from .exact_dedup import exact_duplicates
 from .langid import identify_languages, train_language_model
+from .partenum import jaccard_components
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
