@@ -217,7 +217,7 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256, and with_ids also token_ids and decoded.
+    """id, n_tokens, ids_sha256, decoded_sha256, and with_ids also token_ids.
 
     `tokenizer` is the path of a tokenizers JSON file of the kind of WordBPE, on every worker.
     Null text counts as empty and has no tokens. Rows come out one for one, repeated ids included;
@@ -225,7 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
     schema = T.StructType([docs.schema[id_col]]).add("n_tokens", T.LongType()).add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
     if with_ids:
-        schema = schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+        schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
     slice_rows = 256
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         for whole in batches:
             for lo in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(lo, slice_rows)
-                counts, digests, decoded, ids_out, texts_out = [], [], [], [], []
+                counts, digests, decoded, ids_out = [], [], [], []
                 for ids in encoder.encode(x.as_py() for x in batch.column(1)):
                     text = encoder.model.decode(ids)
                     counts.append(len(ids) // 4)
@@ -241,10 +241,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
                     if with_ids:
                         ids_out.append(np.frombuffer(ids, "<u4").astype(np.int32))
-                        texts_out.append(text)
                 new = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    new += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts_out, pa.string())]
+                    new.append(pa.array(ids_out, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=schema.names)
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(encode, schema)

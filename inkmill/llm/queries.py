@@ -11,6 +11,7 @@ from .bpe import encode_documents
 from .common import id_fold, table
 from .exact_dedup import exact_duplicates
 from .langid import identify_languages, train_language_model
+from .mixing import mixture, mixture_sql
 from .partenum import jaccard_components
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +37,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -50,8 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    "op10_mixing": mixture_sql(),
 }
