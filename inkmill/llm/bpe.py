@@ -181,8 +181,8 @@ class Encoder:
                 try:
                     out.append(b"".join(map(self.memo.__getitem__, words)))
                 except KeyError:  # the memo was emptied meanwhile
-                    self._learn(set(words) - self.memo.keys())
-                    self._learn(set(words) - self.memo.keys())
+                    self._learn(set(words).difference(self.memo))
+                    self._learn(set(words).difference(self.memo))
                     out.append(b"".join(map(self.memo.__getitem__, words)))
         return b"".join(out)
 
@@ -197,7 +197,7 @@ class Encoder:
             for part in parts:
                 if not isinstance(part, int):
                     count += len(part)
-                    new.update(set(part) - self.memo.keys())
+                    new.update(set(part).difference(self.memo))
             if len(new) > MEMO_WORDS // 8 or count > 2_000_000:
                 self._learn(new)
                 yield from map(self._joined, held)
