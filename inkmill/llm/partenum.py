@@ -12,9 +12,9 @@ of them that are similar share one of those. A set joins the band above too if i
 Signatures travel packed: an input task sends one row of sorted byte arrays to each partition, about
 nine bytes a signature. Groups of up to PAIRWISE sets with one signature give all their pairs. A
 larger group gives its rows; its sets are first compared with one pivot, and once components are
-known, only pairs across components are compared, those that a 256-bit parity sketch can't rule out
-(each differing element flips one bit, so the bits that differ never outnumber the elements).
-Every candidate is verified on the whole sets. Equal sets are one class from the start.
+known, only pairs across components are compared. Candidates that a 2,048-bit parity sketch rules
+out go first (each differing element flips one bit, so the bits that differ never outnumber the
+elements); the rest are verified on the whole sets. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ PAIRWISE = 8
 SLACK = 0.22
 GROWTH = 1.5
 FLUSH = 4_000_000
+SKETCH = 2048
 
 
 def _bands(most: int) -> list[tuple[int, int, int, int]]:
@@ -62,39 +63,37 @@ def _class_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (mix(key + sizes.astype(U64)) >> U64(1)).astype(np.int64)
 
 
-def _per_document(id_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in words_of(batch.column(1), lower=True):
-                hashes, bounds = shingle_sets(words)
-                ids = batch.column(0).slice(words.first, words.texts)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(bounds), pa.int64()), pa.array(_class_keys(hashes, bounds))], names=[id_col, "n_shingles", "set_key"]
-                )
-
-    return run
+def _sketches(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per set the parity of its elements in each of SKETCH hash buckets, as longs."""
+    at = owner * SKETCH + (mix(hashes ^ U64(0xC2B2AE35)) % U64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
-def _sketches(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    bits = np.zeros((n, 256), np.uint8)
-    flat = np.bincount(owner * 256 + (mix(hashes ^ U64(0xC2B2AE35)) & U64(255)).astype(np.int64), minlength=n * 256)
-    bits[:] = (flat & 1).reshape(n, 256)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words in words_of(batch.column(0), lower=True):
+        for words in words_of(batch.column(1), lower=True):
             hashes, bounds = shingle_sets(words)
             sizes = np.diff(bounds)
             sketch = _sketches(hashes, np.repeat(np.arange(words.texts), sizes), words.texts)
-            sets = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(hashes.view(np.int64))).cast(pa.list_(pa.int64()))
+            step = np.arange(words.texts + 1) * sketch.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_class_keys(hashes, bounds)), sets, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4))],
-                names=["set_key", "hashes", "s0", "s1", "s2", "s3"],
+                [batch.column(0).slice(words.first, words.texts), pa.array(sizes, pa.int64()), pa.array(_class_keys(hashes, bounds)), _lists(sketch.ravel(), step)],
+                names=["id", "n_shingles", "set_key", "sketch"],
             )
 
 
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words in words_of(batch.column(0), lower=True):
+            hashes, bounds = shingle_sets(words)
+            yield pa.RecordBatch.from_arrays([pa.array(_class_keys(hashes, bounds)), _lists(hashes.view(np.int64), bounds)], names=["set_key", "hashes"])
+
+
 def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, owning set) of all the sets' signatures."""
     sizes = np.diff(bounds)
@@ -238,14 +237,31 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the candidate pairs of set keys, those that link."""
-    one = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y"))
-    x, y = F.size("x"), F.size("y")
-    near = (4 * F.least(x, y) >= 3 * F.greatest(x, y))
-    both = pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_verified, "a long, b long"))
+def _possible(a: str, b: str):
+    """Whether two classes, in columns n_x and sketch_x, can be similar."""
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    flips = F.aggregate(F.zip_with(f"sketch_{a}", f"sketch_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * flips <= n + m)
+
+
+def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The candidate pairs that sizes and sketches can't rule out."""
+    one, two = (classes.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    return materialize(pairs.join(one, "a").join(two, "b").where(_possible("a", "b")).select("a", "b"))
+
+
+def _links(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
+    """Of the candidate pairs of set keys, those that link; only their sets are built, one text each."""
+    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+    wanted = materialize(wanted.join(classes, "set_key").select("first"))
+    texts = own.join(wanted, own["id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
+    sets = materialize(texts.mapInArrow(_full_sets, "set_key long, hashes array<long>"))
+    one = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x")).dropDuplicates(["a"])
+    two = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y")).dropDuplicates(["b"])
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    links = materialize(both.mapInArrow(_verified, "a long, b long"))
+    release(sets), release(wanted)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,12 +271,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its one shingle. Null, empty and wordless texts have no shingles and link with nothing. Rows
     come out one for one; repeated rows are copies of each other. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.LongType())])
-    per_doc = materialize(own.mapInArrow(_per_document("id"), schema))
-    classes = materialize(per_doc.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("first")))
+    schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.ArrayType(T.LongType()))
+    per_doc = materialize(own.mapInArrow(_per_document, schema))
+    classes = per_doc.where("n_shingles > 0").groupBy("set_key")
+    classes = materialize(classes.agg(F.min("id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
 
     packed = own.select("text").mapInArrow(_packed(parts), "part int, sig binary, high binary, at binary, keys binary")
     found = materialize(packed.repartition(parts, "part").mapInArrow(_groups, "kind int, a long, b long"))
@@ -269,40 +285,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivots = materialize(large.groupBy("group").agg(F.min("set_key").alias("pivot")))
     stars = large.join(pivots, "group").where("pivot <> set_key").select(F.col("pivot").alias("a"), F.col("set_key").alias("b"))
     pairs = materialize(small.union(stars).distinct())
-
-    # The sets of candidates only, each from one of its documents.
-    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    wanted = wanted.join(classes, "set_key").select("first")
-    texts = own.join(wanted, own["id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets, "set_key long, hashes array<long>, s0 long, s1 long, s2 long, s3 long")
-    sets = materialize(sets.dropDuplicates(["set_key"]))
-    links = _links(pairs, sets)
+    links = _links(_sifted(pairs, classes), classes, own)
     roots = components(links)
 
     label = F.coalesce("root", "set_key").alias("root")
-    rows = large.join(roots, large["set_key"] == roots["node"], "left").select("group", "set_key", label)
-    rows = materialize(rows)
+    rows = materialize(large.join(roots, large["set_key"] == roots["node"], "left").select("group", "set_key", label))
     mixed = materialize(rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group"))
     if not mixed.isEmpty():
-        left = rows.join(mixed, "group").join(sets, "set_key").select("group", "set_key", "root", F.size("hashes").alias("n"), "s0", "s1", "s2", "s3")
-        left = materialize(left)
-        one, two = (left.select("group", *(F.col(c).alias(c + x) for c in left.columns[1:])) for x in ("_a", "_b"))
-        flips = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-        can = (F.col("set_key_a") < F.col("set_key_b")) & (F.col("root_a") != F.col("root_b")) & (7 * flips <= F.col("n_a") + F.col("n_b"))
-        can = can & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
-        across = one.join(two, (one["group"] == two["group"]) & can).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct()
+        left = materialize(rows.join(mixed, "group").join(classes, "set_key").select("group", "set_key", "root", "n", "sketch"))
+        one, two = (left.select(*(F.col(c).alias(f"{c}_{x}") for c in left.columns)) for x in "ab")
+        apart = F.expr("set_key_a < set_key_b AND root_a <> root_b") & _possible("a", "b")
+        across = one.join(two, (F.col("group_a") == F.col("group_b")) & apart).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct()
         across = materialize(across.join(pairs, ["a", "b"], "left_anti"))
         if not across.isEmpty():
-            roots = components(links.union(_links(across, sets)))
+            roots = components(links.union(_links(across, classes, own)))
+        release(left), release(across)
 
-    members = classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "first", label)
-    members = materialize(members)
+    members = materialize(classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "first", label))
     least = materialize(members.groupBy("root").agg(F.min("first").alias("least")))
     named = materialize(members.join(least, "root").select("set_key", "least"))
-    out = per_doc.join(named, "set_key", "left")
+    for x in (classes, found, pivots, pairs, rows, mixed, links, members, least):
+        release(x)
+    out = per_doc.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least"))
-    for x in (classes, found, pivots, pairs, sets, rows, mixed):
-        release(x) if x is not named else None
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
 
 
