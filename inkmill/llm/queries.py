@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import id_fold, table
@@ -14,6 +15,7 @@ from .exact_dedup import exact_duplicates
 from .langid import identify_languages, train_language_model
 from .mixing import mixture, mixture_sql
 from .partenum import jaccard_components
+from .quality import quality_scores, train_quality_model
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,6 +31,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_fold("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels")
+    model = train_quality_model(docs, labels.where(~held_out))
+    out = quality_scores(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -58,6 +68,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_embedding_dedup": op8_embedding_dedup,
