@@ -16,6 +16,7 @@ from .langid import identify_languages, train_language_model
 from .mixing import mixture, mixture_sql
 from .partenum import jaccard_components
 from .quality import quality_scores, train_quality_model
+from .substring_dedup import remove_repeats
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,6 +49,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op10_mixing": op10_mixing,
 }

@@ -46,10 +46,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of some consecutive texts: hash, and the first word of each text in `bounds` (n + 1)."""
+    """Words of some consecutive texts: hash and byte range of each, and each text's first word.
 
-    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, first: int):
-        self.hashes, self.bounds, self.first = hashes, bounds, first
+    bounds has one more entry than texts; data holds the texts' bytes, text i from starts[i] on.
+    """
+
+    def __init__(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, bounds: np.ndarray, data: np.ndarray, starts: np.ndarray, first: int):
+        self.hashes, self.begin, self.end, self.bounds = hashes, begin, end, bounds
+        self.data, self.starts, self.first = data, starts, first
 
     @property
     def texts(self) -> int:
@@ -60,22 +64,24 @@ class Words:
         return np.repeat(np.arange(self.texts), np.diff(self.bounds))
 
 
-def _stretch(data: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and byte positions of the words in data; starts: where texts begin in it."""
+def _stretch(data: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of the words in data; starts: where texts begin in it."""
+    if not len(data):
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
     word = _WORD[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[starts] = True
     before = np.zeros(len(data), bool)
     before[1:] = word[:-1]
-    before[starts] = False
+    before &= ~cut[:-1]
     begin = np.flatnonzero(word & ~before)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[starts] = True
     after = np.zeros(len(data), bool)
     after[:-1] = word[1:] & ~cut[1:-1]
     end = np.flatnonzero(word & ~after) + 1
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64)), begin
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64)), begin, end
 
 
 def words_of(texts: pa.Array, lower: bool, most_bytes: int = STRETCH) -> Iterator[Words]:
@@ -92,18 +98,17 @@ def words_of(texts: pa.Array, lower: bool, most_bytes: int = STRETCH) -> Iterato
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + most_bytes, "right")) - 1)
-        data = raw[bounds[lo] : bounds[hi]]
+        data, starts = raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
         if hi == lo + 1 and len(data) > 2 * most_bytes:
-            hashes = np.concatenate([h for h, _ in _long(data, lower, most_bytes)])
-            yield Words(hashes, np.array([0, len(hashes)]), lo)
+            parts = list(_long(data, lower, most_bytes))
+            hashes, begin, end = (np.concatenate([p[i] for p in parts]) for i in range(3))
         else:
-            starts = bounds[lo:hi] - bounds[lo]
-            hashes, begin = _stretch(data, starts[starts < len(data)], lower) if len(data) else (np.empty(0, U64), np.empty(0, np.int64))
-            yield Words(hashes, np.append(np.searchsorted(begin, starts), len(begin)), lo)
+            hashes, begin, end = _stretch(data, starts, lower)
+        yield Words(hashes, begin, end, np.searchsorted(begin, starts), data, starts, lo)
         lo = hi
 
 
-def _long(data: np.ndarray, lower: bool, step: int) -> Iterator[tuple[np.ndarray, int]]:
+def _long(data: np.ndarray, lower: bool, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """One long text in stretches that end at white space, however far that is."""
     lo = 0
     while lo < len(data):
@@ -114,10 +119,28 @@ def _long(data: np.ndarray, lower: bool, step: int) -> Iterator[tuple[np.ndarray
                 hi += int(gap[0])
                 break
             hi = min(len(data), hi + step)
-        yield _stretch(data[lo:hi], np.array([0]), lower)[0], lo
+        hashes, begin, end = _stretch(data[lo:hi], np.array([0]), lower)
+        yield hashes, begin + lo, end + lo
         lo = hi
 
 
+def all_words(texts: pa.Array, lower: bool) -> Words:
+    """The words of a whole (bounded) string array at once."""
+    parts = list(words_of(texts, lower))
+    if not parts:
+        none = np.empty(0, np.int64)
+        return Words(np.empty(0, U64), none, none, np.zeros(1, np.int64), np.empty(0, np.uint8), np.zeros(1, np.int64), 0)
+    bytes_at = np.cumsum([0, *(len(p.data) for p in parts)])
+    words_at = np.cumsum([0, *(len(p.hashes) for p in parts)])
+    joined = lambda get: np.concatenate([get(p) for p in parts])
+    shifted = lambda get, at: np.concatenate([get(p) + o for p, o in zip(parts, at)])
+    return Words(
+        joined(lambda p: p.hashes), shifted(lambda p: p.begin, bytes_at), shifted(lambda p: p.end, bytes_at),
+        np.append(shifted(lambda p: p.bounds[:-1], words_at), words_at[-1]), joined(lambda p: p.data),
+        np.append(shifted(lambda p: p.starts[:-1], bytes_at), bytes_at[-1]), 0,
+    )
+
+
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """The hash of every `size` consecutive words (of one array, text borders not heeded)."""
     n = len(hashes) - size + 1
