@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
@@ -20,11 +20,11 @@ from .textbytes import U64
 BUCKETS_PER_PARTITION = 4
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, id, text) with null text as empty."""
+def bucketed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(bucket, id, text, more...) with null text as empty."""
     count = BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(count)).cast("int").alias("bucket"), F.col(id_col).alias("id"), text.alias("text"))
+    return docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(count)).cast("int").alias("bucket"), F.col(id_col).alias("id"), text.alias("text"), *more)
 
 
 def partition_slices(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:

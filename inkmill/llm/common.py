@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,12 @@ def release(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when the driver next runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, shuffle_partitions
+from .common import materialize, release, shuffle_partitions, sweep
 from .components import components
 from .textbytes import U64, mix, shingle_sets, words_of
 
@@ -63,11 +63,31 @@ def _class_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (mix(key + sizes.astype(U64)) >> U64(1)).astype(np.int64)
 
 
-def _sketches(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Per set the parity of its elements in each of SKETCH hash buckets, as longs."""
-    at = owner * SKETCH + (mix(hashes ^ U64(0xC2B2AE35)) % U64(SKETCH)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH)
-    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+def _sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set the parity of its elements in each of m hash buckets, m a power of two from SKETCH up."""
+    out, low = [], (mix(hashes ^ U64(0xC2B2AE35)) & U64(0x7FFFFFFF)).astype(np.int64)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        m = max(SKETCH, 1 << (2 * (b - a) - 1).bit_length()) if b > a else SKETCH
+        out.append(np.packbits((np.bincount(low[a:b] & (m - 1), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def _flips(a: bytes, b: bytes) -> int:
+    """Buckets whose parity differs; the longer sketch is folded, as its buckets are residues."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, n_a, n_b, sketch_a, sketch_b), the pairs that differ in few enough buckets."""
+    for batch in batches:
+        n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+        keep = pa.array([7 * _flips(p, q) <= i + j for i, j, p, q in zip(n, m, x, y)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
 def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -79,10 +99,8 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for words in words_of(batch.column(1), lower=True):
             hashes, bounds = shingle_sets(words)
             sizes = np.diff(bounds)
-            sketch = _sketches(hashes, np.repeat(np.arange(words.texts), sizes), words.texts)
-            step = np.arange(words.texts + 1) * sketch.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(words.first, words.texts), pa.array(sizes, pa.int64()), pa.array(_class_keys(hashes, bounds)), _lists(sketch.ravel(), step)],
+                [batch.column(0).slice(words.first, words.texts), pa.array(sizes, pa.int64()), pa.array(_class_keys(hashes, bounds)), pa.array(_sketches(hashes, bounds), pa.binary())],
                 names=["id", "n_shingles", "set_key", "sketch"],
             )
 
@@ -237,17 +255,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
-def _possible(a: str, b: str):
-    """Whether two classes, in columns n_x and sketch_x, can be similar."""
-    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
-    flips = F.aggregate(F.zip_with(f"sketch_{a}", f"sketch_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * flips <= n + m)
-
-
 def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The candidate pairs that sizes and sketches can't rule out."""
     one, two = (classes.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    return materialize(pairs.join(one, "a").join(two, "b").where(_possible("a", "b")).select("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").where(_NEAR_SIZES)
+    return materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sift, "a long, b long"))
+
+
+_NEAR_SIZES = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
 
 
 def _links(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
@@ -256,6 +271,8 @@ def _links(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
     wanted = materialize(wanted.join(classes, "set_key").select("first"))
     texts = own.join(wanted, own["id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_full_sets, "set_key long, hashes array<long>"))
+    del texts
+    sweep(own.sparkSession)
     one = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x")).dropDuplicates(["a"])
     two = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y")).dropDuplicates(["b"])
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -273,13 +290,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     parts = shuffle_partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.ArrayType(T.LongType()))
+    schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.BinaryType())
     per_doc = materialize(own.mapInArrow(_per_document, schema))
     classes = per_doc.where("n_shingles > 0").groupBy("set_key")
     classes = materialize(classes.agg(F.min("id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
 
     packed = own.select("text").mapInArrow(_packed(parts), "part int, sig binary, high binary, at binary, keys binary")
     found = materialize(packed.repartition(parts, "part").mapInArrow(_groups, "kind int, a long, b long"))
+    del packed
+    sweep(docs.sparkSession)
     small = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("set_key"))
     pivots = materialize(large.groupBy("group").agg(F.min("set_key").alias("pivot")))
@@ -294,8 +313,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not mixed.isEmpty():
         left = materialize(rows.join(mixed, "group").join(classes, "set_key").select("group", "set_key", "root", "n", "sketch"))
         one, two = (left.select(*(F.col(c).alias(f"{c}_{x}") for c in left.columns)) for x in "ab")
-        apart = F.expr("set_key_a < set_key_b AND root_a <> root_b") & _possible("a", "b")
-        across = one.join(two, (F.col("group_a") == F.col("group_b")) & apart).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct()
+        apart = (F.col("group_a") == F.col("group_b")) & F.expr(f"set_key_a < set_key_b AND root_a <> root_b AND {_NEAR_SIZES}")
+        across = one.join(two, apart).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b")
+        across = across.mapInArrow(_sift, "a long, b long").distinct()
         across = materialize(across.join(pairs, ["a", "b"], "left_anti"))
         if not across.isEmpty():
             roots = components(links.union(_links(across, classes, own)))
