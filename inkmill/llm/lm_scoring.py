@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import bucketed, packed, partition_slices, spread, unpacked
-from .common import materialize, release, shuffle_partitions
+from .common import materialize, release, shuffle_partitions, sweep
 from .textbytes import U64, Words, all_words, mix, words_of
 
 BASE = 1.5
@@ -81,23 +81,16 @@ class Segment:
             yield ((a + U64(i) * b) % U64(self.size)).astype(np.int64)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key: the last before the first that is missing."""
         out = np.zeros(len(keys), np.int64)
         left, q = np.arange(len(keys)), 1
         while len(left):
+            hit = np.ones(len(left), bool)
             for at in self._places(keys[left], q):
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                left, at = left[hit], None
-                if not hit.all():
-                    break
-            else:
-                out[left], q = q, q + 1
-                continue
-            # some keys missed; probe the remaining hash functions for the others
-            ok = np.ones(len(left), bool)
-            for at in self._places(keys[left], q):
-                ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            left = left[ok]
-            out[left], q = q, q + 1
+                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            left = left[hit]
+            out[left] = q
+            q += 1
         return out
 
 
@@ -185,8 +178,8 @@ def _asked(parts: int):
     """A bucket's distinct filter keys by partition, for segments that are not broadcast."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = _filter_keys(tokens_of(all_words(table.column("text").combine_chunks(), lower=True))[0])[0]
-        order, slices = partition_slices(_part_key(keys), parts)
+        keys, raw, _, _ = _filter_keys(tokens_of(all_words(table.column("text").combine_chunks(), lower=True))[0])
+        order, slices = partition_slices(raw, parts)
         keys, bucket = keys[order], table.column("bucket")[0].as_py()
         return pa.table({
             "part": pa.array([p for p, _, _ in slices], pa.int32()), "bucket": pa.array([bucket] * len(slices), pa.int32()),
@@ -207,16 +200,12 @@ def _told(asked: pa.Table, segments: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _filter_keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys as the filter holds them (pairs inverted), and where each token's word and pair are."""
+def _filter_keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys as the filter holds them (pairs inverted) and as they are dealt to partitions,
+    and where each token's word and pair are among them."""
     words, word_at = np.unique(tokens, return_inverse=True)
     pairs, pair_at = np.unique(pairs_of(tokens), return_inverse=True)
-    return np.concatenate([words, ~pairs]), word_at, pair_at + len(words)
-
-
-def _part_key(keys: np.ndarray) -> np.ndarray:
-    """What decides a key's partition: pairs are inverted, and both forms must agree on it."""
-    return keys
+    return np.concatenate([words, ~pairs]), np.concatenate([words, pairs]), word_at, pair_at + len(words)
 
 
 def _scores(parts: int, model, tokens_total: int, types: int, schema: T.StructType):
@@ -232,11 +221,11 @@ def _scores(parts: int, model, tokens_total: int, types: int, schema: T.StructTy
         known = counts[order][np.searchsorted(keys[order], tokens)]
         base = np.log10((known + 1) / (tokens_total + types + 1))
 
-        every, word_at, pair_at = _filter_keys(tokens)
+        every, raw, word_at, pair_at = _filter_keys(tokens)
         if model is not None:
             level = np.zeros(len(every), np.int64)
             segments = model.value
-            order, slices = partition_slices(np.concatenate([every[: word_at.max() + 1], ~every[word_at.max() + 1 :]]), parts)
+            order, slices = partition_slices(raw, parts)
             for part, a, b in slices:
                 if part in segments:
                     level[order[a:b]] = Segment(*segments[part]).level(every[order[a:b]])
@@ -281,6 +270,8 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     sent = learned.mapInArrow(_sent(parts), "part int, words binary, word_counts binary, pairs binary, pair_counts binary")
     segments = sent.groupBy("part").applyInArrow(_segment, "part int, bits binary, size long, tokens long, types long")
     segments = materialize(segments)
+    del sent
+    sweep(spark)
     total = segments.agg(F.sum("tokens"), F.sum("types"), F.sum(F.length("bits"))).first()
     tokens_total, types, size = (x or 0 for x in total)
 

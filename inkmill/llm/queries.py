@@ -13,6 +13,7 @@ from .common import id_fold, table
 from .embed_dedup import embedding_components
 from .exact_dedup import exact_duplicates
 from .langid import identify_languages, train_language_model
+from .lm_scoring import lm_scores
 from .mixing import mixture, mixture_sql
 from .partenum import jaccard_components
 from .quality import quality_scores, train_quality_model
@@ -57,6 +58,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_fold("doc_id", 7) == 2
+    scores = lm_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_mixing": op10_mixing,
 }
 
