@@ -16,6 +16,7 @@ from .langid import identify_languages, train_language_model
 from .lm_scoring import lm_scores
 from .mixing import mixture, mixture_sql
 from .partenum import jaccard_components
+from .pii import find_pii
 from .quality import quality_scores, train_quality_model
 from .substring_dedup import remove_repeats
 
@@ -46,6 +47,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii": op5_pii,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
