@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from inkmill.plans import census_queries, match_queries, score_queries, text_queries
 
 FLAGSHIP = "pair_score_mean"
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (score_queries, census_queries, text_queries, match_queries)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
