@@ -10,9 +10,14 @@ position; such sets, few by the choice of p, also send the elements of their pre
 of them that are similar share one of those. A set joins the band above too if it has partners there.
 
 Signatures travel packed: an input task sends one row of sorted byte arrays to each partition, about
-nine bytes a signature. Groups of up to PAIRWISE sets with one signature give all their pairs. A
-larger group gives its rows; its sets are first compared with one pivot, and once components are
-known, only pairs across components are compared. Candidates that a 2,048-bit parity sketch rules
+nine bytes a signature. Groups of up to PAIRWISE sets with one signature give all their pairs. Larger
+groups mostly come from a passage that many texts share, and most of their sets can leave them: a set
+shares at least `need` signatures with any similar one (p - k less its empty parts), so if fewer of
+its signatures are in large groups, its partners also meet it in a small one. The sets that stay,
+such as a thousand near copies, are compared with one pivot a group.
+
+Candidates are first thinned to one partner a set; once these give components, only pairs across
+components are compared, in small groups and large. Candidates that a 2,048-bit parity sketch rules
 out go first (each differing element flips one bit, so the bits that differ never outnumber the
 elements); the rest are verified on the whole sets. Equal sets are one class from the start.
 """
@@ -98,10 +103,10 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for words in words_of(batch.column(1), lower=True):
             hashes, bounds = shingle_sets(words)
-            sizes = np.diff(bounds)
+            sizes, need = np.diff(bounds), _signatures(hashes, bounds)[3]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(words.first, words.texts), pa.array(sizes, pa.int64()), pa.array(_class_keys(hashes, bounds)), pa.array(_sketches(hashes, bounds), pa.binary())],
-                names=["id", "n_shingles", "set_key", "sketch"],
+                [batch.column(0).slice(words.first, words.texts), pa.array(sizes, pa.int64()), pa.array(_class_keys(hashes, bounds)), pa.array(_sketches(hashes, bounds), pa.binary()), *(pa.array(np.ascontiguousarray(need[:, i])) for i in (0, 1))],
+                names=["id", "n_shingles", "set_key", "sketch", "need", "need_above"],
             )
 
 
@@ -112,24 +117,21 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_class_keys(hashes, bounds)), _lists(hashes.view(np.int64), bounds)], names=["set_key", "hashes"])
 
 
-def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, owning set) of all the sets' signatures."""
+def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, owning set, 1 if of the band above, need[set, band above]) of all the sets."""
     sizes = np.diff(bounds)
+    need = np.zeros((len(sizes), 2), np.int64)
     bands = _bands(int(sizes.max(initial=0)) * 4 // 3)
-    if not bands:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    low = np.array([b[0] for b in bands])
+    found = [(np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.uint8))]
+    low = np.array([b[0] for b in bands] + [np.iinfo(np.int64).max])
     own = np.searchsorted(low, sizes, "right") - 1
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    above = np.append(low[1:], np.iinfo(np.int64).max)
-    for up in (0, 1):
-        chosen = np.flatnonzero((own >= 0) & ((sizes * 4 // 3 >= above[own]) if up else True))
+    for up in (0, 1) if bands else ():
+        chosen = np.flatnonzero((own >= 0) & ((sizes * 4 // 3 >= low[own + 1]) if up else True))
         if not len(chosen):
             continue
-        band = own[chosen] + up
-        k = np.array([b[2] for b in bands] + [0])[band]
-        p = np.array([b[3] for b in bands] + [1])[band]
-        count = sizes[chosen]
+        band, count = own[chosen] + up, sizes[chosen]
+        high, p = (np.array([b[i] for b in bands] + [1])[band] for i in (1, 3))
+        k = (count + np.minimum(high, count * 4 // 3)) // 7  # no partner here differs in more
         local = np.repeat(np.arange(len(chosen)), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][chosen], count)
         h = hashes[at]
@@ -142,52 +144,52 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
         holder = np.repeat(np.arange(len(chosen)), p)
         number = np.arange(len(parts)) - first[holder]
         sig = mix(parts ^ mix(salt[holder] + number.astype(U64)))
-        found.append((sig[filled], chosen[holder[filled]]))
+        found.append((sig[filled], chosen[holder[filled]], np.full(filled.sum(), up, np.uint8)))
         empty = np.bincount(holder[~filled], minlength=len(chosen))
+        need[chosen, up] = np.maximum(0, p - k - empty)
         weak = np.flatnonzero(empty >= p - k)
         if len(weak):  # the prefix filter of these: elements in hash order, n - ceil(3n/4) + 1 of each
             length = count[weak] - (3 * count[weak] + 3) // 4 + 1
             mine = np.repeat(weak, length)
             nth = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             h = hashes[bounds[:-1][chosen[mine]] + nth]
-            found.append((mix(h ^ mix(salt[mine] + U64(0xFFFFFFFF))), chosen[mine]))
-    if not found:
-        return np.empty(0, U64), np.empty(0, np.int64)
-    return np.concatenate([s for s, _ in found]), np.concatenate([o for _, o in found])
+            found.append((mix(h ^ mix(salt[mine] + U64(0xFFFFFFFF))), chosen[mine], np.full(len(h), up, np.uint8)))
+    return (*(np.concatenate([x[i] for x in found]) for i in range(3)), need)
 
 
 def _packed(parts: int):
-    """Input side: per partition one row of arrays sig (low 32 bits), high (8 bits), at, keys."""
+    """Input side: per partition one row of arrays sig (low 32 bits), high (7 bits, and one for the
+    band above), at, keys."""
 
-    def rows(sig: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s, k = np.concatenate(sig), np.concatenate(key)
-        part = ((s >> U64(40)) % U64(parts)).astype(np.int64)
+    def rows(sig: list[np.ndarray], key: list[np.ndarray], ups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        s, k, u = np.concatenate(sig), np.concatenate(key), np.concatenate(ups)
+        part = ((s >> U64(39)) % U64(parts)).astype(np.int64)
         order = np.lexsort((k, s, part))
-        s, k, part = s[order], k[order], part[order]
+        s, k, part, u = s[order], k[order], part[order], u[order]
         new = np.append(True, (s[1:] != s[:-1]) | (k[1:] != k[:-1]))
-        s, k, part = s[new], k[new], part[new]
+        s, k, part, u = s[new], k[new], part[new], u[new]
         for p, lo, hi in zip(*_runs(part)):
             keys, at = np.unique(k[lo:hi], return_inverse=True)
             at = at.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)
             own = s[lo:hi]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in ((own & U64(0xFFFFFFFF)).astype(np.uint32), ((own >> U64(32)) & U64(255)).astype(np.uint8), at, keys))],
+                [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in ((own & U64(0xFFFFFFFF)).astype(np.uint32), ((own >> U64(32)) & U64(127)).astype(np.uint8) | u[lo:hi] << 7, at, keys))],
                 names=["part", "sig", "high", "at", "keys"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, key, held = [], [], 0
+        sig, key, ups, held = [], [], [], 0
         for batch in batches:
             for words in words_of(batch.column(0), lower=True):
                 hashes, bounds = shingle_sets(words)
-                s, owner = _signatures(hashes, bounds)
-                sig.append(s), key.append(_class_keys(hashes, bounds)[owner])
+                s, owner, up, _ = _signatures(hashes, bounds)
+                sig.append(s), key.append(_class_keys(hashes, bounds)[owner]), ups.append(up)
                 held += len(s)
                 if held > FLUSH:
-                    yield from rows(sig, key)
-                    sig, key, held = [], [], 0
+                    yield from rows(sig, key, ups)
+                    sig, key, ups, held = [], [], [], 0
         if held:
-            yield from rows(sig, key)
+            yield from rows(sig, key, ups)
 
     return run
 
@@ -201,33 +203,33 @@ def _runs(x: np.ndarray) -> tuple[list, list, list]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among the sets that share a signature: (kind 0, a, b) pairs, (kind 1, group, set)."""
-    sig, key = [], []
+    """Candidates among the sets that share a signature: (kind 0, a, b) pairs of small groups, and
+    (kind 1, group, set) of large ones, kind 2 where the signature is of the set's band above."""
+    sig, key, ups = [], [], []
     for batch in batches:
         for part, low, high, at, keys in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.frombuffer(keys, np.int64)
+            own, top = np.frombuffer(keys, np.int64), np.frombuffer(high, np.uint8)
             where = np.frombuffer(at, np.uint16 if len(own) < 1 << 16 else np.uint32)
-            sig.append(np.frombuffer(low, np.uint32).astype(U64) | np.frombuffer(high, np.uint8).astype(U64) << U64(32) | U64(part) << U64(40))
-            key.append(own[where])
+            sig.append(np.frombuffer(low, np.uint32).astype(U64) | (top & 127).astype(U64) << U64(32) | U64(part) << U64(39))
+            key.append(own[where]), ups.append(top >> 7)
     if not sig:
         return
-    s, k = np.concatenate(sig), np.concatenate(key)
+    s, k, u = np.concatenate(sig), np.concatenate(key), np.concatenate(ups)
     order = np.argsort(s, kind="stable")
-    s, k = s[order], k[order]
+    s, k, u = s[order], k[order], u[order]
     same = np.zeros(len(s), bool)
     same[1:] = s[1:] == s[:-1]
     same[:-1] |= same[1:]
-    s, k = s[same], k[same]
+    s, k, u = s[same], k[same], u[same]
     if not len(s):
         return
     order = np.lexsort((k, s))
-    s, k = s[order], k[order]
+    s, k, u = s[order], k[order], u[order]
     new = np.append(True, (s[1:] != s[:-1]) | (k[1:] != k[:-1]))
-    s, k = s[new], k[new]
+    s, k, u = s[new], k[new], u[new]
     start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
     size = np.diff(np.append(start, len(s)))
-    mine = np.repeat(size, size)
-    small = mine <= PAIRWISE
+    small = np.repeat(size, size) <= PAIRWISE
     pairs = [np.empty((0, 2), np.int64)]
     for gap in range(1, PAIRWISE):
         at = np.flatnonzero(small[:-gap] & (s[:-gap] == s[gap:]))
@@ -235,7 +237,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.append(np.stack([k[at], k[at + gap]], axis=1))
     pairs = np.unique(np.concatenate(pairs), axis=0)
     large = np.flatnonzero(~small)
-    kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(large), np.int32)])
+    kind = np.concatenate([np.zeros(len(pairs), np.int32), 1 + u[large].astype(np.int32)])
     a = np.concatenate([pairs[:, 0], s[large].view(np.int64)])
     b = np.concatenate([pairs[:, 1], k[large]])
     for lo in range(0, len(kind), 100_000):
@@ -265,6 +267,14 @@ def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 _NEAR_SIZES = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
 
 
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sets are not yet known to be of one component."""
+    for x in "ab":
+        known = roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        pairs = pairs.join(known, x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
     """Of the candidate pairs of set keys, those that link; only their sets are built, one text each."""
     wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
@@ -290,22 +300,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     parts = shuffle_partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.BinaryType())
+    schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.BinaryType()).add("need", T.LongType()).add("need_above", T.LongType())
     per_doc = materialize(own.mapInArrow(_per_document, schema))
     classes = per_doc.where("n_shingles > 0").groupBy("set_key")
-    classes = materialize(classes.agg(F.min("id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
+    same = ("sketch", "need", "need_above")  # functions of the set
+    classes = materialize(classes.agg(F.min("id").alias("first"), F.any_value("n_shingles").alias("n"), *(F.any_value(c).alias(c) for c in same)))
 
     packed = own.select("text").mapInArrow(_packed(parts), "part int, sig binary, high binary, at binary, keys binary")
     found = materialize(packed.repartition(parts, "part").mapInArrow(_groups, "kind int, a long, b long"))
     del packed
     sweep(docs.sparkSession)
     small = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("set_key"))
+    large = found.where("kind > 0").select("kind", F.col("a").alias("group"), F.col("b").alias("set_key"))
+    in_large = materialize(large.groupBy("set_key", "kind").agg(F.count("*").alias("n_large")))
+    need = F.when(F.col("kind") == 1, F.col("need")).otherwise(F.col("need_above"))
+    stay = materialize(in_large.join(classes, "set_key").where(F.col("n_large") >= need).select("set_key", "kind"))
+    large = materialize(large.join(stay, ["set_key", "kind"]).select("group", "set_key"))
     pivots = materialize(large.groupBy("group").agg(F.min("set_key").alias("pivot")))
     stars = large.join(pivots, "group").where("pivot <> set_key").select(F.col("pivot").alias("a"), F.col("set_key").alias("b"))
     pairs = materialize(small.union(stars).distinct())
-    links = _links(_sifted(pairs, classes), classes, own)
+
+    tree = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = _links(_sifted(tree, classes), classes, own)
     roots = components(links)
+    rest = materialize(_across(pairs.join(tree, ["a", "b"], "left_anti"), roots))
+    if not rest.isEmpty():
+        links = links.union(_links(_sifted(rest, classes), classes, own))
+        roots = components(links)
 
     label = F.coalesce("root", "set_key").alias("root")
     rows = materialize(large.join(roots, large["set_key"] == roots["node"], "left").select("group", "set_key", label))
@@ -324,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = materialize(classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "first", label))
     least = materialize(members.groupBy("root").agg(F.min("first").alias("least")))
     named = materialize(members.join(least, "root").select("set_key", "least"))
-    for x in (classes, found, pivots, pairs, rows, mixed, links, members, least):
+    for x in (classes, found, large, pivots, pairs, tree, rest, rows, mixed, links, members, least):
         release(x)
     out = per_doc.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least"))
