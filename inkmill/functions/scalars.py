@@ -128,7 +128,7 @@ def cell_number(cell: Column) -> Column:
 def citation_numbers(inner: Column) -> Column:
     """`1,3-5` as [1, 3, 4, 5]: ranges of up to 80 filled, longer or reversed ones keep their ends,
     and ranges of years go."""
-    parts = F.filter(F.transform(F.split(inner, "[,;]"), F.trim), lambda p: p.rlike(r"^[0-9]+(\s*[–—-]\s*[0-9]+)?$"))
+    parts = F.filter(F.transform(F.split(inner, "[,;]"), lambda p: F.trim(p)), lambda p: p.rlike(r"^[0-9]+(\s*[–—-]\s*[0-9]+)?$"))
 
     def numbers(p: Column) -> Column:
         a = F.regexp_extract(p, r"^([0-9]+)", 1).cast("int")

@@ -30,9 +30,10 @@ def closure(edges: DataFrame) -> DataFrame:
     """(root, node): everything that each root includes, directly or not, itself too. edges: src, dst."""
     edges.createOrReplaceTempView("inkmill_edges")
     return edges.sparkSession.sql("""
-        WITH RECURSIVE reach(root, node) AS (
-            SELECT src AS root, src AS node FROM (SELECT DISTINCT src FROM inkmill_edges)
-            UNION SELECT r.root, e.dst FROM reach r JOIN inkmill_edges e ON r.node = e.src
+        WITH RECURSIVE reach(root, node, path) AS (
+            SELECT src AS root, src AS node, array(src) AS path FROM (SELECT DISTINCT src FROM inkmill_edges)
+            UNION ALL SELECT r.root, e.dst, array_append(r.path, e.dst) FROM reach r JOIN inkmill_edges e
+            ON r.node = e.src AND NOT array_contains(r.path, e.dst)
         ) SELECT DISTINCT root, node FROM reach
     """)
 

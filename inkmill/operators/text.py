@@ -31,9 +31,13 @@ def occurrences(lines: DataFrame, term: str, exact: str | None = None) -> DataFr
     return found.select("doc_id", "line", "match", (F.col("match") == F.lit(exact or term)).alias("exact"), F.left(F.trim("raw"), F.lit(140)).alias("excerpt"))
 
 
+#: Words as Unicode letters, digits and underscores, whatever the regular-expression dialect calls a word.
+WORDS = r"[\p{L}\p{N}_]+"
+
+
 def acronyms(lines: DataFrame, least: int = 1) -> DataFrame:
     """All-caps tokens: occurrences, documents, first use by (document, line)."""
-    tokens = matches_of(lines, r"\b[A-Z]{2,}\b")
+    tokens = matches_of(lines, WORDS).where(F.col("match").rlike("^[A-Z]{2,}$"))
     first = F.min(F.struct("doc_id", "line"))
     out = tokens.groupBy(F.col("match").alias("token")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), first.alias("f"))
     return out.where(F.col("n") >= least).select("token", "n", "n_docs", F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line"))
@@ -88,7 +92,8 @@ def page_furniture(pages: DataFrame, share: float = 0.6) -> DataFrame:
 
 
 def vocabulary(lines: DataFrame, least: int = 2) -> DataFrame:
-    return matches_of(lines, r"\b[A-Z][a-z]{3,}\b").groupBy(F.col("match").alias("term")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    words = matches_of(lines, WORDS).where(F.col("match").rlike("^[A-Z][a-z]{3,}$"))
+    return words.groupBy(F.col("match").alias("term")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def identifiers(lines: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -1 +1,234 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries over joins, pairings and differences. Where the tables have no such data (citations,
+reviews, manifests) the rows are inline or derived, the same in the SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkmill.functions import scalars as X
+from inkmill.operators import matching as M
+from inkmill.operators import text as T
+from inkmill.plans.base import Registry, table
+
+R = Registry()
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+CITED = [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "z"), (3, "b"), (3, "y")]
+LISTED = [(1, "a"), (1, "c"), (1, "d"), (2, "a"), (2, "b")]
+_LISTS = "WITH " + _values("cited", "doc_id, key", CITED) + ", " + _values("listed", "doc_id, key", LISTED) + " "
+
+
+def _cited(s):
+    return M.table_of(s, CITED, "doc_id long, key string"), M.table_of(s, LISTED, "doc_id long, key string")
+
+
+R.add(
+    "orphan_citations", lambda s, d: M.orphans(*_cited(s)),
+    _LISTS + "SELECT DISTINCT doc_id::BIGINT AS doc_id, key FROM cited c WHERE CASE WHEN doc_id IN (SELECT doc_id FROM listed) THEN NOT EXISTS (SELECT 1 FROM listed l WHERE l.doc_id = c.doc_id AND l.key = c.key) ELSE key NOT IN (SELECT key FROM listed) END",
+)
+R.add("uncited_entries", lambda s, d: M.uncited(*_cited(s)), _LISTS + "SELECT DISTINCT doc_id::BIGINT AS doc_id, key FROM listed l WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE l.doc_id = c.doc_id AND l.key = c.key)")
+EDGES = [("main", "intro"), ("main", "methods"), ("methods", "stats"), ("stats", "methods"), ("supp", "stats"), ("stats", "tables")]
+R.add(
+    "include_closure", lambda s, d: M.closure(M.table_of(s, EDGES, "src string, dst string")),
+    "WITH RECURSIVE " + _values("e", "src, dst", EDGES) + ", r(root, node) AS (SELECT DISTINCT src, src FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT DISTINCT root, node FROM r",
+)
+R.add("duplicate_texts", lambda s, d: M.duplicates(table(s, d, "documents").select(F.sha2("text", 256).alias("digest")), ["digest"]), "SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+R.add(
+    "exact_dups", lambda s, d: M.first_of_each(table(s, d, "documents").select("doc_id", F.sha2(F.lower(F.trim(F.regexp_replace("text", "[ \\n\\t]+", " "))), 256).alias("digest")), ["digest"], ["doc_id"]).select("doc_id"),
+    "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g'), ' '))",
+)
+
+
+def parity(s: SparkSession, d: str) -> DataFrame:
+    lines = T.lines_of(table(s, d, "documents").select("doc_id", "text", "lang")).where("raw <> ''")
+    left = lines.where("doc_id % 2 = 0").select(F.md5("raw").alias("key"))
+    return M.multiset_difference(left, lines.where("doc_id % 2 = 1").select(F.md5("raw").alias("key")), "key").where("n_left + n_right > 2")
+
+
+R.add(
+    "multiset_parity", parity,
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), c AS (SELECT md5(raw) AS key, count(*) FILTER (doc_id % 2 = 0) AS n_left, count(*) FILTER (doc_id % 2 = 1) AS n_right FROM l WHERE raw <> '' GROUP BY 1) SELECT * FROM c WHERE n_left <> n_right AND n_left + n_right > 2",
+)
+BEFORE = [("doi", "10.1/a"), ("doi", "10.1/b"), ("orcid", "0000-1"), ("doi", "10.1/b")]
+AFTER = [("doi", "10.1/a"), ("doi", "10.1/c"), ("orcid", "0000-1")]
+R.add(
+    "changed_ids", lambda s, d: M.changed_ids(M.table_of(s, BEFORE, "kind string, value string"), M.table_of(s, AFTER, "kind string, value string")),
+    "WITH " + _values("b", "kind, value", BEFORE) + ", " + _values("a", "kind, value", AFTER) + " SELECT *, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
+)
+
+
+def pairing(s: SparkSession, d: str) -> DataFrame:
+    """Documents of even id against those of odd id: name is source and language, digest the text's."""
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("-", "source", "lang").alias("name"), F.md5("text").alias("digest"))
+    return M.three_tier_pairs(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+
+
+_TIERS = "WITH l0 AS (SELECT doc_id AS id, source || '-' || lang AS name, md5(text) AS digest FROM documents WHERE doc_id % 2 = 0), r0 AS (SELECT doc_id AS id, source || '-' || lang AS name, md5(text) AS digest FROM documents WHERE doc_id % 2 = 1)"
+for _i, _k in enumerate(("name, digest", "name", "digest")):
+    _TIERS += f", p{_i} AS MATERIALIZED (SELECT a.id AS left_id, b.id AS right_id, {_i + 1} AS tier FROM (SELECT *, row_number() OVER (PARTITION BY {_k} ORDER BY id) AS rn FROM l{_i}) a JOIN (SELECT *, row_number() OVER (PARTITION BY {_k} ORDER BY id) AS rn FROM r{_i}) b USING ({_k}, rn))"
+    _TIERS += f", l{_i + 1} AS (SELECT * FROM l{_i} WHERE id NOT IN (SELECT left_id FROM p{_i})), r{_i + 1} AS (SELECT * FROM r{_i} WHERE id NOT IN (SELECT right_id FROM p{_i}))"
+R.add("document_pairing", pairing, _TIERS + " SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT id, NULL, 0 FROM l3 UNION ALL SELECT NULL, id, 0 FROM r3")
+WANT, GOT = [("x/a.csv", "a"), ("x/b.csv", "b"), ("x/c.csv", "c")], [("x/a.csv", "a"), ("y/b_1.csv", "b"), ("y/c_1.csv", "c"), ("z/c_2.csv", "c")]
+R.add(
+    "raw_data_pairs", lambda s, d: M.unique_fallback_pairs(M.table_of(s, WANT, "path string, key string"), M.table_of(s, GOT, "path string, key string")),
+    "WITH " + _values("w", "path, key", WANT) + ", " + _values("g", "path, key", GOT) + " SELECT w.path, coalesce(e.path, k.path) AS match, CASE WHEN e.path IS NULL THEN 'key' ELSE 'exact' END AS how FROM w LEFT JOIN g e ON w.path = e.path LEFT JOIN (SELECT key, any_value(path) AS path FROM g GROUP BY key HAVING count(*) = 1) k ON w.key = k.key WHERE coalesce(e.path, k.path) IS NOT NULL",
+)
+
+
+def value_provenance(s: SparkSession, d: str) -> DataFrame:
+    """Order totals rounded as prose would write them, against the column statistics of `orders`."""
+    orders = table(s, d, "orders")
+    stats = orders.agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"), F.count("*").cast("double").alias("c"))
+    values = stats.select(F.explode(F.array(
+        F.struct(F.lit("orders.min").alias("source"), F.lit("min").alias("kind"), F.lit(1).alias("ord"), F.col("a").alias("value")),
+        F.struct(F.lit("orders.max").alias("source"), F.lit("max").alias("kind"), F.lit(2).alias("ord"), F.col("b").alias("value")),
+        F.struct(F.lit("orders.rows").alias("source"), F.lit("rowcount").alias("kind"), F.lit(3).alias("ord"), F.col("c").alias("value")),
+    )).alias("v")).select("v.*")
+    number = F.format_string("%.2f", "o_totalprice")
+    return M.provenance(orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("nth"), number.alias("number")), values)
+
+
+R.add(
+    "value_provenance", value_provenance,
+    "WITH s AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders), v AS (SELECT 'orders.min' AS source, 1 AS ord, a AS value FROM s UNION ALL SELECT 'orders.max', 2, b FROM s), k AS (SELECT number, first(source ORDER BY ord) AS source FROM (SELECT source, ord, unnest([printf('%.0f', value), printf('%.1f', value), printf('%.2f', value)]) AS number FROM v) GROUP BY 1), n AS (SELECT o_custkey AS doc_id, o_orderkey AS nth, printf('%.2f', o_totalprice) AS number FROM orders) SELECT doc_id, nth, number, coalesce(source, '') AS source FROM n LEFT JOIN k USING (number)",
+)
+
+
+def hierarchy(s: SparkSession, d: str) -> DataFrame:
+    sentences = table(s, d, "orders").select(F.col("o_orderkey").alias("sid"), F.array(F.lower("o_orderstatus"), F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("orders")).alias("tokens"))
+    columns = M.table_of(s, [("t1", "highTotal", ["high", "total"]), ("t1", "orders_f", ["orders", "f"]), ("t2", "orders_o", ["orders", "o"]), ("t2", "orders", ["orders"]), ("t3", "orders_all", ["orders", "all"])], "file string, column string, tokens array<string>")
+    return M.top_producers(sentences, columns)
+
+
+R.add(
+    "hierarchy_candidates", hierarchy,
+    "WITH s AS (SELECT o_orderkey AS sid, list_distinct([lower(o_orderstatus), lower(substr(o_orderpriority, 3, 20)), 'orders']) AS tokens FROM orders), c(file, \"column\", tokens) AS (VALUES ('t1', 'highTotal', ['high', 'total']), ('t1', 'orders_f', ['orders', 'f']), ('t2', 'orders_o', ['orders', 'o']), ('t2', 'orders', ['orders']), ('t3', 'orders_all', ['orders', 'all'])), h AS (SELECT sid, file, \"column\", len(list_intersect(s.tokens, c.tokens)) AS score FROM s, c WHERE len(list_intersect(s.tokens, c.tokens)) > 0) SELECT sid, file, \"column\", score, place FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, file, \"column\")::INT AS place FROM h) WHERE place <= 3",
+)
+R.add(
+    "capped_rows", lambda s, d: M.capped_with_gap(table(s, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 20, "note"),
+    "SELECT n_nationkey, n_name, '' AS note FROM nation WHERE n_nationkey < 20 UNION ALL SELECT NULL, NULL, 'INCOMPLETE: ' || (count(*) - 20) || ' more' FROM nation HAVING count(*) > 20",
+)
+R.add(
+    "claim_contradiction", lambda s, d: M.contradictions(T.lines_of(table(s, d, "documents").select("doc_id", "text")), r"licensed under cc", r"all rights reserved|general public"),
+    "WITH l AS (SELECT doc_id, unnest(range(1, len(p) + 1))::INT AS line, lower(unnest(p)) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), a AS (SELECT doc_id AS claim_doc, line AS claim_line FROM l WHERE contains(raw, 'licensed under cc') ORDER BY 1, 2 LIMIT 1), b AS (SELECT doc_id AS denial_doc, line AS denial_line FROM l WHERE regexp_matches(raw, 'all rights reserved|general public') ORDER BY 1, 2 LIMIT 1) SELECT * FROM a, b",
+)
+
+
+def near_defects(s: SparkSession, d: str) -> DataFrame:
+    """Opening words of document lines as excerpts, blocked by language and line."""
+    lines = T.lines_of(table(s, d, "documents").select("doc_id", "text")).where("line = 1")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("raw"), F.lit("[a-z]+"), F.lit(0)))
+    rows = lines.join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("class"), F.lit("minor").alias("severity"), "line", words.alias("words"))
+    return M.near_defects(rows).select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+
+
+R.add(
+    "near_defects", near_defects,
+    "WITH r AS (SELECT doc_id AS id, lang, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]+')) AS w FROM documents) SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS similarity FROM r a JOIN r b ON a.lang = b.lang AND a.id < b.id WHERE len(a.w) >= 7 AND len(b.w) >= 7 AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))",
+)
+REVIEW_A = [("M1", "p1", "same evidence"), ("M2", "p2", "other")]
+REVIEW_B = [("M1", "p1", "same evidence"), ("M1", "p2", "same evidence"), ("M3", "p1", "new")]
+_REVIEW = "check string, location string, evidence string"
+R.add(
+    "review_merge", lambda s, d: M.merge_reviews(M.table_of(s, REVIEW_A, _REVIEW), M.table_of(s, REVIEW_B, _REVIEW)),
+    "WITH " + _values("a", '"check", location, evidence', REVIEW_A) + ", " + _values("b", '"check", location, evidence', REVIEW_B) + " SELECT *, 'a' AS part FROM a UNION ALL SELECT *, 'b' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.\"check\" = b.\"check\" AND a.location = b.location AND left(a.evidence, 80) = left(b.evidence, 80))",
+)
+COVER_A, COVER_B = [("M1", "done"), ("M2", "out-of-scope"), ("M4", "out-of-scope")], [("M1", "partial"), ("M2", "done"), ("M3", "done")]
+R.add(
+    "coverage_union", lambda s, d: M.coverage_union(M.table_of(s, COVER_A, "check string, status string"), M.table_of(s, COVER_B, "check string, status string")),
+    "WITH " + _values("a", '"check", status', COVER_A) + ", " + _values("b", '"check", status', COVER_B) + " SELECT \"check\", status FROM (SELECT *, CASE WHEN status = 'out-of-scope' THEN 2 ELSE 0 END AS r FROM a UNION ALL SELECT *, 1 FROM b) QUALIFY row_number() OVER (PARTITION BY \"check\" ORDER BY r) = 1",
+)
+
+
+def recorded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Recorded digests of documents, every seventh of them outdated, and the present ones."""
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.sha2("text", 256).alias("digest"), "source")
+    old = docs.select(F.col("source").alias("run"), "path", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("digest")).alias("digest"), (F.col("doc_id") % 2 == 0).alias("round_done"))
+    return old.where("path <> '3'"), docs.where("doc_id <> 5").select("path", "digest")
+
+
+_OLD = "WITH c AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents WHERE doc_id <> 5), o AS (SELECT source AS run, doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha256(text) END AS digest, doc_id % 2 = 0 AS round_done FROM documents WHERE doc_id <> 3) "
+R.add("stale_inputs", lambda s, d: M.staleness(*recorded(s, d)), _OLD + "SELECT run, round_done, count(*) AS n_changed, CASE WHEN round_done THEN 'blocking' ELSE 'stale' END AS state FROM o LEFT JOIN c USING (path) WHERE o.digest IS DISTINCT FROM c.digest GROUP BY 1, 2")
+R.add("evidence_integrity", lambda s, d: M.integrity(*recorded(s, d)), _OLD + "SELECT path, CASE WHEN o.digest IS NULL THEN 'added' WHEN c.digest IS NULL THEN 'missing' WHEN o.digest <> c.digest THEN 'changed' ELSE 'same' END AS state FROM o FULL JOIN c USING (path)")
+R.add(
+    "manifest_digest", lambda s, d: M.manifest_digest(recorded(s, d)[0], ["run"]),
+    _OLD + "SELECT run, sha256(string_agg(path || ':' || digest, chr(10) ORDER BY path || ':' || digest)) AS digest, count(*) AS n FROM o GROUP BY 1",
+)
+R.add(
+    "order_violations", lambda s, d: T.order_violations(table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("n")), ["l_orderkey"]),
+    "WITH f AS (SELECT l_orderkey, l_partkey AS n, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY l_orderkey ORDER BY pos, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM f) SELECT l_orderkey, n, pos, most FROM m WHERE n < most",
+)
+
+
+def content_units(s: SparkSession, d: str) -> DataFrame:
+    """Sentences of the first turns against those of the second turns of each conversation."""
+    turns = table(s, d, "conversations").where("turn < 2").select(F.col("conv_id").cast("string").alias("key"), "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("unit", "text"))
+    turns = turns.where(F.length("text") >= 8).withColumn("unit", F.col("unit").cast("long"))
+    return M.match_units(turns.where("turn = 0").drop("turn"), turns.where("turn = 1").drop("turn"))
+
+
+R.add("content_unit_match", content_units)
+
+
+def located(s: SparkSession, d: str) -> DataFrame:
+    """Opening words of documents as defects of their source, merged by location."""
+    docs = table(s, d, "documents").select("doc_id", "text", "lang", "source")
+    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 30))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("version"), F.lit("own").alias("source"), F.col("lang").alias("class"), F.lit("minor").alias("severity"), F.lit(1).alias("line"), words.alias("words"))
+    return M.merge_by_location(rows)
+
+
+R.add("location_dedup", located)
+
+
+def class_ids(s: SparkSession, d: str) -> DataFrame:
+    rows = M.table_of(s, [(c,) for c in ("M01", "m1", "M12", "FMT-T8", "Q3", "J4", " x ")], "check string")
+    return rows.select("check", X.defect_class(F.col("check")).alias("class"))
+
+
+R.add("defect_classes", class_ids, "SELECT * FROM (VALUES ('M01', 'M01'), ('m1', 'M01'), ('M12', 'M12'), ('FMT-T8', 'M20'), ('Q3', 'J3'), ('J4', 'J4'), (' x ', 'X')) t(\"check\", class)")
+R.add(
+    "column_letters", lambda s, d: M.table_of(s, [(c,) for c in ("A", "Z", "AA", "BC", "XFD")], "letters string").select("letters", X.column_index(F.col("letters")).alias("n")),
+    "SELECT * FROM (VALUES ('A', 1), ('Z', 26), ('AA', 27), ('BC', 55), ('XFD', 16384)) t(letters, n)",
+)
+R.add(
+    "benchmark_containment", lambda s, d: containment(s, d),
+    "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+)
+
+
+def containment(s: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a benchmark passage: an extension. Candidates share the passage's first
+    six words with a document; the rest of the passage is then compared."""
+    first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    items = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"), first.alias("gram"))
+    words = F.split("text", "[ \n]")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 5, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 6), " "))
+    rows = table(s, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
+    # The first and last word of a passage may touch other characters in a document.
+    inner = F.array_join(F.slice(F.split("text", " "), 2, 6), " ")
+    items = items.drop("gram").join(table(s, d, "benchmark").select("item_id", inner.alias("gram")), "item_id")
+    return rows.join(items, "gram").where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+
+
+def nth_figure(s: SparkSession, d: str) -> DataFrame:
+    """Display numbers filled from ranges: the least and greatest, each number between."""
+    rows = M.table_of(s, [("3-5",), ("7-6",), ("9",)], "span string")
+    a = F.regexp_extract("span", "^([0-9]+)", 1).cast("int")
+    b = F.coalesce(F.nullif(F.regexp_extract("span", "-([0-9]+)$", 1), F.lit("")).cast("int"), a)
+    return rows.select("span", F.explode(F.sequence(F.least(a, b), F.greatest(a, b))).alias("number"))
+
+
+R.add("display_ranges", nth_figure, "SELECT * FROM (VALUES ('3-5', 3), ('3-5', 4), ('3-5', 5), ('7-6', 6), ('7-6', 7), ('9', 9)) t(span, number)")
+R.add(
+    "running_rank", lambda s, d: table(s, d, "customer").select("c_custkey", "c_mktsegment", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("place")).where("place <= 3"),
+    "SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)::INT AS place FROM customer QUALIFY place <= 3",
+)
+QUERIES, ORACLE_SQL = R.queries, R.sql
