@@ -132,6 +132,17 @@ def convert(path: str, content: bytes | None) -> tuple[str, str, list[str]]:
     return "", "unsupported", [f"no reader for {ext or 'this file'}"]
 
 
+def _empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files without content, which the binary reader leaves out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found, it = [], path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    while it.hasNext():
+        status = it.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), 0, None))
+    return spark.createDataFrame(found, "path string, size_bytes long, content binary")
+
+
 def inventory(spark: SparkSession, folder: str, most_bytes: int = 64 << 20) -> DataFrame:
     """path, role, ext, size_bytes, sha256, status, notes, text of every file under a folder.
 
@@ -139,7 +150,7 @@ def inventory(spark: SparkSession, folder: str, most_bytes: int = 64 << 20) -> D
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     small = F.when(F.col("length") <= most_bytes, F.col("content"))
-    files = files.select("path", F.col("length").alias("size_bytes"), small.alias("content"))
+    files = files.select("path", F.col("length").alias("size_bytes"), small.alias("content")).unionByName(_empty_files(spark, folder))
     schema = "path string, size_bytes long, sha256 string, status string, notes array<string>, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
