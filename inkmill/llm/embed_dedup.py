@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release
-from .components import components
+from .components import components, join
 
 GROUP = 8192
 LEAST_GROUPS = 8
@@ -65,17 +65,6 @@ class Quantised:
         return i[keep], j[keep]
 
 
-def _join(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Add edges to a forest of parents, roots the least of their trees."""
-    u, v = parent[u], parent[v]
-    while len(apart := np.flatnonzero(u != v)):
-        u, v = u[apart], v[apart]
-        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
-        while (up := parent[parent] != parent).any():
-            parent[up] = parent[parent[up]]
-        u, v = parent[u], parent[v]
-
-
 def _cell(least: float):
     def run(rows: pa.Table) -> pa.Table:
         side = rows.column("own").to_numpy()
@@ -103,7 +92,7 @@ def _cell(least: float):
                     i, j = i[i < j], j[i < j]
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
-                _join(parent, i, j)
+                join(parent, i, j)
         at = np.flatnonzero(links > 0)
         root = parent[at]
         return pa.table({"key": key[at], "links": links[at], "other": key[root]})

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from inkmill.llm import exact_dedup
+from inkmill.llm.components import components
 from inkmill.llm.embed_dedup import embedding_components
 from inkmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from inkmill.llm.partenum import _signatures, jaccard_components, keep_one_of_each
@@ -89,6 +90,17 @@ def test_jaccard_without_rows_and_with_extra_columns(spark):
     assert {r.doc_id for r in keep_one_of_each(df).collect()} == {1, None}
 
 
+def test_components_both_ways(spark):
+    rng = random.Random(6)
+    links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000, 1000 + i) for i in range(60)] + [(2000 + i, 2001 + i) for i in range(40)] + [(5, 5)]
+    df = spark.createDataFrame(links, "a long, b long")
+    root = brute.roots([x for x in links if x[0] != x[1]], {n for x in links for n in x})
+    want = {n: r for n, r in root.items() if n != r}
+    for small in (10**6, 0):
+        assert {r.node: r.root for r in components(df, small=small).collect()} == want
+    assert components(df.limit(0)).count() == 0
+
+
 def test_repeats(spark, documents):
     rng = random.Random(5)
     passages = [" ".join(f"p{j}_{i}" for i in range(50)) for j in range(3)]
