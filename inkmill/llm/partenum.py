@@ -314,13 +314,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = found.where("kind > 0").select("kind", F.col("a").alias("group"), F.col("b").alias("set_key"))
     in_large = materialize(large.groupBy("set_key", "kind").agg(F.count("*").alias("n_large")))
     need = F.when(F.col("kind") == 1, F.col("need")).otherwise(F.col("need_above"))
-    stay = materialize(in_large.join(classes, "set_key").where(F.col("n_large") >= need).select("set_key", "kind"))
-    large = materialize(large.join(stay, ["set_key", "kind"]).select("group", "set_key"))
-    pivots = materialize(large.groupBy("group").agg(F.min("set_key").alias("pivot")))
-    stars = large.join(pivots, "group").where("pivot <> set_key").select(F.col("pivot").alias("a"), F.col("set_key").alias("b"))
+    stay = materialize(in_large.join(classes, "set_key").where(F.col("n_large") >= need).select("set_key", "kind", "n_large"))
+    large = materialize(large.join(stay, ["set_key", "kind"]).select("group", "set_key", "n_large"))
+    # The set with most signatures in large groups is the likeliest original of a group of copies.
+    pivots = materialize(large.groupBy("group").agg(F.max(F.struct("n_large", "set_key"))["set_key"].alias("pivot")))
+    stars = large.join(pivots, "group").where("pivot <> set_key")
+    stars = stars.select(F.least("pivot", "set_key").alias("a"), F.greatest("pivot", "set_key").alias("b"))
     pairs = materialize(small.union(stars).distinct())
 
-    tree = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars)
+    tree = materialize(tree.distinct())
     links = _links(_sifted(tree, classes), classes, own)
     roots = components(links)
     rest = materialize(_across(pairs.join(tree, ["a", "b"], "left_anti"), roots))
