@@ -54,15 +54,22 @@ def iqr(values: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X >= k) of a fair binomial over n draws, exactly, from the running binomial coefficient."""
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("total"))
+    """P(X >= k) of a fair binomial over n draws, exactly, from the running binomial coefficient.
+
+    Coefficient and total are scaled down by 2^500 together whenever the coefficient passes it.
+    """
+    large, part = F.lit(2.0**500), F.lit(2.0**-500)
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("total"), F.lit(0).alias("e"))
 
     def step(acc: Column, i: Column) -> Column:
         total = acc["total"] + F.when(i >= k, acc["c"]).otherwise(0.0)
-        return F.struct((acc["c"] * (n - i) / (i + 1)).alias("c"), total.alias("total"))
+        c, over = acc["c"] * (n - i) / (i + 1), acc["c"] > large
+        return F.struct(
+            F.when(over, c * part).otherwise(c).alias("c"), F.when(over, total * part).otherwise(total).alias("total"), F.when(over, acc["e"] + 500).otherwise(acc["e"]).alias("e"),
+        )
 
-    tail = F.aggregate(F.sequence(F.lit(0), n), start, step, lambda a: a["total"])
-    return F.when(n <= 0, F.lit(1.0)).otherwise(tail / F.pow(F.lit(2.0), n))
+    tail = F.aggregate(F.sequence(F.lit(0), n), start, step, lambda a: a["total"] * F.pow(F.lit(2.0), (a["e"] - n).cast("double")))
+    return F.when(n <= 0, F.lit(1.0)).otherwise(tail)
 
 
 def version_key(label: Column) -> Column:

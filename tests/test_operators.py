@@ -1,11 +1,16 @@
 import io
+import math
 import zipfile
+from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkmill.functions import sequential as Q
 from inkmill.functions.scalars import binomial_tail, parse_score
 from inkmill.operators import matching as M
+from inkmill.operators.scores import member_stats
+from inkmill.plans.score_queries import score_rows, sign_test
 from inkmill.sources import corpus, tables
 from inkmill.streaming.windows import tumbling_counts
 
@@ -20,6 +25,23 @@ def test_binomial(spark):
     assert tuple(row) == (0.3125, 1.0)
 
 
+def test_binomial_of_many_draws(spark):
+    pairs = [(31, 63), (37, 69), (700, 1300), (2600, 5000), (4000, 5000), (0, 5000)]
+    rows = spark.createDataFrame(pairs, "k int, n int")
+    for r in rows.select("k", "n", binomial_tail(F.col("k"), F.col("n")).alias("p")).collect():
+        assert r.p == pytest.approx(float(Fraction(sum(math.comb(r.n, i) for i in range(r.k, r.n + 1)), 1 << r.n)), rel=1e-9)
+
+
+def test_sign_test_uses_all_votes(spark):
+    sf = "/root/testdata/sf0.1"
+    stats = {r.member: r for r in member_stats(score_rows(spark, sf), "v0").collect()}
+    assert max(r.base_decided for r in stats.values()) > 40
+    for r in sign_test(spark, sf).collect():
+        n, k = stats[r.member].base_decided, stats[r.member].base_losses
+        p = sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
+        assert abs(r.p - p) < 1e-8 and r.passes == (None if r.member == "v0" else p >= 0.05)
+
+
 def test_number_words():
     assert Q.number_of("two hundred and five".split()) == 205
     assert Q.number_of("three million two thousand one".split()) == 3002001
