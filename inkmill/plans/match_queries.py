@@ -205,17 +205,24 @@ R.add(
 
 
 def containment(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage: an extension. Candidates share the passage's first
-    six words with a document; the rest of the passage is then compared."""
-    first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    items = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"), first.alias("gram"))
+    """Documents that hold a benchmark passage: an extension. Candidates share six inner words of the
+    passage with a document; the rest of the passage is then compared."""
+    return contained(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
+def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = F.split("text", "[ \n]")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 5, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 6), " "))
-    rows = table(s, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
+    items = benchmark.select("item_id", F.col("text").alias("passage"), words.alias("words"))
     # The first and last word of a passage may touch other characters in a document.
-    inner = F.array_join(F.slice(F.split("text", " "), 2, 6), " ")
-    items = items.drop("gram").join(table(s, d, "benchmark").select("item_id", inner.alias("gram")), "item_id")
-    return rows.join(items, "gram").where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()
+    long = items.where(F.size("words") >= 8).select("item_id", "passage", F.array_join(F.slice("words", 2, 6), " ").alias("gram"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 5, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 6), " "))
+    # Words are split once a text, and grams go without the text, which candidates alone fetch.
+    rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    pairs = rows.join(long, "gram").select(F.col("doc_id").alias("c_id"), "item_id", "passage").distinct()
+    found = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("c_id")) & F.contains("text", "passage")).select("doc_id", "item_id")
+    # Shorter passages have no six inner words: each is compared with each text.
+    short = items.where(F.size("words") < 8).select("item_id", "passage")
+    return found.union(docs.join(F.broadcast(short), F.contains("text", "passage")).select("doc_id", "item_id")).distinct()
 
 
 def nth_figure(s: SparkSession, d: str) -> DataFrame:

@@ -4,12 +4,15 @@ import zipfile
 from fractions import Fraction
 
 import pytest
+from oracle import check
 from pyspark.sql import functions as F
 
 from inkmill.functions import sequential as Q
 from inkmill.functions.scalars import binomial_tail, parse_score
 from inkmill.operators import matching as M
 from inkmill.operators.scores import member_stats
+from inkmill.plans import match_queries
+from inkmill.plans.match_queries import contained
 from inkmill.plans.score_queries import score_rows, sign_test
 from inkmill.sources import corpus, tables
 from inkmill.streaming.windows import tumbling_counts
@@ -65,6 +68,21 @@ def test_units_match_once(spark):
     assert {(r.base_unit, r.unit) for r in M.match_units(base, other).collect()} == {(2, 7), (1, 8)}
 
 
+def test_passages_with_line_breaks_and_short_ones_are_found(spark):
+    passages = ["a b\nc d e f g h i", "one\ntwo three four five six seven", "b", "d e", "", "\n", " g h", "no such passage", None, "x  y\n\nz 1 2 3 4", "a b c d e f g h i"]
+    texts = ["xa b\nc d e f g h ij", "a b c d e f g h i", "done\ntwo three four five six sevens", "x  y\n\nz 1 2 3 45", "", None, "x y z 1 2 3 4"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t is not None and p is not None and p in t}
+    got = [tuple(r) for r in contained(docs, items).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_containment_equals_its_sql_where_passages_have_line_breaks(spark):
+    found = check(spark, match_queries.QUERIES["benchmark_containment"], match_queries.ORACLE_SQL["benchmark_containment"], "/root/testdata/sf0.1")
+    assert len(found) > 216
+
+
 def test_location_merge_keeps_the_first(spark):
     words = "a b c d e f g h".split()
     rows = [(i, "v", "own", "M1", "minor", 3, words) for i in (1, 2)] + [(3, "v", "own", "M1", "minor", None, words)]
