@@ -26,8 +26,9 @@ from .common import materialize, release, shuffle_partitions, sweep
 from .textbytes import U64, Words, all_words, mix, words_of
 
 BASE = 1.5
-PROBES = 3
-BITS_PER_ITEM = 4.4
+#: 7 probes of 10 bits an item: a missing item is found with probability (1 - exp(-0.7))^7 = 0.8%.
+PROBES = 7
+BITS_PER_ITEM = 10
 PRIOR = 2000.0
 MAX_BROADCAST = 128 << 20
 FLUSH = 2_000_000

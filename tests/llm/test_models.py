@@ -108,6 +108,15 @@ def test_filter_levels_are_never_too_low():
     assert (found >= level).all() and (found == level).mean() > 0.8
 
 
+def test_filter_errs_on_one_key_in_a_hundred():
+    rng = np.random.default_rng(5)
+    keys, counts = rng.integers(1, 1 << 63, 60000, dtype=np.uint64), rng.geometric(0.1, 60000)
+    level = lm_scoring.levels(counts[:30000])
+    segment = lm_scoring.Segment.filled(keys[:30000], level)
+    assert (segment.level(keys[30000:]) > 0).mean() < 0.012
+    assert (segment.level(keys[:30000]) > level).mean() < 0.012
+
+
 def test_mixture_meets_targets_and_table_form_agrees(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     few = {r.doc_id: (r.weight, r.sampled) for r in mixing.mixture(docs).collect()}
