@@ -3,7 +3,8 @@
 Token counts are summed into cells of (source, language, topic); raking multiplies one factor per
 value of each marginal until the cells' weighted tokens meet all three targets. A document's weight
 is the product of its three factors, and it is sampled with probability min(1, rate * weight) by a
-hash of its id, so the same documents come out of any run.
+hash of its id, so the same documents come out of any run. A whole sample lowers the rate until no
+cell with tokens is clipped at 1, so that the expected sampled tokens meet the targets too.
 
 Cells are counted before they are collected: up to MAX_CELLS are raked in numpy on the driver; more
 are raked as DataFrames, one aggregation and join a step.
@@ -97,7 +98,7 @@ def _raked_as_tables(cells: DataFrame, targets: dict[str, dict] | None, sweeps:
     return state.select(*MARGINS, "weight")
 
 
-def _mixed(docs: DataFrame, carry: list[str], id_col: str, text_col: str, targets, rate: float, sweeps: int, max_cells: int) -> DataFrame:
+def _mixed(docs: DataFrame, carry: list[str], id_col: str, text_col: str, targets, rate: float, sweeps: int, max_cells: int, whole: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = {m: F.coalesce(F.col(m).cast("string"), F.lit("")) for m in ("source", "lang")} | {"topic": topic_of(text)}
     tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
@@ -105,6 +106,9 @@ def _mixed(docs: DataFrame, carry: list[str], id_col: str, text_col: str, target
     cells = materialize(rows.groupBy(*(F.col(f"m_{m}").alias(m) for m in MARGINS)).agg(F.sum("m_tokens").alias("tokens")))
     few = cells.count() <= max_cells
     weights = materialize((_raked_on_driver if few else _raked_as_tables)(cells, targets, sweeps))
+    if whole:
+        top = cells.where("tokens > 0").join(weights, list(MARGINS)).agg(F.max("weight")).first()[0]
+        rate = min(rate, 1 / top) if top else rate
     same = [F.col(f"m_{m}") == F.col(m) for m in MARGINS]
     uniform = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("m_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     share = F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))
@@ -112,16 +116,17 @@ def _mixed(docs: DataFrame, carry: list[str], id_col: str, text_col: str, target
 
 
 def mixture(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict] | None = None, rate: float = RATE, sweeps: int = SWEEPS, max_cells: int = MAX_CELLS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict] | None = None, rate: float = RATE, sweeps: int = SWEEPS, max_cells: int = MAX_CELLS, whole: bool = False
 ) -> DataFrame:
     """One row per document: id, source, lang, topic, n_tokens, weight, probability, sampled.
 
     Columns source and lang must exist; their nulls are a value of their own, shown as empty. Null
     text has no tokens and the topic `prose`. targets: shares by marginal and value; a marginal that
     is not given gets its own tempered shares. Cells without tokens keep the factors they meet.
-    Repeated rows draw the same lot. An empty table gives an empty result.
+    Repeated rows draw the same lot. An empty table gives an empty result. Without `whole` the rate
+    stands as given, and cells of weight above 1 / rate fall short of their targets.
     """
-    out = _mixed(docs, [], id_col, text_col, targets, rate, sweeps, max_cells)
+    out = _mixed(docs, [], id_col, text_col, targets, rate, sweeps, max_cells, whole)
     return out.select(
         F.col("m_id").alias(id_col), *(F.col(f"m_{m}").alias(m) for m in MARGINS), F.col("m_tokens").alias("n_tokens"),
         F.round("weight", 6).alias("weight"), F.round("m_share", 6).alias("probability"), F.col("m_in").alias("sampled"),
@@ -129,8 +134,8 @@ def mixture(
 
 
 def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict] | None = None, rate: float = RATE) -> DataFrame:
-    """The rows of docs that mixture() samples, with all their columns."""
-    out = _mixed(docs, docs.columns, id_col, text_col, targets, rate, SWEEPS, MAX_CELLS).where("m_in")
+    """The rows of docs that mixture(whole=True) samples, with all their columns."""
+    out = _mixed(docs, docs.columns, id_col, text_col, targets, rate, SWEEPS, MAX_CELLS, True).where("m_in")
     return out.select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
 
 

@@ -127,6 +127,16 @@ def test_mixture_meets_targets_and_table_form_agrees(spark):
     assert all(got[k] / got.sum() == pytest.approx(v, rel=1e-3) for k, v in want.items())
 
 
+def test_sampled_tokens_meet_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mixture(docs, whole=True).toPandas()
+    rows["expected"] = rows.n_tokens * rows.probability
+    for m in mixing.MARGINS:
+        got, want = rows.groupby(m).expected.sum() / rows.expected.sum(), mixing.tempered(rows.groupby(m).n_tokens.sum().to_dict())
+        assert all(got[k] == pytest.approx(v, rel=1e-3) for k, v in want.items())
+    assert {r.doc_id for r in mixing.sample_mixture(docs).collect()} == set(rows[rows.sampled].doc_id)
+
+
 def test_mixture_of_awkward_rows(spark):
     rows = spark.createDataFrame([(1, None, None, None, "x"), (1, None, None, None, "x"), (2, "a b", "s", "en", "y")], "doc_id long, text string, source string, lang string, topic string")
     assert mixing.mixture(rows).count() == 3 and mixing.mixture(rows.limit(0)).count() == 0
