@@ -4,7 +4,7 @@ Base spans are the matches of four fixed patterns. They seed a bootstrap: the wo
 its lexical pattern. A pattern's confidence for a kind is the summed score of the known instances
 after it over all words that follow it anywhere; patterns with enough distinct instances and
 confidence score the instances they introduce, which then count for other patterns, until no pattern
-is new. Words of a kind's rough shape after a confident pattern become additional spans.
+is new and no confidence grows. Words of a kind's rough shape after a confident pattern become additional spans.
 
 The patterns below are written so that Java's matcher never backtracks over a run or recurses on a
 group: runs and groups are possessive, and a match starts where a run starts or the last match ended.
@@ -39,7 +39,9 @@ SHAPES = {
     "phone": r"^[^0-9]*(?:[0-9][-./()]?){7,14}[0-9][^0-9]*$",
 }
 SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 4
+SUPPORT, CONFIDENCE = 5, 0.8
+#: Confidences are at rest when all of them together grow by less in a round.
+REST = 1e-6
 
 
 def _digits(value: Column) -> Column:
@@ -113,21 +115,9 @@ def discovered(rows: DataFrame) -> DataFrame | None:
     rows: base_spans() with `mark`, a hash of the text that tells rows of one id apart.
     """
     tagged = [F.transform(F.col(k), lambda s, i=i: F.struct(F.lit(i).alias("kind"), s["value"].alias("value"), s["left"].alias("left"))) for i, k in enumerate(KINDS)]
-    seeds = materialize(rows.select(F.explode(F.concat(*tagged)).alias("s")).select("s.*").where("left <> ''"))
-    floor = seeds.groupBy("kind", "left").agg(F.count("*").alias("n"), F.count_distinct("value").alias("support"))
-    frequent = materialize(floor.where(F.col("support") >= SUPPORT))
-    if frequent.isEmpty():
-        return None
-    words = rows.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("left")).where("left <> ''")
-    totals = materialize(words.join(frequent.select("left").distinct(), "left").groupBy("left").agg(F.count("*").alias("total")))
-
-    def confident(known: DataFrame) -> DataFrame:
-        scored = known.groupBy("kind", "left").agg(F.sum("score").alias("mass"), F.count_distinct("value").alias("support"))
-        return scored.where(F.col("support") >= SUPPORT).join(totals, "left").withColumn("confidence", F.col("mass") / F.col("total")).where(F.col("confidence") >= CONFIDENCE)
-
-    known = seeds.withColumn("score", F.lit(1.0))
-    patterns = materialize(confident(known).select("kind", "left", "confidence"))
-    if patterns.isEmpty():
+    spans = rows.select(F.explode(F.concat(*tagged)).alias("s")).select("s.*").where("left <> ''")
+    seeds = materialize(spans.groupBy("kind", "left", "value").agg(F.count("*").alias("n")))
+    if seeds.groupBy("kind", "left").count().where(F.col("count") >= SUPPORT).isEmpty():
         return None
     loose = spans_of(F.col("text"), LOOSE, lambda v: F.lit(True))
     taken = F.concat(*(F.col(k) for k in KINDS))
@@ -135,17 +125,35 @@ def discovered(rows: DataFrame) -> DataFrame | None:
     others = rows.select("id", "mark", F.explode(free).alias("s")).select("id", "mark", "s.*")
     kinds = F.filter(F.array(*(F.when(F.col("value").rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate(KINDS))), lambda x: x.isNotNull())
     others = materialize(others.select("*", F.explode(kinds).alias("kind")))
-    found = None
-    for _ in range(ROUNDS):
-        count = patterns.count()
-        values = others.join(patterns, ["kind", "left"]).groupBy("kind", "value").agg(F.max("confidence").alias("score"))
-        found = materialize(values)
-        known = seeds.withColumn("score", F.lit(1.0)).unionByName(others.join(found, ["kind", "value"]).select("kind", "value", "left", "score"))
-        now = materialize(confident(known).select("kind", "left", "confidence"))
+    candidates = others.where("left <> ''").groupBy("kind", "left", "value").agg(F.count("*").alias("n"))
+    counted = seeds.select("*", F.lit(True).alias("base")).unionByName(candidates.select("*", F.lit(False).alias("base")))
+    # Contexts that could reach SUPPORT if all their candidates became known: no round can admit another.
+    wide = materialize(counted.groupBy("kind", "left").agg(F.count_distinct("value").alias("most")).where(F.col("most") >= SUPPORT).drop("most"))
+    words = rows.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("left")).where("left <> ''")
+    totals = words.join(wide.select("left").distinct(), "left").groupBy("left").agg(F.count("*").alias("total"))
+    counted = materialize(counted.join(wide, ["kind", "left"]).join(totals, "left"))
+    base, open_ = counted.where("base").withColumn("score", F.lit(1.0)).drop("base"), counted.where("NOT base").drop("base")
+
+    def confident(known: DataFrame) -> DataFrame:
+        scored = known.groupBy("kind", "left").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.count_distinct("value").alias("support"), F.max("total").alias("total"))
+        share = F.least(F.lit(1.0), F.col("mass") / F.col("total"))
+        return scored.where(F.col("support") >= SUPPORT).select("kind", "left", share.alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
+
+    # Scores and patterns only grow, so the rounds come to rest; a pattern may become confident after
+    # a round in which no pattern was new, so confidences must rest as well.
+    patterns, last = materialize(confident(base)), (0, 0.0)
+    while True:
+        count, total = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if not count:
+            return None
+        if count == last[0] and total - last[1] < REST:
+            break
+        last = count, total
+        values = open_.join(patterns, ["kind", "left"]).groupBy("kind", "value").agg(F.max("confidence").alias("score"))
+        known = base.unionByName(open_.join(values, ["kind", "value"]).select(*base.columns))
+        now = materialize(confident(known))
         release(patterns)
         patterns = now
-        if patterns.count() <= count:
-            break
     hits = others.join(patterns, ["kind", "left"]).select("id", "mark", "start", "kind", "end").distinct()
     return materialize(hits)
 

@@ -86,6 +86,16 @@ def test_pii(spark):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
 
 
+def test_pii_contexts_found_through_discovered_instances(spark):
+    chain = ["first:", "second:", "third:", "fourth:", "fifth:", "sixth:", "seventh:"]
+    texts = [f"zz first: user{i}@ex{i}.com end" for i in range(60)]
+    for k, (a, b) in enumerate(zip(chain, chain[1:])):  # six new values of one context are most of what the next one has
+        texts += [f"zz {x} p{k}v{i}(at)host.com end" for i in range(6) for x in (a, *[b] * 10)]
+    texts += ["zz seventh: alone1(at)host.com end", "zz never: alone2(at)host.com end"]
+    got = {r.doc_id: r.n_added for r in find_pii(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert all(got[i] == (1 if "(at)" in t and "never" not in t else 0) for i, t in enumerate(texts))
+
+
 def test_lm_scores(spark):
     rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     rows += [(9000, None), (9001, ""), (9002, " ")]
