@@ -1,8 +1,10 @@
 """Word and window hashes of Arrow string batches, in numpy over the UTF-8 bytes.
 
-A word is a run of bytes other than space and \\t to \\r, as in `[^\\x20\\x09-\\x0D]+`. A word's hash is
-a polynomial over its bytes modulo 2^64, read off prefix sums, then mixed; all words of a stretch of
-about a megabyte are hashed at once.
+A word is a run of bytes other than space and \\t to \\r, as in `[^\\x20\\x09-\\x0D]+`. A word's hash
+sums one random 64-bit number for each byte and its place in the word, read off prefix sums, then
+mixed; all words of a stretch of about a megabyte are hashed at once. The numbers of different places
+are independent, so no arrangement of a word's bytes gives two words one hash by construction, as
+it would with a polynomial modulo 2^64.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORD = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_PLACES = 64
+#: One number for each of the first places in a word and each byte; later places mix theirs again.
+_TERM = np.random.default_rng(20240229).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,16 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, STRETCH + 1)
-        up, down = np.full(size, _BASE, U64), np.full(size, pow(_BASE, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
-
-
 class Words:
     """Words of some consecutive texts: hash and byte range of each, and each text's first word.
 
@@ -78,10 +71,15 @@ def _stretch(data: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndar
     after = np.zeros(len(data), bool)
     after[:-1] = word[1:] & ~cut[1:-1]
     end = np.flatnonzero(word & ~after) + 1
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64)), begin, end
+    length = end - begin
+    place = np.flatnonzero(word) - np.repeat(begin, length)
+    letters = data[word]
+    terms = _TERM[(place & (_PLACES - 1)) * 256 + (_LOWER[letters] if lower else letters)]
+    if (far := np.flatnonzero(place >= _PLACES)).size:
+        terms[far] = mix(terms[far] ^ mix((place[far] // _PLACES).astype(U64)))
+    sums = np.append(U64(0), np.cumsum(terms))
+    last = np.cumsum(length)
+    return mix(sums[last] - sums[last - length] + length.astype(U64)), begin, end
 
 
 def words_of(texts: pa.Array, lower: bool, most_bytes: int = STRETCH) -> Iterator[Words]:
@@ -148,6 +146,7 @@ def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
         return np.empty(0, U64)
     out = np.full(n, seed + size, U64)
     for k in range(size):
+        out ^= out >> U64(29)
         out *= U64(_BASE)
         out += hashes[k : k + n]
     return mix(out)
