@@ -1,55 +1,70 @@
-"""N-gram Jaccard join with PartEnum signatures: exact links at a threshold, without all pairs.
+"""N-gram Jaccard join with two-level PartEnum signatures: exact links, without all pairs.
 
 Sets are grouped in bands of like size. Two sets with Jaccard similarity of at least 3/4 differ in
 d <= (a + b) / 7 elements, a and b their sizes, so the larger size of a band bounds d by some k. In
-each band the feature domain is split by hash into p > k partitions, and a set's signatures are the
-hashes of its parts, one a partition (PartEnum with one level and subsets of one partition). Sets
-that differ in at most k elements agree in at least p - k partitions, hence share one signature,
-unless all the parts that agree are empty. A set with p - k or more empty parts could be in that
-position; such sets, few by the choice of p, also send the elements of their prefix filter, and two
-of them that are similar share one of those. A set joins the band above too if it has partners there.
+each band the feature domain is split by hash into n1 partitions, n1 > k / 2, and each of these into
+PARTS = 3. As k differences fall on n1 partitions, some partition has at most one, so two of its three
+parts are the same in both sets: a set's signatures are, for each partition, the hashes of all its
+subsets of two parts. A set joins the band above too if it has partners there.
+
+Similar sets agree in this way in at least n1 - k // 2 partitions. A subset whose parts are empty in a
+set gives no signature; partitions in which two parts are empty may be where two sets agree, so they
+don't count, and a set with no partition left to count on (few sets) also sends the elements of its
+prefix filter; two such sets that are similar share one of those. What is left is the set's `need`:
+the least number of signatures it shares with any similar set.
 
 Signatures travel packed: an input task sends one row of sorted byte arrays to each partition, about
-nine bytes a signature. Groups of up to PAIRWISE sets with one signature give all their pairs. Larger
-groups mostly come from a passage that many texts share, and most of their sets can leave them: a set
-shares at least `need` signatures with any similar one (p - k less its empty parts), so if fewer of
-its signatures are in large groups, its partners also meet it in a small one. The sets that stay,
-such as a thousand near copies, are compared with one pivot a group.
+nine bytes a signature, and a partition expands one range of signatures at a time. Groups of up to
+PAIRWISE sets with one signature give their pairs. Larger groups come from a passage that many texts
+share, or from many near copies. A set that shares at least `need` signatures with every partner can
+leave its `need - 1` largest groups: any partner still meets it in a smaller one. This empties the
+groups of common passages. What stays, such as a thousand near copies, is compared with one pivot a
+group; then groups whose sets are not all of one component yet are dealt into cells of two blocks of
+bounded bytes, and a cell compares the sets of different components.
 
 Candidates are first thinned to one partner a set; once these give components, only pairs across
-components are compared, in small groups and large. Candidates that a 2,048-bit parity sketch rules
-out go first (each differing element flips one bit, so the bits that differ never outnumber the
-elements); the rest are verified on the whole sets. Equal sets are one class from the start.
+components are compared. Candidates that a parity sketch rules out go first (each differing element
+flips one bit, so the bits that differ never outnumber the elements); the rest are verified on the
+whole sets. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import materialize, release, shuffle_partitions, sweep
 from .components import components
 from .textbytes import U64, mix, shingle_sets, words_of
 
 PAIRWISE = 8
-SLACK = 0.22
+#: Parts of a partition, and how many of them may differ between two sets that agree in it.
+PARTS, DIFFER = 3, 1
+SUBSETS = list(combinations(range(PARTS), PARTS - DIFFER))
+#: Share of partitions beyond those that k differences can spoil.
+SLACK = 0.1
 GROWTH = 1.5
 FLUSH = 4_000_000
+#: Signatures that a partition holds packed, and that it expands at a time.
+HELD, EXPANDED = 8_000_000, 1_000_000
 SKETCH = 2048
+#: Bytes of sketches in one block of a cell.
+BLOCK = 4 << 20
 
 
-def _bands(most: int) -> list[tuple[int, int, int, int]]:
-    """(least size, largest size, k, p) of each band up to sizes of `most`, from 3 shingles on."""
+def _bands(most: int) -> list[tuple[int, int, int]]:
+    """(least size, largest size, first-level partitions) of each band up to sizes of `most`, from 3 on."""
     out, low = [], 3
     while low <= most:
         high = int(low * GROWTH)
-        k = 2 * high // 7
-        out.append((low, high, k, int(np.ceil((k + 1) / (1 - SLACK)))))
+        out.append((low, high, int(np.ceil((2 * high // 7 + 1) / (DIFFER + 1) / (1 - SLACK)))))
         low = high + 1
     return out
 
@@ -130,24 +145,29 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
         if not len(chosen):
             continue
         band, count = own[chosen] + up, sizes[chosen]
-        high, p = (np.array([b[i] for b in bands] + [1])[band] for i in (1, 3))
-        k = (count + np.minimum(high, count * 4 // 3)) // 7  # no partner here differs in more
+        high, first_level = (np.array([b[i] for b in bands] + [1])[band] for i in (1, 2))
+        most = (count + np.minimum(high, count * 4 // 3)) // 7  # no partner here differs in more
         local = np.repeat(np.arange(len(chosen)), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1][chosen], count)
         h = hashes[at]
-        first = np.cumsum(p) - p
         salt = mix(band.astype(U64) + U64(0xA5A5))
-        slot = first[local] + ((mix(h ^ salt[local]) >> U64(33)) % p[local].astype(U64)).astype(np.int64)
-        parts = np.zeros(p.sum(), U64)
+        begin = PARTS * (np.cumsum(first_level) - first_level)
+        slot = begin[local] + ((mix(h ^ salt[local]) >> U64(33)) % (PARTS * first_level[local]).astype(U64)).astype(np.int64)
+        total = PARTS * int(first_level.sum())
+        parts, filled = np.zeros(total, U64), np.bincount(slot, minlength=total).reshape(-1, PARTS)
         np.add.at(parts, slot, mix(h + U64(0x3C6EF372)))
-        filled = np.bincount(slot, minlength=len(parts)) > 0
-        holder = np.repeat(np.arange(len(chosen)), p)
-        number = np.arange(len(parts)) - first[holder]
-        sig = mix(parts ^ mix(salt[holder] + number.astype(U64)))
-        found.append((sig[filled], chosen[holder[filled]], np.full(filled.sum(), up, np.uint8)))
-        empty = np.bincount(holder[~filled], minlength=len(chosen))
-        need[chosen, up] = np.maximum(0, p - k - empty)
-        weak = np.flatnonzero(empty >= p - k)
+        parts = mix(parts + (np.arange(total) % PARTS).astype(U64)).reshape(-1, PARTS)
+        holder = np.repeat(np.arange(len(chosen)), first_level)
+        number = np.arange(len(holder)) - begin[holder] // PARTS
+        name = mix(salt[holder] + number.astype(U64))
+        for i, subset in enumerate(SUBSETS):
+            sig = mix(sum(parts[:, j] for j in subset) ^ (name + U64(i)))
+            some = filled[:, subset].any(axis=1)
+            found.append((sig[some], chosen[holder[some]], np.full(some.sum(), up, np.uint8)))
+        blind = np.bincount(holder[(filled == 0).sum(axis=1) >= PARTS - DIFFER], minlength=len(chosen))
+        agree = first_level - most // (DIFFER + 1) - blind
+        need[chosen, up] = np.maximum(0, agree)
+        weak = np.flatnonzero(agree <= 0)
         if len(weak):  # the prefix filter of these: elements in hash order, n - ceil(3n/4) + 1 of each
             length = count[weak] - (3 * count[weak] + 3) // 4 + 1
             mine = np.repeat(weak, length)
@@ -159,21 +179,22 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 def _packed(parts: int):
     """Input side: per partition one row of arrays sig (low 32 bits), high (7 bits, and one for the
-    band above), at, keys."""
+    band above), at, keys, in the order of these 39 bits."""
 
     def rows(sig: list[np.ndarray], key: list[np.ndarray], ups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s, k, u = np.concatenate(sig), np.concatenate(key), np.concatenate(ups)
         part = ((s >> U64(39)) % U64(parts)).astype(np.int64)
+        s &= U64((1 << 39) - 1)
         order = np.lexsort((k, s, part))
         s, k, part, u = s[order], k[order], part[order], u[order]
-        new = np.append(True, (s[1:] != s[:-1]) | (k[1:] != k[:-1]))
+        new = np.append(True, (s[1:] != s[:-1]) | (k[1:] != k[:-1]) | (part[1:] != part[:-1]))
         s, k, part, u = s[new], k[new], part[new], u[new]
         for p, lo, hi in zip(*_runs(part)):
             keys, at = np.unique(k[lo:hi], return_inverse=True)
             at = at.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)
             own = s[lo:hi]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in ((own & U64(0xFFFFFFFF)).astype(np.uint32), ((own >> U64(32)) & U64(127)).astype(np.uint8) | u[lo:hi] << 7, at, keys))],
+                [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in ((own & U64(0xFFFFFFFF)).astype(np.uint32), (own >> U64(32)).astype(np.uint8) | u[lo:hi] << 7, at, keys))],
                 names=["part", "sig", "high", "at", "keys"],
             )
 
@@ -204,17 +225,30 @@ def _runs(x: np.ndarray) -> tuple[list, list, list]:
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates among the sets that share a signature: (kind 0, a, b) pairs of small groups, and
-    (kind 1, group, set) of large ones, kind 2 where the signature is of the set's band above."""
-    sig, key, ups = [], [], []
+    (kind 1, group, set) of large ones, kind 2 where the signature is of the set's band above; `size`
+    is the group's."""
+    rows = []
     for batch in batches:
         for part, low, high, at, keys in zip(*(c.to_pylist() for c in batch.columns)):
             own, top = np.frombuffer(keys, np.int64), np.frombuffer(high, np.uint8)
-            where = np.frombuffer(at, np.uint16 if len(own) < 1 << 16 else np.uint32)
-            sig.append(np.frombuffer(low, np.uint32).astype(U64) | (top & 127).astype(U64) << U64(32) | U64(part) << U64(39))
-            key.append(own[where]), ups.append(top >> 7)
-    if not sig:
-        return
-    s, k, u = np.concatenate(sig), np.concatenate(key), np.concatenate(ups)
+            rows.append((part, np.frombuffer(low, np.uint32), top, np.frombuffer(at, np.uint16 if len(own) < 1 << 16 else np.uint32), own))
+    total = sum(len(r[1]) for r in rows)
+    ranges = 1
+    while ranges < 128 and total > ranges * EXPANDED:
+        ranges *= 2
+    cuts = np.arange(ranges + 1, dtype=np.int64) * (128 // ranges)
+    ends = [np.searchsorted(top & 127, cuts) for _, _, top, _, _ in rows]
+    for r in range(ranges):
+        sig, key, ups = [], [], []
+        for (part, low, top, at, own), end in zip(rows, ends):
+            now = slice(end[r], end[r + 1])
+            sig.append(low[now].astype(U64) | (top[now] & 127).astype(U64) << U64(32) | U64(part) << U64(39))
+            key.append(own[at[now]]), ups.append(top[now] >> 7)
+        if sig:
+            yield from _shared(np.concatenate(sig), np.concatenate(key), np.concatenate(ups))
+
+
+def _shared(s: np.ndarray, k: np.ndarray, u: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.argsort(s, kind="stable")
     s, k, u = s[order], k[order], u[order]
     same = np.zeros(len(s), bool)
@@ -229,7 +263,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s, k, u = s[new], k[new], u[new]
     start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
     size = np.diff(np.append(start, len(s)))
-    small = np.repeat(size, size) <= PAIRWISE
+    size = np.repeat(size, size)
+    small = size <= PAIRWISE
     pairs = [np.empty((0, 2), np.int64)]
     for gap in range(1, PAIRWISE):
         at = np.flatnonzero(small[:-gap] & (s[:-gap] == s[gap:]))
@@ -240,9 +275,82 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = np.concatenate([np.zeros(len(pairs), np.int32), 1 + u[large].astype(np.int32)])
     a = np.concatenate([pairs[:, 0], s[large].view(np.int64)])
     b = np.concatenate([pairs[:, 1], k[large]])
+    of = np.concatenate([np.zeros(len(pairs), np.int64), size[large]])
     for lo in range(0, len(kind), 100_000):
         hi = lo + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(kind[lo:hi]), pa.array(a[lo:hi]), pa.array(b[lo:hi])], names=["kind", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo:hi]) for x in (kind, a, b, of)], names=["kind", "a", "b", "size"])
+
+
+def _cell_pairs(thin: bool):
+    """Of cells, streams of rows (group, low, high, own, set_key, root, n, sketch) in that order, the
+    pairs of sets of different roots that sizes and sketches can't rule out.
+
+    A cell with low = high compares the sets of one block, else those of block low with those of
+    block high. With thin, a set and a root give one pair, the one with the nearest sketches.
+    """
+
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        table = table.sort_by("root")
+        own, key, root, n = (table.column(c).to_numpy() for c in ("own", "set_key", "root", "n"))
+        raw = table.column("sketch").to_pylist()
+        width = min(map(len, raw))
+        sketch = np.empty((len(raw), width // 8), U64)
+        for i, x in enumerate(raw):
+            sketch[i] = np.bitwise_xor.reduce(np.frombuffer(x, U64).reshape(-1, width // 8), axis=0)
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        step = max(1, (8 << 20) // max(1, width * len(right)))
+        hits = [np.empty((0, 4), np.int64)]
+        for _, start, end in zip(*_runs(root[left])):
+            after = right[np.searchsorted(right, left[end - 1], "right") :] if low == high else right[root[right] != root[left[start]]]
+            for lo in range(start, end if len(after) else start, step):
+                rows_now = left[lo : min(lo + step, end)]
+                flips = np.bitwise_count(sketch[rows_now, None, :] ^ sketch[None, after, :]).sum(axis=2, dtype=np.int64)
+                a, b = n[rows_now, None], n[None, after]
+                i, j = np.nonzero((7 * flips <= a + b) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)))
+                if len(i):
+                    hits.append(np.stack([flips[i, j], rows_now[i], root[after[j]], after[j]], axis=1))
+        found = np.concatenate(hits)
+        if thin and len(found):
+            found = found[np.lexsort((found[:, 0], found[:, 2], found[:, 1]))]
+            found = found[np.append(True, (found[1:, 1:3] != found[:-1, 1:3]).any(axis=1))]
+        a, b = key[found[:, 1]], key[found[:, 3]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            ids = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(1 + np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1))).tolist(), len(ids)] if len(ids) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and tuple(ids[lo]) != last:
+                    yield from pairs(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = tuple(ids[lo])
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _in_cells(large: DataFrame, roots: DataFrame, classes: DataFrame, parts: int, thin: bool) -> DataFrame:
+    """Candidates inside the large groups whose sets are not all of one component."""
+    rows = large.join(roots, large["set_key"] == roots["node"], "left").select("group", "set_key", F.coalesce("root", "set_key").alias("root"))
+    rows = materialize(rows)
+    mixed = rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).where("lo <> hi")
+    mixed = materialize(mixed.select("group", "sets"))
+    left = rows.join(mixed, "group").join(classes.select("set_key", "n", "sketch"), "set_key")
+    bytes_of = left.groupBy("group").agg(F.sum(F.length("sketch")).alias("bytes"))
+    blocks = materialize(bytes_of.select("group", F.ceil(F.col("bytes") / BLOCK).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    dealt = left.join(blocks, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set_key", "root", F.col("n").cast("long").alias("n"), "sketch")
+    dealt = dealt.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high")
+    found = materialize(dealt.mapInArrow(_cell_pairs(thin), "a long, b long").distinct())
+    release(rows), release(mixed), release(blocks)
+    return found
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,20 +410,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.BinaryType()).add("need", T.LongType()).add("need_above", T.LongType())
     per_doc = materialize(own.mapInArrow(_per_document, schema))
+    shingles = per_doc.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(parts, -(-int(1.2 * shingles) // HELD))
     classes = per_doc.where("n_shingles > 0").groupBy("set_key")
     same = ("sketch", "need", "need_above")  # functions of the set
     classes = materialize(classes.agg(F.min("id").alias("first"), F.any_value("n_shingles").alias("n"), *(F.any_value(c).alias(c) for c in same)))
 
     packed = own.select("text").mapInArrow(_packed(parts), "part int, sig binary, high binary, at binary, keys binary")
-    found = materialize(packed.repartition(parts, "part").mapInArrow(_groups, "kind int, a long, b long"))
+    found = materialize(packed.repartition(parts, "part").mapInArrow(_groups, "kind int, a long, b long, size long"))
     del packed
     sweep(docs.sparkSession)
     small = found.where("kind = 0").select("a", "b")
-    large = found.where("kind > 0").select("kind", F.col("a").alias("group"), F.col("b").alias("set_key"))
-    in_large = materialize(large.groupBy("set_key", "kind").agg(F.count("*").alias("n_large")))
+    large = found.where("kind > 0").select("kind", F.col("a").alias("group"), F.col("b").alias("set_key"), "size")
+    mine = W.partitionBy("set_key", "kind")  # a set has few signatures
+    large = large.withColumn("n_large", F.count("*").over(mine)).withColumn("nth", F.row_number().over(mine.orderBy("size", "group")))
     need = F.when(F.col("kind") == 1, F.col("need")).otherwise(F.col("need_above"))
-    stay = materialize(in_large.join(classes, "set_key").where(F.col("n_large") >= need).select("set_key", "kind", "n_large"))
-    large = materialize(large.join(stay, ["set_key", "kind"]).select("group", "set_key", "n_large"))
+    large = large.join(classes.select("set_key", "need", "need_above"), "set_key").where(F.col("nth") <= F.col("n_large") - F.greatest(F.lit(1), need) + 1)
+    large = materialize(large.groupBy("group", "set_key").agg(F.max("n_large").alias("n_large")))
     # The set with most signatures in large groups is the likeliest original of a group of copies.
     pivots = materialize(large.groupBy("group").agg(F.max(F.struct("n_large", "set_key"))["set_key"].alias("pivot")))
     stars = large.join(pivots, "group").where("pivot <> set_key")
@@ -330,25 +441,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not rest.isEmpty():
         links = links.union(_links(_sifted(rest, classes), classes, own))
         roots = components(links)
+    checked = pairs
+    for thin in (True, False):
+        hits = _in_cells(large, roots, classes, parts, thin)
+        if hits.isEmpty():
+            break
+        across = materialize(hits.join(checked, ["a", "b"], "left_anti"))
+        release(hits)
+        if across.isEmpty():
+            continue
+        links = links.union(_links(across, classes, own))
+        roots = components(links)
+        checked = checked.union(across)
 
     label = F.coalesce("root", "set_key").alias("root")
-    rows = materialize(large.join(roots, large["set_key"] == roots["node"], "left").select("group", "set_key", label))
-    mixed = materialize(rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group"))
-    if not mixed.isEmpty():
-        left = materialize(rows.join(mixed, "group").join(classes, "set_key").select("group", "set_key", "root", "n", "sketch"))
-        one, two = (left.select(*(F.col(c).alias(f"{c}_{x}") for c in left.columns)) for x in "ab")
-        apart = (F.col("group_a") == F.col("group_b")) & F.expr(f"set_key_a < set_key_b AND root_a <> root_b AND {_NEAR_SIZES}")
-        across = one.join(two, apart).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b")
-        across = across.mapInArrow(_sift, "a long, b long").distinct()
-        across = materialize(across.join(pairs, ["a", "b"], "left_anti"))
-        if not across.isEmpty():
-            roots = components(links.union(_links(across, classes, own)))
-        release(left), release(across)
-
     members = materialize(classes.join(roots, classes["set_key"] == roots["node"], "left").select("set_key", "first", label))
     least = materialize(members.groupBy("root").agg(F.min("first").alias("least")))
     named = materialize(members.join(least, "root").select("set_key", "least"))
-    for x in (classes, found, large, pivots, pairs, tree, rest, rows, mixed, links, members, least):
+    for x in (classes, found, large, pivots, pairs, tree, rest, members, least):
         release(x)
     out = per_doc.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least"))
