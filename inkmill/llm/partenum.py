@@ -7,11 +7,12 @@ PARTS = 3. As k differences fall on n1 partitions, some partition has at most on
 parts are the same in both sets: a set's signatures are, for each partition, the hashes of all its
 subsets of two parts. A set joins the band above too if it has partners there.
 
-Similar sets agree in this way in at least n1 - k // 2 partitions. A subset whose parts are empty in a
-set gives no signature; partitions in which two parts are empty may be where two sets agree, so they
-don't count, and a set with no partition left to count on (few sets) also sends the elements of its
-prefix filter; two such sets that are similar share one of those. What is left is the set's `need`:
-the least number of signatures it shares with any similar set.
+A partition without a difference shares three signatures, one with a single difference one, so the
+differences spoil two signatures each while they last to reach every partition, and one each beyond
+that. A subset whose parts are empty in a set gives no signature, so a partition with two empty parts
+shares two signatures without a difference and none with one. What k differences can't spoil is the
+set's `need`: the least number of signatures it shares with any similar set. Sets for which that is
+nothing (few) also send the elements of their prefix filter; two that are similar share one of those.
 
 Signatures travel packed: an input task sends one row of sorted byte arrays to each partition, about
 nine bytes a signature, and a partition expands one range of signatures at a time. Groups of up to
@@ -49,7 +50,7 @@ PAIRWISE = 8
 PARTS, DIFFER = 3, 1
 SUBSETS = list(combinations(range(PARTS), PARTS - DIFFER))
 #: Share of partitions beyond those that k differences can spoil.
-SLACK = 0.1
+SLACK = 0.2
 GROWTH = 1.5
 FLUSH = 4_000_000
 #: Signatures that a partition holds packed, and that it expands at a time.
@@ -164,9 +165,10 @@ def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
             sig = mix(sum(parts[:, j] for j in subset) ^ (name + U64(i)))
             some = filled[:, subset].any(axis=1)
             found.append((sig[some], chosen[holder[some]], np.full(some.sum(), up, np.uint8)))
-        blind = np.bincount(holder[(filled == 0).sum(axis=1) >= PARTS - DIFFER], minlength=len(chosen))
-        agree = first_level - most // (DIFFER + 1) - blind
-        need[chosen, up] = np.maximum(0, agree)
+        empty = (filled == 0).sum(axis=1)
+        three, two = (np.bincount(holder[at], minlength=len(chosen)) for at in (empty < 2, empty == 2))
+        agree = 3 * three + 2 * two - 2 * np.minimum(most, three + two) - np.minimum(np.maximum(0, most - three - two), three)
+        need[chosen, up] = agree
         weak = np.flatnonzero(agree <= 0)
         if len(weak):  # the prefix filter of these: elements in hash order, n - ceil(3n/4) + 1 of each
             length = count[weak] - (3 * count[weak] + 3) // 4 + 1
@@ -283,7 +285,7 @@ def _shared(s: np.ndarray, k: np.ndarray, u: np.ndarray) -> Iterator[pa.RecordBa
 
 def _cell_pairs(thin: bool):
     """Of cells, streams of rows (group, low, high, own, set_key, root, n, sketch) in that order, the
-    pairs of sets of different roots that sizes and sketches can't rule out.
+    (group, a, b) of sets of different roots that sizes and sketches can't rule out.
 
     A cell with low = high compares the sets of one block, else those of block low with those of
     block high. With thin, a set and a root give one pair, the one with the nearest sketches.
@@ -316,7 +318,8 @@ def _cell_pairs(thin: bool):
             found = found[np.lexsort((found[:, 0], found[:, 2], found[:, 1]))]
             found = found[np.append(True, (found[1:, 1:3] != found[:-1, 1:3]).any(axis=1))]
         a, b = key[found[:, 1]], key[found[:, 3]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        group = np.full(len(a), table.column("group")[0].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group, np.minimum(a, b), np.maximum(a, b))], names=["group", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -348,7 +351,7 @@ def _in_cells(large: DataFrame, roots: DataFrame, classes: DataFrame, parts: int
     dealt = left.join(blocks, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set_key", "root", F.col("n").cast("long").alias("n"), "sketch")
     dealt = dealt.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high")
-    found = materialize(dealt.mapInArrow(_cell_pairs(thin), "a long, b long").distinct())
+    found = materialize(dealt.mapInArrow(_cell_pairs(thin), "group long, a long, b long"))
     release(rows), release(mixed), release(blocks)
     return found
 
@@ -446,7 +449,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         hits = _in_cells(large, roots, classes, parts, thin)
         if hits.isEmpty():
             break
-        across = materialize(hits.join(checked, ["a", "b"], "left_anti"))
+        across = materialize(hits.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
+        # Groups without a hit have none later, as components only grow.
+        large = materialize(large.join(hits.select("group").distinct(), "group", "left_semi"))
         release(hits)
         if across.isEmpty():
             continue
