@@ -52,10 +52,11 @@ SUBSETS = list(combinations(range(PARTS), PARTS - DIFFER))
 #: Share of partitions beyond those that k differences can spoil.
 SLACK = 0.2
 GROWTH = 1.5
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 #: Signatures that a partition holds packed, and that it expands at a time.
-HELD, EXPANDED = 8_000_000, 1_000_000
-SKETCH = 2048
+HELD, EXPANDED = 8_000_000, 500_000
+#: Least bits of a set's sketch, and of the shorter one that cells compare first.
+SKETCH, COARSE = 2048, 256
 #: Bytes of sketches in one block of a cell.
 BLOCK = 4 << 20
 
@@ -93,6 +94,12 @@ def _sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
+def _coarse(sketch: bytes, size: int) -> bytes:
+    """A sketch folded to about a bit an element, enough to tell sets that share little."""
+    x, bits = np.frombuffer(sketch, np.uint64), max(COARSE, 1 << (max(size, 1) - 1).bit_length())
+    return np.bitwise_xor.reduce(x.reshape(-1, bits // 64), axis=0).tobytes()
+
+
 def _flips(a: bytes, b: bytes) -> int:
     """Buckets whose parity differs; the longer sketch is folded, as its buckets are residues."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -120,10 +127,10 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for words in words_of(batch.column(1), lower=True):
             hashes, bounds = shingle_sets(words)
             sizes, need = np.diff(bounds), _signatures(hashes, bounds)[3]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(words.first, words.texts), pa.array(sizes, pa.int64()), pa.array(_class_keys(hashes, bounds)), pa.array(_sketches(hashes, bounds), pa.binary()), *(pa.array(np.ascontiguousarray(need[:, i])) for i in (0, 1))],
-                names=["id", "n_shingles", "set_key", "sketch", "need", "need_above"],
-            )
+            sketches = _sketches(hashes, bounds)
+            coarse = [_coarse(x, n) for x, n in zip(sketches, sizes.tolist())]
+            columns = [batch.column(0).slice(words.first, words.texts), pa.array(sizes, pa.int64()), pa.array(_class_keys(hashes, bounds)), pa.array(sketches, pa.binary()), pa.array(coarse, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(need[:, i])) for i in (0, 1))], names=["id", "n_shingles", "set_key", "sketch", "coarse", "need", "need_above"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +351,7 @@ def _in_cells(large: DataFrame, roots: DataFrame, classes: DataFrame, parts: int
     rows = materialize(rows)
     mixed = rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).where("lo <> hi")
     mixed = materialize(mixed.select("group", "sets"))
-    left = rows.join(mixed, "group").join(classes.select("set_key", "n", "sketch"), "set_key")
+    left = rows.join(mixed, "group").join(classes.select("set_key", "n", F.col("coarse").alias("sketch")), "set_key")
     bytes_of = left.groupBy("group").agg(F.sum(F.length("sketch")).alias("bytes"))
     blocks = materialize(bytes_of.select("group", F.ceil(F.col("bytes") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
@@ -411,12 +418,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     parts = shuffle_partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.BinaryType()).add("need", T.LongType()).add("need_above", T.LongType())
+    schema = T.StructType([own.schema["id"]]).add("n_shingles", T.LongType()).add("set_key", T.LongType()).add("sketch", T.BinaryType()).add("coarse", T.BinaryType()).add("need", T.LongType()).add("need_above", T.LongType())
     per_doc = materialize(own.mapInArrow(_per_document, schema))
     shingles = per_doc.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(parts, -(-int(1.2 * shingles) // HELD))
     classes = per_doc.where("n_shingles > 0").groupBy("set_key")
-    same = ("sketch", "need", "need_above")  # functions of the set
+    same = ("sketch", "coarse", "need", "need_above")  # functions of the set
     classes = materialize(classes.agg(F.min("id").alias("first"), F.any_value("n_shingles").alias("n"), *(F.any_value(c).alias(c) for c in same)))
 
     packed = own.select("text").mapInArrow(_packed(parts), "part int, sig binary, high binary, at binary, keys binary")
@@ -455,7 +462,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         release(hits)
         if across.isEmpty():
             continue
-        links = links.union(_links(across, classes, own))
+        links = links.union(_links(_sifted(across, classes), classes, own))
         roots = components(links)
         checked = checked.union(across)
 
