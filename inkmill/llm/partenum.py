@@ -21,8 +21,7 @@ share, or from many near copies. A set that shares at least `need` signatures wi
 leave its `need - 1` largest groups: any partner still meets it in a smaller one. This empties the
 groups of common passages. What stays, such as a thousand near copies, is compared with one pivot a
 group; then groups whose sets are not all of one component yet are dealt into cells of two blocks of
-bounded bytes, and a cell compares the sets of different components: first by short sketches, which
-only tell the groups that hold a candidate at all, then, in those, by longer ones.
+bounded bytes, and a cell compares the sets of different components.
 
 Candidates are first thinned to one partner a set; once these give components, only pairs across
 components are compared. Candidates that a parity sketch rules out go first (each differing element
@@ -53,10 +52,10 @@ SUBSETS = list(combinations(range(PARTS), PARTS - DIFFER))
 #: Share of partitions beyond those that k differences can spoil.
 SLACK = 0.2
 GROWTH = 1.5
-FLUSH = 1_500_000
+FLUSH = 700_000
 #: Signatures that a partition holds packed, and that it expands at a time.
-HELD, EXPANDED = 8_000_000, 500_000
-#: Least bits of a set's sketch, and of the shorter one that cells compare first.
+HELD, EXPANDED = 2_000_000, 500_000
+#: Least bits of a set's sketch, and of the short one that pairs are sifted by first.
 SKETCH, COARSE = 2048, 256
 #: Bytes of sketches in one block of a cell.
 BLOCK = 4 << 20
@@ -239,7 +238,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     is the group's."""
     rows = []
     for batch in batches:
-        for part, low, high, at, keys in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, low, high, at, keys in zip(batch.column(0).to_pylist(), *([x.as_buffer() for x in c] for c in batch.columns[1:])):
             own, top = np.frombuffer(keys, np.int64), np.frombuffer(high, np.uint8)
             rows.append((part, np.frombuffer(low, np.uint32), top, np.frombuffer(at, np.uint16 if len(own) < 1 << 16 else np.uint32), own))
     total = sum(len(r[1]) for r in rows)
@@ -291,7 +290,7 @@ def _shared(s: np.ndarray, k: np.ndarray, u: np.ndarray) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(x[lo:hi]) for x in (kind, a, b, of)], names=["kind", "a", "b", "size"])
 
 
-def _cell_pairs(thin: bool, only_groups: bool = False):
+def _cell_pairs(thin: bool):
     """Of cells, streams of rows (group, low, high, own, set_key, root, n, sketch) in that order, the
     (group, a, b) of sets of different roots that sizes and sketches can't rule out.
 
@@ -319,14 +318,8 @@ def _cell_pairs(thin: bool, only_groups: bool = False):
                 flips = np.bitwise_count(sketch[rows_now, None, :] ^ sketch[None, after, :]).sum(axis=2, dtype=np.int64)
                 a, b = n[rows_now, None], n[None, after]
                 i, j = np.nonzero((7 * flips <= a + b) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)))
-                if len(i) and only_groups:
-                    i, j = i[:1], j[:1]
                 if len(i):
                     hits.append(np.stack([flips[i, j], rows_now[i], root[after[j]], after[j]], axis=1))
-                if only_groups and len(hits) > 1:
-                    break
-            if only_groups and len(hits) > 1:
-                break
         found = np.concatenate(hits)
         if thin and len(found):
             found = found[np.lexsort((found[:, 0], found[:, 2], found[:, 1]))]
@@ -352,20 +345,20 @@ def _cell_pairs(thin: bool, only_groups: bool = False):
     return run
 
 
-def _in_cells(large: DataFrame, roots: DataFrame, classes: DataFrame, parts: int, thin: bool, sketch: str = "sketch") -> DataFrame:
+def _in_cells(large: DataFrame, roots: DataFrame, classes: DataFrame, parts: int, thin: bool) -> DataFrame:
     """Candidates inside the large groups whose sets are not all of one component."""
     rows = large.join(roots, large["set_key"] == roots["node"], "left").select("group", "set_key", F.coalesce("root", "set_key").alias("root"))
     rows = materialize(rows)
     mixed = rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).where("lo <> hi")
     mixed = materialize(mixed.select("group", "sets"))
-    left = rows.join(mixed, "group").join(classes.select("set_key", "n", F.col(sketch).alias("sketch")), "set_key")
+    left = rows.join(mixed, "group").join(classes.select("set_key", "n", "sketch"), "set_key")
     bytes_of = left.groupBy("group").agg(F.sum(F.length("sketch")).alias("bytes"))
     blocks = materialize(bytes_of.select("group", F.ceil(F.col("bytes") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     dealt = left.join(blocks, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "set_key", "root", F.col("n").cast("long").alias("n"), "sketch")
     dealt = dealt.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high")
-    found = materialize(dealt.mapInArrow(_cell_pairs(thin, sketch == "coarse"), "group long, a long, b long"))
+    found = materialize(dealt.mapInArrow(_cell_pairs(thin), "group long, a long, b long"))
     release(rows), release(mixed), release(blocks)
     return found
 
@@ -383,10 +376,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The candidate pairs that sizes and sketches can't rule out."""
-    one, two = (classes.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b").where(_NEAR_SIZES)
-    return materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sift, "a long, b long"))
+    """The candidate pairs that sizes and sketches, first the short ones, can't rule out."""
+    for sketch in ("coarse", "sketch"):
+        one, two = (classes.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col(sketch).alias(f"sketch_{x}")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b").where(_NEAR_SIZES)
+        pairs = materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sift, "a long, b long"))
+    return pairs
 
 
 _NEAR_SIZES = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
@@ -459,9 +454,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = links.union(_links(_sifted(rest, classes), classes, own))
         roots = components(links)
     checked = pairs
-    hits = _in_cells(large, roots, classes, parts, True, "coarse")
-    large = materialize(large.join(hits.select("group").distinct(), "group", "left_semi"))
-    release(hits)
     for thin in (True, False):
         hits = _in_cells(large, roots, classes, parts, thin)
         if hits.isEmpty():
