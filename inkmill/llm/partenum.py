@@ -57,6 +57,8 @@ FLUSH = 700_000
 HELD, EXPANDED = 2_000_000, 500_000
 #: Least bits of a set's sketch, and of the short one that pairs are sifted by first.
 SKETCH, COARSE = 2048, 256
+#: Ids of texts that are sent to all workers, about 100 bytes each; more are joined by a shuffle.
+MAX_BROADCAST = 300_000
 #: Bytes of sketches in one block of a cell.
 BLOCK = 4 << 20
 
@@ -399,6 +401,8 @@ def _links(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
     """Of the candidate pairs of set keys, those that link; only their sets are built, one text each."""
     wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted.join(classes, "set_key").select("first"))
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
     texts = own.join(wanted, own["id"].eqNullSafe(wanted["first"]), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_full_sets, "set_key long, hashes array<long>"))
     del texts
