@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,9 +58,15 @@ def release(df: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, not when the driver next runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps now, not when the driver next runs short.
+
+    Python's references to the steps' plans are given up first; the JVM hears of that with a delay,
+    and the plans go with its second collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
