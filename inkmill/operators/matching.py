@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions.scalars import jaccard
+from inkmill.operators.rounds import settled
+
+#: A token of a content unit: letters and digits.
+TOKEN = re.compile(r"[^\W_]+")
 
 
 def orphans(cited: DataFrame, listed: DataFrame) -> DataFrame:
@@ -27,15 +32,20 @@ def uncited(cited: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(root, node): everything that each root includes, directly or not, itself too. edges: src, dst."""
-    edges.createOrReplaceTempView("inkmill_edges")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE reach(root, node, path) AS (
-            SELECT src AS root, src AS node, array(src) AS path FROM (SELECT DISTINCT src FROM inkmill_edges)
-            UNION ALL SELECT r.root, e.dst, array_append(r.path, e.dst) FROM reach r JOIN inkmill_edges e
-            ON r.node = e.src AND NOT array_contains(r.path, e.dst)
-        ) SELECT DISTINCT root, node FROM reach
-    """)
+    """(root, node): everything that each root includes, directly or not, itself too. edges: src, dst.
+
+    The distinct pairs known so far are joined with themselves, which doubles the length of the paths
+    they stand for, until no pair is new; each round is written, so its plan stays short.
+    """
+    edges = edges.select("src", "dst").where("src IS NOT NULL")
+    ends = edges.where("dst IS NOT NULL").distinct()
+    known, count = settled(ends), -1
+    while (now := known.count()) != count:
+        count = now
+        far = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        known = settled(known.union(far).distinct())
+    own = edges.select(F.col("src").alias("root"), F.col("src").alias("node"))
+    return own.union(known.select("src", "dst")).distinct()
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,18 +141,27 @@ def contradictions(lines: DataFrame, positive: str, negative: str) -> DataFrame:
 def near_defects(rows: DataFrame, least_words: int = 7, threshold: float = 0.8) -> DataFrame:
     """Pairs of defects of one class, severity and line whose words are similar.
 
-    rows: id, class, severity, line, words (distinct). Blocked by the equal keys and, within those, by
-    a prefix filter: similar sets share a word among the first n - ceil(threshold n) + 1 of each.
+    rows: id, class, severity, line, words (distinct); an id has one row a line. Blocked by the equal
+    keys and, within those, by a prefix filter: similar sets share a word among the first
+    n - ceil(threshold n) + 1 of each, the words in rising order of their frequency, so that common
+    words are no keys.
     """
+    keys = ["class", "severity", "line"]
+    able = rows.where(F.size("words") >= least_words).select("id", *keys, "words")
+    each = able.select("id", *keys, F.explode("words").alias("w"))
+    rare = each.groupBy(*keys, "w").agg(F.count("*").alias("n")).where("n > 1")
+    # Words that no other row of the block has can't be shared, but count as places before the others.
+    ranked = each.join(rare, [*keys, "w"]).groupBy("id", *keys).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("shared"))
+    both = able.join(ranked, ["id", *keys])
     size = F.size("words")
-    able = rows.where(size >= least_words).withColumn("words", F.array_sort("words"))
-    prefix = F.slice("words", F.lit(1), (size - F.ceil(size * F.lit(threshold)) + 1).cast("int"))
-    keyed = able.select("id", "class", "severity", "line", "words", F.explode(prefix).alias("w"))
+    left = size - F.ceil(size * F.lit(threshold)).cast("int") + 1 - (size - F.size("shared"))
+    keyed = both.where(left > 0).select("id", *keys, "words", F.explode(F.slice("shared", F.lit(1), left)).alias("s")).withColumn("w", F.col("s.w")).drop("s")
     a = keyed.select(*(F.col(c).alias(f"{c}_a") for c in keyed.columns))
     b = keyed.select(*(F.col(c).alias(f"{c}_b") for c in keyed.columns))
     same = F.expr("class_a = class_b AND severity_a = severity_b AND line_a = line_b AND w_a = w_b AND id_a < id_b")
-    pairs = a.join(b, same).select("id_a", "id_b", "words_a", "words_b").dropDuplicates(["id_a", "id_b"])
-    return pairs.withColumn("similarity", jaccard(F.col("words_a"), F.col("words_b"))).where(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")
+    near = F.expr(f"least(size(words_a), size(words_b)) >= {threshold} * greatest(size(words_a), size(words_b))")
+    pairs = a.join(b, same & near).select("id_a", "id_b", F.col("line_a").alias("line"), "words_a", "words_b").dropDuplicates(["id_a", "id_b", "line"])
+    return pairs.withColumn("similarity", jaccard(F.col("words_a"), F.col("words_b"))).where(F.col("similarity") >= threshold).select("id_a", "id_b", "line", "similarity")
 
 
 def merge_reviews(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -184,39 +203,55 @@ def manifest_digest(manifest: DataFrame, keys: list[str]) -> DataFrame:
 # Order-dependent operators: each group is one document or version, sorted before it is walked.
 
 
+def unit_similarity(a: str, b: str) -> float:
+    """1 for equal texts, else the greater of token Jaccard and sequence ratio, the latter where the
+    Jaccard is 0.25 or more or one text holds the other. Texts are normalised."""
+    if a == b:
+        return 1.0
+    mine, other = set(TOKEN.findall(a)), set(TOKEN.findall(b))
+    if not mine or not other:
+        return 0.0
+    score = len(mine & other) / len(mine | other)
+    if score >= 0.25 or a in b or b in a:
+        score = max(score, SequenceMatcher(None, a, b).ratio())
+    return score
+
+
 def match_units(base: DataFrame, candidates: DataFrame, least: float = 0.55) -> DataFrame:
-    """One-to-one matches of content units per key: equal text first, then greedily, longest base
-    units first, by max(token Jaccard, sequence ratio where Jaccard is 0.25 or more).
+    """One-to-one matches of content units per key: equal texts first, then greedily, base units with
+    most tokens first, by unit_similarity of at least `least`.
 
-    base, candidates: key, unit, text. Ties go to the lesser unit.
+    base, candidates: key, unit, text; case and white space don't count. Ties go to the lesser unit.
     """
 
     def walk(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, right = a.sort_values("unit"), b.sort_values("unit")
-        free = dict(zip(right["unit"], right["text"]))
+        plain = lambda t: " ".join(str(t).lower().split())
+        left = [(u, plain(t)) for u, t in a.sort_values("base_unit")[["base_unit", "base_text"]].itertuples(index=False)]
+        free = {u: plain(t) for u, t in b.sort_values("unit")[["unit", "text"]].itertuples(index=False)}
+        copies: dict[str, list] = {}
+        for u, t in free.items():
+            copies.setdefault(t, []).append(u)
         out, rest = [], []
-        for unit, text in zip(left["unit"], left["text"]):
-            same = next((u for u, t in free.items() if t == text), None)
-            if same is None:
-                rest.append((unit, text))
-            else:
+        for unit, text in left:
+            if copies.get(text):
+                same = copies[text].pop(0)
                 free.pop(same)
                 out.append((key[0], unit, same, 1.0))
-        for unit, text in sorted(rest, key=lambda x: (-len(x[1]), x[0])):
-            words, best, chosen = set(text.lower().split()), least, None
+            else:
+                rest.append((unit, text))
+        for unit, text in sorted(rest, key=lambda x: (-len(set(TOKEN.findall(x[1]))), x[0])):
+            best, chosen = 0.0, None
             for u, t in free.items():
-                other = set(t.lower().split())
-                score = len(words & other) / len(words | other) if words and other else 0.0
-                if score >= 0.25:
-                    score = max(score, SequenceMatcher(None, text, t, autojunk=False).ratio())
-                if score > best or (score == best and chosen is None):
+                if (score := unit_similarity(text, t)) > best:
                     best, chosen = score, u
-            if chosen is not None:
+            if chosen is not None and best >= least:
                 free.pop(chosen)
                 out.append((key[0], unit, chosen, best))
         return pd.DataFrame(out, columns=["key", "base_unit", "unit", "score"])
 
-    return base.groupBy("key").cogroup(candidates.groupBy("key")).applyInPandas(walk, "key string, base_unit long, unit long, score double")
+    # Both sides may come from one table, so each side gets columns of its own.
+    left = base.select(F.col("key").alias("base_key"), F.col("unit").alias("base_unit"), F.col("text").alias("base_text"))
+    return left.groupBy("base_key").cogroup(candidates.select("key", "unit", "text").groupBy("key")).applyInPandas(walk, "key string, base_unit long, unit long, score double")
 
 
 def merge_by_location(rows: DataFrame, least_words: int = 7, threshold: float = 0.8) -> DataFrame:
@@ -227,25 +262,25 @@ def merge_by_location(rows: DataFrame, least_words: int = 7, threshold: float =
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[tuple, list[tuple[int, set]]] = {}
+        kept: list[tuple[int, set]] = []
         counted, into = [], []
-        for r in pdf.sort_values("id").itertuples():
-            words, target = set(r.words), None
-            if r.line is not None and r.line == r.line and len(words) >= least_words:
-                key = (r.klass, r.severity, r.line)
-                for other, seen in kept.setdefault(key, []):
+        pdf = pdf.sort_values("id")
+        for r in pdf.itertuples():
+            words, target = set(r.words if r.words is not None else ()), None
+            if r.line == r.line and r.line is not None and len(words) >= least_words:
+                for other, seen in kept:
                     if len(words & seen) / len(words | seen) >= threshold:
                         target = other
                         break
                 if target is None:
-                    kept[key].append((r.id, words))
+                    kept.append((r.id, words))
             counted.append(target is None), into.append(target)
-        out = pdf.sort_values("id")[["id", "version", "source"]].copy()
+        out = pdf[["id", "version", "source"]].copy()
         out["counted"], out["merged_into"] = counted, pd.array(into, dtype="Int64")
         return out
 
     renamed = rows.select("id", "version", "source", F.col("class").alias("klass"), "severity", "line", "words")
-    return renamed.groupBy("version", "source").applyInPandas(walk, "id long, version string, source string, counted boolean, merged_into long")
+    return renamed.groupBy("version", "source", "klass", "severity", "line").applyInPandas(walk, "id long, version string, source string, counted boolean, merged_into long")
 
 
 def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

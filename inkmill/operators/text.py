@@ -81,14 +81,14 @@ def repeated_lines(lines: DataFrame, least: int = 2) -> DataFrame:
 
 
 def page_furniture(pages: DataFrame, share: float = 0.6) -> DataFrame:
-    """Lines on at least max(2, share of the pages) of a document, counted by occurrence.
+    """Lines on at least max(2, whole part of share * pages) of a document, counted by occurrence.
 
     pages: doc_id, page, text.
     """
     lines = pages.select("doc_id", "page", F.explode(F.split("text", "\n")).alias("raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
     totals = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"))
     counts = lines.groupBy("doc_id", "raw").agg(F.count("*").alias("n")).join(totals, "doc_id")
-    return counts.where(F.col("n") >= F.greatest(F.lit(2.0), F.ceil(F.col("n_pages") * share)))
+    return counts.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") * share)))
 
 
 def vocabulary(lines: DataFrame, least: int = 2) -> DataFrame:

@@ -121,17 +121,17 @@ R.add(
 
 
 def near_defects(s: SparkSession, d: str) -> DataFrame:
-    """Opening words of document lines as excerpts, blocked by language and line."""
-    lines = T.lines_of(table(s, d, "documents").select("doc_id", "text")).where("line = 1")
+    """Words of every document line as excerpts, blocked by language and line."""
+    lines = T.lines_of(table(s, d, "documents").select("doc_id", "text"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("raw"), F.lit("[a-z]+"), F.lit(0)))
     rows = lines.join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     rows = rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("class"), F.lit("minor").alias("severity"), "line", words.alias("words"))
-    return M.near_defects(rows).select("id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+    return M.near_defects(rows).select("id_a", "id_b", "line", F.round("similarity", 9).alias("similarity"))
 
 
 R.add(
     "near_defects", near_defects,
-    "WITH r AS (SELECT doc_id AS id, lang, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]+')) AS w FROM documents) SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS similarity FROM r a JOIN r b ON a.lang = b.lang AND a.id < b.id WHERE len(a.w) >= 7 AND len(b.w) >= 7 AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))",
+    "WITH l AS (SELECT doc_id AS id, lang, unnest(range(1, len(p) + 1))::INT AS line, unnest(p) AS raw FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents)), r AS MATERIALIZED (SELECT id, lang, line, list_distinct(regexp_extract_all(lower(raw), '[a-z]+')) AS w FROM l WHERE len(list_distinct(regexp_extract_all(lower(raw), '[a-z]+'))) >= 7), c AS (SELECT a.id AS id_a, b.id AS id_b, a.line, len(a.w) AS n, len(b.w) AS m, len(list_intersect(a.w, b.w)) AS k FROM r a JOIN r b ON a.lang = b.lang AND a.line = b.line AND a.id < b.id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))) SELECT id_a, id_b, line, round(k / (n + m - k), 9) AS similarity FROM c WHERE k >= 0.8 * (n + m - k)",
 )
 REVIEW_A = [("M1", "p1", "same evidence"), ("M2", "p2", "other")]
 REVIEW_B = [("M1", "p1", "same evidence"), ("M1", "p2", "same evidence"), ("M3", "p1", "new")]
@@ -167,20 +167,27 @@ R.add(
 )
 
 
+def sentences(rows: DataFrame, key: str) -> DataFrame:
+    """key, unit, text: sentences of at least 8 characters and two tokens."""
+    each = rows.select(F.col(key).alias("key"), F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("unit", "text"))
+    return each.where((F.length("text") >= 8) & (F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) >= 2)).withColumn("unit", F.col("unit").cast("long"))
+
+
 def content_units(s: SparkSession, d: str) -> DataFrame:
-    """Sentences of the first turns against those of the second turns of each conversation."""
-    turns = table(s, d, "conversations").where("turn < 2").select(F.col("conv_id").cast("string").alias("key"), "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("unit", "text"))
-    turns = turns.where(F.length("text") >= 8).withColumn("unit", F.col("unit").cast("long"))
-    return M.match_units(turns.where("turn = 0").drop("turn"), turns.where("turn = 1").drop("turn"))
+    """Sentences of each benchmark passage against those of every document that holds it."""
+    docs, items = table(s, d, "documents"), table(s, d, "benchmark")
+    pairs = contained(docs, items).withColumn("key", F.concat_ws(":", "doc_id", "item_id"))
+    base = pairs.join(items.select("item_id", "text"), "item_id").select("key", "text")
+    return M.match_units(sentences(base, "key"), sentences(pairs.join(docs.select("doc_id", "text"), "doc_id").select("key", "text"), "key"))
 
 
 R.add("content_unit_match", content_units)
 
 
 def located(s: SparkSession, d: str) -> DataFrame:
-    """Opening words of documents as defects of their source, merged by location."""
+    """Words of whole documents as defects of their source, merged by location."""
     docs = table(s, d, "documents").select("doc_id", "text", "lang", "source")
-    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 30))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("version"), F.lit("own").alias("source"), F.col("lang").alias("class"), F.lit("minor").alias("severity"), F.lit(1).alias("line"), words.alias("words"))
     return M.merge_by_location(rows)
 

@@ -88,17 +88,20 @@ R.add(
 
 
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a version holds against the base: no evidence fails, else a one-sided test of the
+    decided votes, or (`median_holds`) their median."""
     stats = S.member_stats(score_rows(spark, sf_dir), "v0")
     p = binomial_tail(F.col("base_losses").cast("int"), F.col("base_decided").cast("int"))
-    verdict = F.when(F.col("member") == "v0", F.lit(None)).otherwise(~(p < 0.05))
-    return stats.select("member", F.round(p, 9).alias("p"), verdict.alias("passes"))
+    verdict = lambda holds: F.when(F.col("member") == "v0", F.lit(None)).when(F.col("vs_base").isNull(), F.lit(False)).otherwise(holds)
+    return stats.select("member", F.round(p, 9).alias("p"), verdict(~(p < 0.05)).alias("passes"), verdict(F.col("vs_base") >= 0).alias("median_holds"))
 
 
 R.add(
     "sign_test", sign_test,
-    ROWS + """, m AS (SELECT member, least(count(*) FILTER (opponent = 'v0' AND s <> 0), 40) AS n, least(count(*) FILTER (opponent = 'v0' AND s < 0), 40) AS k FROM votes WHERE kept GROUP BY 1),
-    t AS (SELECT member, CASE WHEN n <= 0 THEN 1.0::DOUBLE ELSE coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1))) FROM range(0, 41) r(i) WHERE i >= k AND i <= n), 0) / pow(2.0, n) END AS p FROM m)
-    SELECT member, round(p, 9) AS p, CASE WHEN member = 'v0' THEN NULL ELSE NOT (p < 0.05) END AS passes FROM t""",
+    ROWS + """, m AS (SELECT member, count(*) FILTER (opponent = 'v0' AND s <> 0) AS n, count(*) FILTER (opponent = 'v0' AND s < 0) AS k, median(s) FILTER (opponent = 'v0') AS v FROM votes WHERE kept GROUP BY 1),
+    i AS (SELECT unnest(range(0, (SELECT max(n) FROM m) + 1)) AS i),
+    t AS (SELECT member, v, CASE WHEN n <= 0 THEN 1.0::DOUBLE ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i.i + 1) - lgamma(n - i.i + 1) - n * ln(2.0::DOUBLE))) FROM i WHERE i.i BETWEEN k AND n) END AS p FROM m)
+    SELECT member, round(p, 9) AS p, CASE WHEN member = 'v0' THEN NULL WHEN v IS NULL THEN false ELSE NOT (p < 0.05) END AS passes, CASE WHEN member = 'v0' THEN NULL WHEN v IS NULL THEN false ELSE v >= 0 END AS median_holds FROM t""",
 )
 R.add(
     "panel_quality", lambda s, d: S.panel_quality(score_rows(s, d)),

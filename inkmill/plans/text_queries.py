@@ -72,10 +72,11 @@ R.add(
     "repeated_lines", lambda s, d: T.repeated_lines(lines(s, d)),
     _LINES + "SELECT doc_id, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS norm, count(*) AS n FROM lines WHERE trim(regexp_replace(raw, '\\s+', ' ', 'g')) <> '' GROUP BY 1, 2 HAVING count(*) >= 2",
 )
+_HOST = "^[a-z]+://([^/]+)"
 R.add(
-    "page_furniture", lambda s, d: T.page_furniture(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")),
-    """WITH l AS (SELECT conv_id AS doc_id, turn AS page, unnest(string_split(text, chr(10))) AS raw FROM conversations), t AS (SELECT conv_id AS doc_id, count(DISTINCT turn) AS n_pages FROM conversations GROUP BY 1)
-    SELECT doc_id, raw, n, n_pages FROM (SELECT doc_id, trim(raw, ' ') AS raw, count(*) AS n FROM l WHERE trim(raw, ' ') <> '' GROUP BY 1, 2) JOIN t USING (doc_id) WHERE n >= greatest(2, ceil(n_pages * 0.6))""",
+    "page_furniture", lambda s, d: T.page_furniture(table(s, d, "pages").select(F.regexp_extract("url", _HOST, 1).alias("doc_id"), F.col("page_id").alias("page"), F.col("html").alias("text"))),
+    f"""WITH p AS (SELECT regexp_extract(url, '{_HOST}', 1) AS doc_id, page_id, html FROM pages), l AS (SELECT doc_id, unnest(string_split(html, chr(10))) AS raw FROM p), t AS (SELECT doc_id, count(DISTINCT page_id) AS n_pages FROM p GROUP BY 1)
+    SELECT doc_id, raw, n, n_pages FROM (SELECT doc_id, trim(raw, ' ') AS raw, count(*) AS n FROM l WHERE trim(raw, ' ') <> '' GROUP BY 1, 2) JOIN t USING (doc_id) WHERE n >= greatest(2, floor(n_pages * 0.6))""",
 )
 R.add("vocabulary", lambda s, d: T.vocabulary(lines(s, d)), _LINES + ", t AS (" + _tokens(T.WORDS) + " FROM lines) SELECT match AS term, count(*) AS n FROM t WHERE regexp_full_match(match, '[A-Z][a-z]{3,}') GROUP BY 1 HAVING count(*) >= 2")
 _KINDS = {"email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+[A-Za-z0-9]", "hex": r"\b[0-9a-f]{40}\b", "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"}
@@ -194,4 +195,27 @@ R.add(
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM n GROUP BY user_id, k""",
 )
+
+
+def _whole(name: str, query, sql: str) -> None:
+    """A rule over every line of every document, as `<name>_documents`."""
+    R.add(f"{name}_documents", lambda s, d: query(lines(s, d)), _LINES + sql)
+
+
+_whole("hyphen_families", T.hyphen_families, ", m AS (" + _tokens("[A-Za-z][A-Za-z-]{4,}") + " FROM lines), h AS (SELECT lower(trim(match, '-')) AS f FROM m), t AS (SELECT replace(f, '-', '') AS k, f FROM h WHERE length(replace(f, '-', '')) >= 5)" + _FAMILY + " AND min(n) >= 2 AND bool_or(contains(f, '-'))")
+_whole(
+    "claim_strength", lambda x: T.claim_strength(x, _HEDGES, _ABSOLUTES).select("doc_id", "line", F.col("n_hedge").cast("long").alias("n_hedge"), F.col("n_absolute").cast("long").alias("n_absolute")),
+    f"SELECT * FROM (SELECT doc_id, line, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_HEDGES)})\\b')) AS n_hedge, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_ABSOLUTES)})\\b')) AS n_absolute FROM lines) WHERE n_hedge > 0 OR n_absolute > 0",
+)
+_whole(
+    "term_repetition", lambda x: T.term_repetition(x).select("doc_id", "line", "gram", "n", "place"),
+    ", w AS (SELECT doc_id, line, regexp_extract_all(lower(raw), '[a-z]+') AS w FROM lines), g AS (SELECT doc_id, line, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w WHERE len(w) >= 3), c AS (SELECT doc_id, line, gram, count(*) AS n FROM g GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT doc_id, line, gram, n, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY n DESC, length(gram) DESC, gram)::INT AS place FROM c) WHERE place <= 3",
+)
+_whole(
+    "number_ledger", lambda x: T.number_ledger(x).select("doc_id", "line", "number", "unit", "grouped"),
+    ", m AS (" + _tokens("[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?(?: [A-Za-z]+)?") + " FROM lines) SELECT doc_id, line, regexp_extract(match, '^([0-9.,]+)', 1) AS number, regexp_extract(match, ' ([A-Za-z]+)$', 1) AS unit, contains(regexp_extract(match, '^([0-9.,]+)', 1), ',') AS grouped FROM m",
+)
+_whole("tex_comments", lambda x: x.where(F.contains("raw", F.lit("%"))).select("doc_id", "line", T.without_comment(F.col("raw")).alias("raw")), r"SELECT doc_id, line, regexp_extract(raw, '^((?:\\.|[^%\\])*)', 1) AS raw FROM lines WHERE contains(raw, '%')")
+_whole("empty_runs", lambda x: T.empty_runs(x).select("doc_id", "first_line", "n"), "SELECT doc_id, min(line) AS first_line, count(*) AS n FROM (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM lines WHERE trim(raw) = '') GROUP BY doc_id, g HAVING count(*) > 1")
+_whole("correspondence_glue", lambda x: T.glued_mail(x).select("doc_id", "line"), "SELECT doc_id, line FROM lines WHERE regexp_matches(raw, '[:;)][A-Za-z0-9._-]+@|[A-Za-z]:[A-Za-z0-9._-]+@')")
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -62,10 +62,42 @@ def test_sequential_functions(spark):
     assert [(c["class"], c["value"]) for c in claimed] == [("doi", "10.1000/abc.d"), ("domain", "example.org")] and fits
 
 
+def plain_matches(base, other, least=0.55):
+    """Base units to others, by all similarities at once."""
+    plain = {k: {u: " ".join(t.lower().split()) for u, t in rows} for k, rows in (("a", base), ("b", other))}
+    found = {}
+    for u in sorted(plain["a"]):
+        same = [v for v in sorted(plain["b"]) if plain["b"][v] == plain["a"][u] and v not in found.values()]
+        if same:
+            found[u] = same[0]
+    rest = [u for u in plain["a"] if u not in found]
+    for u in sorted(rest, key=lambda x: (-len(set(M.TOKEN.findall(plain["a"][x]))), x)):
+        scores = sorted((-M.unit_similarity(plain["a"][u], t), v) for v, t in plain["b"].items() if v not in found.values())
+        if scores and -scores[0][0] >= least:
+            found[u] = scores[0][1]
+    return set(found.items())
+
+
 def test_units_match_once(spark):
-    base = spark.createDataFrame([("k", 1, "the cat sat on the mat"), ("k", 2, "same text here")], "key string, unit long, text string")
-    other = spark.createDataFrame([("k", 7, "same text here"), ("k", 8, "the cat sat on a mat"), ("k", 9, "unrelated words")], "key string, unit long, text string")
-    assert {(r.base_unit, r.unit) for r in M.match_units(base, other).collect()} == {(2, 7), (1, 8)}
+    base = [(1, "the cat sat on the mat"), (2, "same text here"), (3, "Same  TEXT here"), (4, "mat"), (5, "a longer base sentence that holds the cat sat on a mat")]
+    other = [(7, "same text here"), (8, "the cat sat on a mat"), (9, "unrelated words"), (10, "same text here now")]
+    tables_ = [spark.createDataFrame([("k", *r) for r in rows], "key string, unit long, text string") for rows in (base, other)]
+    got = {(r.base_unit, r.unit) for r in M.match_units(*tables_).collect()}
+    assert got == plain_matches(base, other) and {(2, 7), (3, 10)} <= got
+
+
+def test_units_of_one_table(spark):
+    rows = spark.createDataFrame([("k", 0, 1, "one two three"), ("k", 1, 1, "one two three")], "key string, turn int, unit long, text string")
+    assert M.match_units(rows.where("turn = 0").drop("turn"), rows.where("turn = 1").drop("turn")).count() == 1
+    assert match_queries.content_units(spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_closure_of_a_dense_and_of_a_long_graph(spark):
+    layers = [(f"{i}.{a}", f"{i + 1}.{b}") for i in range(10) for a in range(4) for b in range(4)] + [("9.0", "3.1"), (None, "x"), ("y", None)]
+    got = {(r.root, r.node) for r in M.closure(spark.createDataFrame(layers, "src string, dst string")).collect()}
+    assert ("0.0", "10.3") in got and ("9.0", "9.0") in got and ("3.1", "4.0") in got and ("y", "y") in got and ("10.0", "10.0") not in got
+    chain = spark.createDataFrame([(i, i + 1) for i in range(150)], "src long, dst long")
+    assert M.closure(chain).count() == 150 + 150 * 151 // 2
 
 
 def test_passages_with_line_breaks_and_short_ones_are_found(spark):
