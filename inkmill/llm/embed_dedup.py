@@ -5,7 +5,7 @@ known for each vector. For two vectors |u.v - s t q.r| <= |s q| |e_v| + |e_u|, s
 product plus that bound is under the threshold can't link; only the others are computed again in
 double precision. Products of int8 values are exact in float32 up to 1,040 dimensions a slice.
 
-Equal vectors are one class. Classes are dealt into groups by hash, and each pair of groups is one
+Equal vectors are one class, with a number of its own. Classes are dealt into groups by hash, and each pair of groups is one
 cell, computed tile by tile in one task. A cell returns link counts and a spanning forest of its
 links, never the pairs themselves. The work is quadratic in distinct vectors, as any exact method's
 on vectors without structure; memory in a task stays that of two groups.
@@ -54,9 +54,6 @@ class Quantised:
         product = self.product(other, a, b)
         product *= other.scale[b].astype(product.dtype)
         i, j = np.nonzero(product >= (bound / self.scale[a]).astype(product.dtype)[:, None])
-        if len(i) > 0.02 * product.size:
-            i, j = np.nonzero(self.unit[a] @ other.unit[b].T >= least)
-            return i, j
         keep = [np.empty(0, bool)]
         for lo in range(0, len(i), 65536):
             x, y = self.unit[a][i[lo : lo + 65536]], other.unit[b][j[lo : lo + 65536]]
@@ -107,14 +104,15 @@ def embedding_components(
 
     Vectors that are null, zero, empty or hold null or non-finite components link with nothing, as
     do vectors of different lengths with each other. Equal vectors link. Rows come out one for one;
-    rows of one id are vectors like any others. Other columns are ignored.
+    rows of one id are vectors like any others, kept or not by their own component. A null id comes
+    after all others, so it names a component of null ids only. Other columns are ignored.
     """
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("vec"), sound.alias("sound"))
-    classes = rows.where("sound").groupBy("vec").agg(F.min("id").alias("key"), F.count("*").alias("copies"))
-    classes = materialize(classes)
+    classes = rows.where("sound").groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()))  # written once, so it stands
     groups = max(LEAST_GROUPS, -(-classes.count() // group))
     own = F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")
     dealt = classes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -124,10 +122,10 @@ def embedding_components(
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("other").alias("b")))
     known = classes.join(counts, "key", "left").join(roots, F.col("key") == roots["node"], "left")
-    known = known.select(
-        F.col("vec").alias("k_vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("component")
-    )
-    known = materialize(known)
+    known = materialize(known.select("vec", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")))
+    least_id = materialize(known.groupBy("root").agg(F.min("first").alias("component")))
+    known = materialize(known.join(least_id, "root").select(F.col("vec").alias("k_vec"), "n_links", "component"))
+    release(least_id)
     release(classes), release(found)
     out = rows.where("sound").join(known, rows["vec"] == known["k_vec"]).select("id", "n_links", "component")
     out = out.unionByName(rows.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))

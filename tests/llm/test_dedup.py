@@ -129,3 +129,40 @@ def test_embeddings(spark):
     root = brute.roots(links, count)
     got = {r[0]: tuple(r[1:]) for r in embedding_components(df, group=20).collect()}
     assert got == {i: (count[i], root[i], root[i] == i) for i in count}
+
+
+def test_embeddings_of_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "b"), (2, [1.0, 0.001], "c"), (None, [1.0, -0.001], "d"), (None, [-1.0, 0.0], "e"), (3, [0.0, 1.0], "f"), (3, [0.0, 1.0], "f")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, key string")
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_components(df).collect())
+    assert got == [(False, 1, 2, 1, True), (False, 1, 2, 1, True), (False, 2, 2, 1, False), (False, 3, 2, 1, False), (False, 3, 2, 1, False), (True, 0, 0, None, True), (True, 0, 2, 1, False)]
+    assert embedding_components(df.limit(0)).count() == 0
+
+
+def test_embeddings_at_the_threshold(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.95, float(np.sqrt(1 - 0.95**2))]), (3, [3.0, 4.0]), (4, [4.0, 3.0])]
+    got = {r.vec_id: r.n_links for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=0.96).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_word_hashes_of_like_arrangements_differ():
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    import pyarrow as pa
+
+    words = all_words(pa.array([f"{a} {b} {a}"]), lower=True).hashes
+    assert words[0] != words[1] and words[0] == words[2]
+
+
+def test_jaccard_of_repeated_rows_one_large_group_and_a_common_line(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(80)]
+    line = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in ((i, rng.randrange(80)) for i in range(120))]
+    rows += [(200 + i, " ".join(line + [f"y{i}_{k}" for k in range(rng.randint(5, 60))])) for i in range(120)]
+    rows += [(400, " ".join(f"v{k % 977}" for k in range(60000)))]
+    want = brute.jaccard(rows)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows + rows[:5], DOCS).repartition(3)).collect()}
+    assert got == want
