@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_held
+
 MEMO_WORDS = 1 << 18
 NONE = np.int64(1) << 62
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -206,14 +208,8 @@ class Encoder:
         yield from map(self._joined, held)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(WordBPE(path))
-    return _encoders[path]
+    return worker_held(("encoder", path), lambda: Encoder(WordBPE(path)))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,19 @@ def sweep(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+_held: dict[tuple, object] = {}
+
+
+def worker_held(key: tuple | None, make: Callable[[], object] | None = None) -> object:
+    """What a worker process keeps between tasks: one thing at a time, so that the memos of operators
+    that follow each other don't add up. Without a key it lets go of everything."""
+    if key not in _held:
+        _held.clear()
+        if key is not None:
+            _held[key] = make()
+    return _held.get(key)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

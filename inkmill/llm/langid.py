@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_held
+
 #: A run of letters. [^\W\d_] also lets through a few numerals such as superscripts; see _counts.
 RUN = re.compile(r"[^\W\d_]+")
 MAX_BYTES = 32
@@ -197,26 +199,21 @@ def _ahead(texts: pa.Array, memo: _Memo | None) -> Iterator[Counter]:
     yield from held
 
 
-_memos: dict[bytes, _Memo] = {}
-
-
 def _memo(model: ByteGRU) -> _Memo:
     """One memo a worker process, as workers serve many tasks."""
-    key = b"".join(v.tobytes() for v in model.p.values())
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = _Memo(model)
-    return _memos[key]
+    return worker_held(("languages", *(v.tobytes() for v in model.p.values())), lambda: _Memo(model))
 
 
 def train_language_model(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 300, max_chars: int = 20_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 300, max_chars: int = 100_000
 ) -> ByteGRU | None:
-    """Fit on about docs_per_lang hash-chosen documents of each language (and max_chars in all).
+    """Fit on about docs_per_lang hash-chosen documents of each language, of up to max_chars each.
+
+    The sample depends on ids and texts alone, not on the layout of the files, and is put in order.
 
     Returns None where no row has both a text and a language.
     """
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
+    known = docs.where((F.length(text_col) <= max_chars) & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
     if not langs:
@@ -225,10 +222,8 @@ def train_language_model(
     chosen = F.lit(False)
     for k in langs:
         chosen = chosen | ((F.col(lang_col) == k) & (bucket < int((1 << 20) * min(1.0, docs_per_lang / sizes[k]))))
-    rows, budget = {k: [] for k in langs}, max_chars
-    for r in known.where(chosen).select(lang_col, text_col).toLocalIterator():
-        if (budget := budget - len(r[1])) < 0:
-            break
+    rows = {k: [] for k in langs}
+    for r in sorted(tuple(r) for r in known.where(chosen).select(lang_col, text_col).toLocalIterator()):
         rows[r[0]] += [p for w in RUN.findall(r[1].lower()) for p in _pieces(w)]
     model = ByteGRU(langs)
     model.fit([rows[k] for k in langs])

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import materialize, release, shuffle_partitions, sweep
+from .common import materialize, release, shuffle_partitions, sweep, worker_held
 from .components import components
 from .textbytes import U64, mix, shingle_sets, words_of
 
@@ -125,6 +125,7 @@ def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_held(None)
     for batch in batches:
         for words in words_of(batch.column(1), lower=True):
             hashes, bounds = shingle_sets(words)
@@ -210,6 +211,7 @@ def _packed(parts: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_held(None)
         sig, key, ups, held = [], [], [], 0
         for batch in batches:
             for words in words_of(batch.column(0), lower=True):
