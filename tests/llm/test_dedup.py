@@ -9,7 +9,7 @@ from inkmill.llm.components import components
 from inkmill.llm.embed_dedup import embedding_components
 from inkmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from inkmill.llm.partenum import _signatures, jaccard_components, keep_one_of_each
-from inkmill.llm.substring_dedup import remove_repeats
+from inkmill.llm.substring_dedup import remove_repeats, suffix_order
 from inkmill.llm.textbytes import all_words, shingle_sets
 
 DOCS = "doc_id long, text string"
@@ -109,9 +109,32 @@ def test_repeats(spark, documents):
     for part in (rows, documents):
         got = {r[0]: tuple(r[1:]) for r in remove_repeats(spark.createDataFrame(part, DOCS).repartition(3)).collect()}
         assert got == brute.repeats(part)
+        small = remove_repeats(spark.createDataFrame(part, DOCS).repartition(3), group=5, chunk=100)  # lengthened prefixes, many chunks
+        assert {r[0]: tuple(r[1:4]) for r in small.collect()} == {k: tuple(v[:3]) for k, v in got.items()}
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeats_of_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = [(5, text, "x"), (5, text, "x"), (None, text + " end", "y"), (2, "short", "z"), (9, None, "z")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, bucket string")).collect())
+    assert got == [(False, 2, 1, 0), (False, 5, 25, 25), (False, 5, 25, 25), (False, 9, 0, 0), (True, 0, 26, 0)]
+
+
+def test_suffix_order():
+    rng = random.Random(8)
+    runs = [[rng.randint(1, 2) for _ in range(rng.randint(20, 45))] for _ in range(60)] + [[1] * 40, [1] * 30]
+    words = np.array([w for r in runs for w in r], np.uint64)
+    left = np.concatenate([np.arange(len(r), 0, -1) for r in runs])
+    at = np.flatnonzero(left >= 20)
+    order, common = suffix_order(words, left, at)
+    suffix = [words[i : i + min(int(left[i]), 32)].tolist() for i in at[order]]
+    assert suffix == sorted(suffix)
+    for a, b, n in zip(suffix, suffix[1:], common[1:]):
+        true = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert n == min(true, 31)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
