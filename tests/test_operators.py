@@ -161,3 +161,31 @@ def test_streaming_windows(spark, tmp_path):
     batch = tumbling_counts(events)
     assert spark.table("windows").select("window_start", "event_type", "n").exceptAll(batch.select("window_start", "event_type", "n")).isEmpty()
     assert spark.table("windows").count() == batch.count()
+
+
+def test_metric_numbers(spark):
+    from inkmill.operators import claims as C
+
+    same = [["0.05", ".05", "0.050", "= .05"], ["5 × 10^-8", "5 \\times 10^{-8}", "5 × 10⁻⁸", "5e-8"], ["1,200", "1200", "1\u00a0200"], ["−3", "-3.0"]]
+    for i, group in enumerate(same):
+        rows = spark.createDataFrame([(v,) for v in group], "v string").select(C.metric_number(F.col("v"))).distinct().collect()
+        assert [r[0] for r in rows] == [[0.05, 5e-8, 1200.0, -3.0][i]]
+    assert spark.createDataFrame([("<= 0.1",), ("x",)], "v string").select(C.metric_operator(F.col("v")), C.metric_number(F.col("v"))).collect() == [("<=", 0.1), ("", None)]
+
+
+def test_similar_identifiers(spark):
+    from inkmill.operators import claims as C
+
+    rows = [("doi", "10.1/ab", "10.1/xy", True), ("doi", "10.1/abc", "10.1/xyz", False), ("id", "GSE123456", "GSE123457", True), ("id", "GSE1234", "GSE12345", True), ("id", "abc", "abcd", True), ("id", "abc", "xyz", False), ("id", "same", "same", False), ("id", None, "x", False)]
+    df = spark.createDataFrame(rows, "kind string, a string, b string, want boolean")
+    got = df.select(C.identifier_similar(F.col("kind"), F.col("a"), F.col("b")), "want").collect()
+    assert all(r[0] == r[1] for r in got)
+
+
+def test_champion_keeps_the_base(spark):
+    from inkmill.operators import claims as C
+
+    schema = "member string, n long, median double, mean double, iqr double, vs_base double"
+    base = ("b", 9, 1.0, 1.0, 1.0, None)
+    for rows, want in [([base], "b"), ([base, ("x", 9, 1.0, 1.0, 1.0, 0.0)], "b"), ([base, ("x", 9, 1.0, 1.0, 0.5, 0.0)], "x"), ([base, ("x", 4, 3.0, 3.0, 0.5, 1.0)], "b"), ([base, ("x", 9, 3.0, 3.0, 0.5, -1.0), ("y", 9, 2.0, 0.0, 1.0, 1.0)], "y"), ([], "b")]:
+        assert C.champion(spark.createDataFrame(rows, schema), "b", 5).collect()[0][0] == want
