@@ -355,7 +355,8 @@ def _in_cells(large: DataFrame, roots: DataFrame, classes: DataFrame, parts: int
     rows = materialize(rows)
     mixed = rows.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("sets")).where("lo <> hi")
     mixed = materialize(mixed.select("group", "sets"))
-    left = rows.join(mixed, "group").join(classes.select("set_key", "n", "sketch"), "set_key")
+    left = rows.join(mixed, "group")
+    left = left.join(_of_keys(classes.select("set_key", "n", "sketch"), left.select("set_key")), "set_key")
     bytes_of = left.groupBy("group").agg(F.sum(F.length("sketch")).alias("bytes"))
     blocks = materialize(bytes_of.select("group", F.ceil(F.col("bytes") / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
@@ -382,12 +383,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The candidate pairs that sizes and sketches, first the short ones, can't rule out."""
     for sketch in ("coarse", "sketch"):
-        one, two = (classes.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col(sketch).alias(f"sketch_{x}")) for x in "ab")
+        some = _of_keys(classes.select("set_key", "n", sketch), pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")))
+        one, two = (some.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col(sketch).alias(f"sketch_{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").where(_NEAR_SIZES)
         pairs = materialize(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_sift, "a long, b long"))
     return pairs
 
 
+def _of_keys(classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The classes with these keys; up to MAX_BROADCAST keys go to the classes, so that sketches of sets
+    without candidates don't cross the network. More keys leave the cut to the join that follows."""
+    keys = materialize(keys.distinct())
+    return classes.join(F.broadcast(keys), "set_key", "left_semi") if keys.count() <= MAX_BROADCAST else classes
+
+
 _NEAR_SIZES = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
 
 
@@ -434,6 +443,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = ("sketch", "coarse", "need", "need_above")  # functions of the set
     classes = materialize(classes.agg(F.min("id").alias("first"), F.any_value("n_shingles").alias("n"), *(F.any_value(c).alias(c) for c in same)))
 
+    sweep(docs.sparkSession)
     packed = own.select("text").mapInArrow(_packed(parts), "part int, sig binary, high binary, at binary, keys binary")
     found = materialize(packed.repartition(parts, "part").mapInArrow(_groups, "kind int, a long, b long, size long"))
     del packed
