@@ -140,7 +140,7 @@ def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mixture_sql() -> str:
-    """DuckDB SQL of mixture() with default parameters: the sweeps unrolled into CTEs."""
+    """DuckDB SQL of mixture(whole=True) with its other parameters as they are: the sweeps unrolled into CTEs."""
     topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{part}') THEN '{name}'" for part, name in TOPICS) + " ELSE 'prose' END"
     ctes = [
         f"d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens FROM documents)",
@@ -159,10 +159,13 @@ def mixture_sql() -> str:
             now = f"SELECT cells.{m}, sum(t * ({product})) AS s FROM cells {joins} GROUP BY cells.{m}"
             ctes.append(f"f_{m}_{at[m] + 1} AS MATERIALIZED (SELECT p.{m}, p.f * CASE WHEN s > 0 THEN want / s ELSE 1 END AS f FROM f_{m}_{at[m]} p JOIN ({now}) q ON p.{m} = q.{m} JOIN w_{m} w ON p.{m} = w.{m})")
             at[m] += 1
-    joins = " ".join(f"JOIN f_{k}_{at[k]} AS x_{k} ON d.{k} = x_{k}.{k}" for k in MARGINS)
+    def joined(side: str) -> str:
+        return " ".join(f"JOIN f_{k}_{at[k]} AS x_{k} ON {side}.{k} = x_{k}.{k}" for k in MARGINS)
+
     weight = " * ".join(f"x_{k}.f" for k in MARGINS)
+    ctes.append(f"pace AS MATERIALIZED (SELECT coalesce(least({RATE}, 1 / max({weight})), {RATE}) AS rate FROM cells {joined('cells')} WHERE t > 0)")
     lot = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
     return (
         "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, d.source, d.lang, d.topic, n_tokens, round({weight}, 6) AS weight, "
-        f"round(least(1.0, {RATE} * ({weight})), 6) AS probability, {lot} < least(1.0, {RATE} * ({weight})) AS sampled FROM d {joins}"
+        f"round(least(1.0, rate * ({weight})), 6) AS probability, {lot} < least(1.0, rate * ({weight})) AS sampled FROM d {joined('d')}, pace"
     )
