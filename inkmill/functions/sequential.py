@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -156,3 +157,15 @@ def without_latex(text: pd.Series) -> pd.Series:
         return re.sub(r"[{}]", " ", re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", " ", t))
 
     return text.map(lambda t: strip(t) if isinstance(t, str) else None)
+
+
+@F.pandas_udf(T.LongType())
+def changed_words(base: pd.Series, revised: pd.Series) -> pd.Series:
+    """Words that a word-by-word comparison deletes or inserts; null counts as empty."""
+
+    def one(a: str | None, b: str | None) -> int:
+        x, y = (a or "").split(), (b or "").split()
+        steps = SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+        return sum(i2 - i1 + j2 - j1 for tag, i1, i2, j1, j2 in steps if tag != "equal")
+
+    return pd.Series([one(a, b) for a, b in zip(base, revised)], dtype="int64")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmill.functions.scalars import iqr, parse_score
+from inkmill.functions.scalars import iqr, parse_score, version_key
 
 LEAST, MOST = -4, 4
 
@@ -97,3 +97,20 @@ def newest_per_slot(rows: DataFrame) -> DataFrame:
     """The last sheet of each (member, judge) slot by time, then id."""
     order = Window.partitionBy("member", "judge").orderBy(F.col("at").desc(), F.col("ord").desc())
     return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
+def score_preview(pairs: DataFrame) -> DataFrame:
+    """The directed pairs of each round as lines of text: place 0 heads the columns, then one line a
+    member, natural version order, two decimals (ties to even), a dash on the diagonal and blanks for unjudged pairs.
+
+    Arrays and maps here hold a round's versions, as many as the printed matrix is wide.
+    """
+    pad = lambda c: F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), 8 - F.length(c))), c)
+    names = pairs.select("round", F.col("member").alias("v")).union(pairs.select("round", "opponent")).distinct()
+    versions = names.groupBy("round").agg(F.transform(F.array_sort(F.collect_list(F.struct(version_key(F.col("v")).alias("k"), "v"))), lambda x: x["v"]).alias("versions"))
+    cells = pairs.groupBy("round", "member").agg(F.map_from_entries(F.collect_list(F.struct("opponent", F.format_string("%8.2f", F.bround("score", 2))))).alias("cells"))
+    rows = versions.select("round", "versions", F.posexplode("versions").alias("pos", "member")).join(cells, ["round", "member"], "left")
+    cell = lambda v: F.when(v == F.col("member"), F.lit("       —")).otherwise(F.coalesce(F.try_element_at("cells", v), F.lit(" " * 8)))
+    body = rows.select("round", (F.col("pos") + 1).alias("place"), F.concat(pad(F.col("member")), F.lit(" "), F.array_join(F.transform("versions", cell), "")).alias("text"))
+    head = versions.select("round", F.lit(0).alias("place"), F.concat(F.lit(" " * 9), F.array_join(F.transform("versions", pad), " ")).alias("text"))
+    return head.unionByName(body)

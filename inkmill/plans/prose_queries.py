@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.operators import prose as P
+from inkmill.operators import scores as S
 from inkmill.plans.base import Registry, table
+from inkmill.plans.claim_queries import _CLAIMS, claims
+from inkmill.plans.score_queries import ROWS, score_rows
 from inkmill.plans.text_queries import _LINES as _DOCUMENT_LINES
 from inkmill.plans.text_queries import lines as document_lines
 
@@ -122,4 +125,37 @@ for _name, _both in (("concept_families", True), ("glossary_seed", False)):
         _M + """, c AS (SELECT doc_id, 'copy number' AS concept, 2 * count(*) AS n_a, count(*) AS n_b, count(*) AS n_both, 'copy number,state' AS forms_a, 'event' AS forms_b FROM lines WHERE raw LIKE 'Widths%' GROUP BY 1
         UNION ALL SELECT doc_id, 'display', count(*), 0, 0, 'figure', '' FROM lines WHERE raw LIKE 'Figure%' GROUP BY 1) SELECT * FROM c""" + (" WHERE n_b > 0" if _both else ""),
     )
+R.add(
+    "value_occurrences", lambda s, d: P.value_occurrences(claims(s, d), ["0.05", ".8", "8.1e-1", "12,345"]).select("doc_id", "line", "value", "written"),
+    _CLAIMS + r""", t AS (SELECT doc_id, line, unnest([regexp_extract(raw, 'p [<>=] ([0-9.]+)', 1), regexp_extract(raw, 'AUC = ([0-9.]+)', 1), regexp_extract(raw, 'n = ([0-9,]+)', 1)]) AS written FROM lines)
+    SELECT doc_id, line, CASE WHEN written IN ('0.05', '0.050') THEN '0.05' WHEN written = '.80' THEN '.8' WHEN written = '.81' THEN '8.1e-1' ELSE '12,345' END AS value, written FROM t WHERE written IN ('0.05', '0.050', '.80', '.81', '12,345', '12345')""",
+)
+add(
+    "long_forms_after_first", lambda x: P.long_forms_after_first(x, [("SC", "sample of cells"), ("ASL", "average spot length")], F.col("raw").startswith("#")),
+    _M + r""", c AS (SELECT doc_id, line, raw, coalesce(last_value(CASE WHEN starts_with(raw, '#') THEN raw END IGNORE NULLS) OVER w, 'front') AS section, count(*) FILTER (starts_with(raw, '#')) OVER w AS part FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    h AS (SELECT *, CASE WHEN contains(raw, 'sample of cells') THEN 'SC' ELSE 'ASL' END AS token, CASE WHEN contains(raw, 'sample of cells') THEN 'sample of cells' ELSE 'average spot length' END AS written FROM c WHERE contains(raw, 'sample of cells') OR contains(raw, 'average spot length')),
+    n AS (SELECT doc_id, section, line, token, written, row_number() OVER (PARTITION BY doc_id, part, token ORDER BY line)::INT AS use FROM h) SELECT * FROM n WHERE use > 1""",
+)
+_FORM = "CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'Data exclusions' WHEN 1 THEN ' ' WHEN 2 THEN CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'Yes, two' WHEN 1 THEN 'N/A' ELSE 'We left none out' END ELSE 'Randomization' || CASE WHEN o_custkey % 2 = 0 THEN ': no' ELSE '' END END"
+R.add(
+    "reporting_gaps", lambda s, d: P.reporting_gaps(table(s, d, "orders").selectExpr("o_custkey % 50 AS doc_id", "o_orderkey AS line", f"{_FORM} AS raw"), ["Data exclusions", "Randomization"]),
+    f"""WITH l AS (SELECT o_custkey % 50 AS doc_id, o_orderkey AS line, {_FORM} AS raw FROM orders), n AS (SELECT *, lead(raw) OVER (PARTITION BY doc_id ORDER BY line) AS below FROM l WHERE raw <> ' ')
+    SELECT doc_id, line, regexp_extract(raw, '^[^:]+') AS label FROM n WHERE raw IN ('Data exclusions', 'Randomization') AND coalesce(below, '') NOT IN ('Yes, two', 'N/A')""",
+)
+R.add(
+    "emphasis_mix", lambda s, d: P.emphasis_mix(table(s, d, "orders").selectExpr("o_custkey % 50 AS doc_id", "concat(' Term  ', CAST(o_custkey % 7 AS STRING)) AS phrase", "o_orderkey % 9 = 0 AS italic")),
+    "SELECT o_custkey % 50 AS doc_id, 'term ' || (o_custkey % 7) AS phrase, count(*) FILTER (o_orderkey % 9 = 0) AS n_italic, count(*) FILTER (o_orderkey % 9 <> 0) AS n_upright FROM orders GROUP BY 1, 2 HAVING count(*) FILTER (o_orderkey % 9 = 0) > 0 AND count(*) FILTER (o_orderkey % 9 <> 0) > 0",
+)
+R.add(
+    "first_examples", lambda s, d: P.first_examples(P.matches_of(document_lines(s, d), r"[A-Z]{2,}").select(F.col("match").alias("token"), "doc_id", "line", F.left("raw", F.lit(80)).alias("excerpt")).distinct(), ["token"], ["doc_id", "line"]),
+    _DOCUMENT_LINES + ", t AS (SELECT DISTINCT token, doc_id, line, left(raw, 80) AS excerpt FROM (SELECT doc_id, line, raw, unnest(regexp_extract_all(raw, '[A-Z]{2,}')) AS token FROM lines)) SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc_id, line)::INT AS place FROM t QUALIFY place <= 3",
+)
+R.add(
+    "score_preview", lambda s, d: S.score_preview(S.pair_scores(score_rows(s, d))),
+    ROWS + """, p AS (SELECT round, member, opponent, avg(s) AS score FROM votes WHERE kept GROUP BY 1, 2, 3), v AS (SELECT round, member AS v FROM p UNION SELECT round, opponent FROM p),
+    n AS (SELECT round, v, row_number() OVER (PARTITION BY round ORDER BY length(v), v)::INT AS place FROM v),
+    c AS (SELECT a.round, a.place, a.v, b.place AS nth, CASE WHEN a.v = b.v THEN '       —' WHEN score IS NULL THEN repeat(' ', 8) ELSE printf('%8.2f', score) END AS cell FROM n a JOIN n b ON a.round = b.round LEFT JOIN p ON p.round = a.round AND p.member = a.v AND p.opponent = b.v)
+    SELECT round, place, printf('%8s', v) || ' ' || string_agg(cell, '' ORDER BY nth) AS text FROM c GROUP BY round, place, v
+    UNION ALL SELECT round, 0, repeat(' ', 9) || string_agg(printf('%8s', v), ' ' ORDER BY place) FROM n GROUP BY round""",
+)
 QUERIES, ORACLE_SQL = R.queries, R.sql

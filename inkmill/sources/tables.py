@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,11 @@ SCORES = T.StructType([T.StructField(c, T.StringType()) for c in (
 
 
 def read_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """round<N>_raw_scores.csv files under a folder, quoted line breaks kept, faults raised."""
+    """round<N>_raw_scores.csv files under a folder, quoted line breaks kept, faults raised.
+
+    `ord` is the path, then the row: a file with quoted line breaks is read by one task, so its rows
+    keep their order, and how files are dealt to tasks makes no difference.
+    """
     rows = spark.read.schema(SCORES).csv(
         folder, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", pathGlobFilter="round*_raw_scores.csv", recursiveFileLookup=True, enforceSchema=False
     )
@@ -22,7 +29,7 @@ def read_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         F.coalesce(F.nullif(F.trim("round"), F.lit("")), named, F.lit("1")).alias("round"), "member", F.col("opponent_id").alias("opponent"), "credited", "score_as_written", "direction",
         F.col("source_judge_run").alias("judge"), F.col("source_judge_index").alias("judge_index"), F.col("sheet_target").alias("sheet"), path.alias("path"),
-        F.monotonically_increasing_id().alias("ord"),
+        F.struct(path.alias("path"), F.monotonically_increasing_id().alias("row")).alias("ord"),
     )
 
 
@@ -33,7 +40,16 @@ def dump_blocks(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("head", F.nullif(mark, F.lit(""))).withColumn("path", F.last("head", ignorenulls=True).over(order))
     rows = rows.withColumn("block", F.count("head").over(order)).where("path IS NOT NULL AND head IS NULL")
     inside = Window.partitionBy("doc_id", "block").orderBy("line")
-    return rows.select("doc_id", "path", F.row_number().over(inside).alias("nth"), "raw")
+    return rows.select("doc_id", "path", "block", F.row_number().over(inside).alias("nth"), "raw")
+
+
+def dumps(lines: DataFrame) -> DataFrame:
+    """doc_id of the texts that are listings of score files: the first row with a comma of some block
+    names an opponent column. lines: doc_id, line, raw."""
+    rows = dump_blocks(lines).where(F.contains("raw", F.lit(",")))
+    heads = rows.groupBy("doc_id", "block").agg(F.min_by("raw", "nth").alias("head"))
+    names = F.transform(F.split("head", ","), lambda x: F.lower(F.regexp_replace(x, r"^[\s\"]+|[\s\"]+$", "")))
+    return heads.where(F.arrays_overlap(names, F.array(F.lit("opponent_id"), F.lit("opponent_label")))).select("doc_id").distinct()
 
 
 def lenient_json(text: Column, schema: str) -> Column:
@@ -49,13 +65,41 @@ def code_literals(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line", F.regexp_extract("raw", pattern, 1).alias("name"), F.regexp_extract("raw", pattern, 2).alias("literal")).where("name <> ''")
 
 
+def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside `path`, then put the finished folder in its place: a failed write leaves what was
+    there. Where a store renames by copying, a reader may meet the folder missing in between."""
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(path_of(a), path_of(b)):
+            raise OSError(f"can't move {a} to {b}")
+
+    try:
+        write(new)
+        held = fs.exists(path_of(path))
+        if held:
+            move(path, old)
+        try:
+            move(new, path)
+        except Exception:
+            if held:
+                move(old, path)
+            raise
+        if held:
+            fs.delete(path_of(old), True)
+    finally:
+        fs.delete(path_of(new), True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Whole or not at all: the committer renames finished files only."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Whole or not at all: finished files take the place of the folder's old ones."""
+    _replace(df.sparkSession, path, lambda new: df.write.option("header", True).option("escape", '"').csv(new))
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    _replace(df.sparkSession, path, lambda new: df.write.json(new))
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkmill.functions import sequential as Q
 from inkmill.functions.scalars import binomial_tail, parse_score
 from inkmill.operators import matching as M
+from inkmill.operators import prose as P
 from inkmill.operators.scores import member_stats
 from inkmill.plans import match_queries
 from inkmill.plans.match_queries import contained
@@ -189,3 +190,42 @@ def test_champion_keeps_the_base(spark):
     base = ("b", 9, 1.0, 1.0, 1.0, None)
     for rows, want in [([base], "b"), ([base, ("x", 9, 1.0, 1.0, 1.0, 0.0)], "b"), ([base, ("x", 9, 1.0, 1.0, 0.5, 0.0)], "x"), ([base, ("x", 4, 3.0, 3.0, 0.5, 1.0)], "b"), ([base, ("x", 9, 3.0, 3.0, 0.5, -1.0), ("y", 9, 2.0, 0.0, 1.0, 1.0)], "y"), ([], "b")]:
         assert C.champion(spark.createDataFrame(rows, schema), "b", 5).collect()[0][0] == want
+
+
+def test_sinks_replace_whole_folders(spark, tmp_path):
+    path = str(tmp_path / "out")
+    tables.write_csv(spark.range(3).selectExpr("id", "'a,\"b' AS t"), path)
+    assert spark.read.csv(path, header=True, escape='"').count() == 3
+    tables.write_json(spark.range(2), path)
+    assert spark.read.json(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        tables.write_json(spark.range(2).selectExpr("raise_error('DIVIDE_BY_ZERO') AS x"), path)
+    assert spark.read.json(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_dumps(spark):
+    texts = {1: "$ head\n==> a.csv <==\nx, Opponent_ID\n1,2", 2: "==> a.csv <==\nx,y\nopponent_id,1", 3: "x,opponent_id", 4: "==> a <==\nnone\n==> b <==\n\n\"opponent_label\",z"}
+    rows = spark.createDataFrame([(k, i, x) for k, t in texts.items() for i, x in enumerate(t.split("\n"))], "doc_id int, line int, raw string")
+    assert sorted(r.doc_id for r in tables.dumps(rows).collect()) == [1, 4]
+
+
+def test_redline_weight(spark):
+    rows = spark.createDataFrame([(1, "a b c", "a x c", 2), (2, "a b c", "a x c", 203), (3, None, "w " * 150, 451), (4, None, None, 0)], "id int, base string, revised string, n_marked long")
+    assert [(r.id, r.n_needed, r.over_marked) for r in P.redline_weight(rows).orderBy("id").collect()] == [(1, 2, False), (2, 2, True), (3, 150, True), (4, 0, False)]
+
+
+def test_masks_keep_positions(spark):
+    rows = spark.createDataFrame([("",), ("$x$",), ("a $x$ b $y$",), (None,), ("none",)], "t string")
+    assert [r[0] for r in rows.select(P.masked_in_place(F.col("t"), P.TEX_EXEMPT)).collect()] == ["", "   ", "a     b    ", None, "none"]
+
+
+def test_entry_years(spark):
+    cases = {"A reply (2014). Nature 2016; 5": "2016", "X (2015) in 2016": "2015", "The 2015 accord. Nature, 2021.": "2021", "10.1/gb-2019-1": "2019", "none": "", "In 1999 x": "1999"}
+    rows = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert all(r[0] == r.want for r in rows.select(P.entry_year(F.col("t")), "want").collect())
+
+
+def test_written_values(spark):
+    lines = spark.createDataFrame([(1, 1, "0.05, .05 0.050 5e-2 x0.05 1.0.05 0.051 (0.05) 1,234 1234.0 12345 1,2345")], "doc_id int, line int, raw string")
+    got = [(r.value, r.written) for r in P.value_occurrences(lines, [".05", "1234"]).orderBy("nth").collect()]
+    assert got == [*((".05", x) for x in ("0.05", ".05", "0.050", "5e-2", "0.05")), ("1234", "1,234"), ("1234", "1234.0")]
