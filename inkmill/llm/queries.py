@@ -19,6 +19,7 @@ from .partenum import jaccard_components
 from .pii import find_pii
 from .quality import quality_scores, train_quality_model
 from .substring_dedup import remove_repeats
+from .vector_search import top_k_products
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,6 +74,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), whole=True)
 
 
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -82,6 +87,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, q.k, c.vec_id,
+         list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.k <> q.k AND len(c.e) = len(q.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -93,9 +112,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mixing": op10_mixing,
+    "op11_vector_search": op11_vector_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op10_mixing": mixture_sql(),
+    "op11_vector_search": OP11_SQL,
 }
