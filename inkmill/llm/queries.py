@@ -13,6 +13,7 @@ from .common import id_fold, table
 from .embed_dedup import embedding_components
 from .exact_dedup import exact_duplicates
 from .langid import identify_languages, train_language_model
+from .lexical_search import rank_documents
 from .lm_scoring import lm_scores
 from .mixing import mixture, mixture_sql
 from .partenum import jaccard_components
@@ -78,6 +79,10 @@ def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -101,6 +106,22 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_TERMS = f"regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS terms FROM documents),
+size AS (SELECT k, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM size),
+tf AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(terms) AS t FROM d) GROUP BY k, t),
+weight AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t, docs),
+item AS (SELECT row_number() OVER () AS i, item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark),
+score AS (
+  SELECT i, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+  FROM item JOIN weight USING (t) JOIN tf USING (t) JOIN size USING (k), total GROUP BY i, item_id, k, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -113,10 +134,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mixing": op10_mixing,
     "op11_vector_search": op11_vector_search,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op10_mixing": mixture_sql(),
     "op11_vector_search": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
