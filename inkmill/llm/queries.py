@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .collocations import collocations
 from .common import id_fold, table
 from .embed_dedup import embedding_components
 from .exact_dedup import exact_duplicates
@@ -83,6 +84,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4_SQL = f"""
@@ -122,6 +127,32 @@ score AS (
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+OP13_SQL = f"""
+WITH piece AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM piece GROUP BY lang),
+start AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece WHERE len(w) > 0),
+phrase AS (SELECT lang, list_slice(w, i, i + k - 1) AS words FROM start, range(1, 6) AS t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, words, count(*)::HUGEINT AS a FROM phrase GROUP BY lang, words HAVING count(*) >= 100),
+longer AS (
+  SELECT DISTINCT s.lang, s.words, s.a
+  FROM (SELECT lang, list_slice(words, i, i + k - 1) AS words, a
+        FROM f, range(1, 5) AS x(i), range(2, 5) AS t(k) WHERE k < len(words) AND i + k - 1 <= len(words)) AS s
+), gone AS (SELECT DISTINCT f.lang, f.words FROM f JOIN longer AS s ON f.lang = s.lang AND f.words = s.words AND 100 * s.a >= 100 * f.a),
+cut AS (
+  SELECT c.lang, c.words, c.a, n, k, x.a AS l, y.a AS r, (1000 * c.a * n) // (x.a * y.a) AS score
+  FROM (SELECT lang, words, a, unnest(range(1, len(words))) AS k FROM f WHERE len(words) > 1) AS c JOIN total USING (lang)
+  JOIN f AS x ON x.lang = c.lang AND x.words = list_slice(c.words, 1, k) JOIN f AS y ON y.lang = c.lang AND y.words = list_slice(c.words, k + 1, len(c.words))
+  ANTI JOIN gone AS g ON g.lang = c.lang AND g.words = c.words
+), worst AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM cut),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, l, r, n, score
+  FROM worst WHERE place = 1
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -135,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_vector_search": op11_vector_search,
     "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -142,4 +174,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_mixing": mixture_sql(),
     "op11_vector_search": OP11_SQL,
     "op12_lexical_search": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
