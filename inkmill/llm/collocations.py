@@ -6,11 +6,12 @@ one. (The words' counts come first; a bitmap of fixed size tells the workers whi
 `least`. Two words may share a bit: then a suffix is longer than it need be, and the result the same.)
 Tasks add up equal suffixes as they go, which is what makes copies and common passages cheap.
 
-Suffixes are shuffled by language and first word into ranges of that order, then sorted in reverse
-lexicographic order. One stack of open prefixes counts all prefixes in one pass over a range. The
-ranges are even by a sample of suffixes (it only decides where ranges end), so a very common first
-word spans several of them. A prefix that meets either end of a range may go on in the next: it
-leaves with the count it has, whatever that is, and these parts are summed afterwards.
+Suffixes are shuffled by language and first word into ranges of that order, as runs in which each
+keeps only what differs from the one before. There they are sorted in reverse lexicographic order, and
+one stack of open prefixes counts all prefixes in one pass. The ranges are even by a sample of
+suffixes (it only decides where ranges end), so a very common first word spans several of them. A
+prefix that meets either end of a range may go on in the next: it leaves with the count it has,
+whatever that is, and these parts are summed afterwards.
 
 Counts of a phrase's parts are joined to it afterwards, for each place where it can be cut.
 """
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +34,9 @@ STRETCH = 1 << 22
 SLOTS = 1 << 26
 BLOCK = 1 << 16
 MOST_WORDS = 400_000
-SAMPLE_DOCS, SAMPLE_ROWS = 2000, 20_000
-RANGES_PER_PARTITION = 3
+SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_STEP = 2000, 100_000, 32
+#: Ranges to a shuffle partition at least, and words to a range at most (24 bytes each where it is counted).
+RANGES_PER_PARTITION, RANGE_WORDS = 3, 4_000_000
 
 _END = b"\xff"  # in no UTF-8 text, so it can stand for the end of a piece
 _FOLD = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -172,117 +173,140 @@ def lower_bound(values: list[bytes], rows: np.ndarray, words: tuple[bytes, ...])
     return lo
 
 
-def _suffix_rows(size: int, bitmap, bounds: list[tuple[bytes, ...]]):
-    """(part, lang, w1 ... , count): part is the number of bounds that are not above the suffix."""
+def _narrow(values: np.ndarray) -> tuple[bytes, int]:
+    """Whole numbers from 0 on in as few bytes each as the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if values.max(initial=0) < 1 << 8 * w)
+    return values.astype(f"<u{width}").tobytes(), width
+
+
+def packed(values: list[bytes], rows: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """(words, shape, tails, counts) of sorted suffixes: each row keeps what differs from the one before.
+
+    shape holds a byte a row, 16 times the words shared with the row before plus the row's words.
+    """
+    length = (rows >= 0).sum(axis=1)
+    same = np.zeros_like(rows, dtype=bool)
+    same[1:] = (rows[1:] == rows[:-1]) & (rows[1:] >= 0)
+    shared = np.minimum.accumulate(same, axis=1).sum(axis=1)
+    own = (np.arange(rows.shape[1]) >= shared[:, None]) & (rows >= 0)
+    used, tails = np.unique(rows[rows >= 0], return_inverse=True)
+    number = np.zeros_like(rows)
+    number[rows >= 0] = tails
+    tails, width = _narrow(number[own])
+    times, count_width = _narrow(counts)
+    shape = np.concatenate([np.array([width, count_width]), 16 * shared + length]).astype(np.uint8)
+    return _END.join(values[i] for i in used), shape.tobytes(), tails, times
+
+
+def unpacked(words: bytes, shape: bytes, tails: bytes, counts: bytes, size: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(values, rows, counts) as they were given to `packed`, without unused values."""
+    shape = np.frombuffer(shape, np.uint8)
+    flat, times = np.frombuffer(tails, f"<u{shape[0]}").astype(np.int64), np.frombuffer(counts, f"<u{shape[1]}").astype(np.int64)
+    shared, length = (shape[2:] // 16).astype(np.int64), (shape[2:] % 16).astype(np.int64)
+    start = np.append(0, np.cumsum(length - shared)[:-1]) - shared
+    rows = np.full((len(length), size), -1, np.int64)
+    for k in range(size):
+        own = (shared <= k) & (k < length)
+        rows[own, k] = flat[start[own] + k]
+        last = np.maximum.accumulate(np.where(shared <= k, np.arange(len(length)), -1))  # the row this word was written in
+        rows[:, k] = rows[last, k]
+    return words.split(_END), rows, times
+
+
+def _frequent(bits: np.ndarray, lang: bytes):
+    def known(word: bytes) -> bool:
+        slot = _slot(lang, word)
+        return word != _END and bool(bits[slot >> 3] >> (slot & 7) & 1)
+
+    return known
+
+
+def _some_suffixes(size: int, bitmap):
+    """(lang, words) of every SAMPLE_STEP-th suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in batches:
             for name, texts in _by_lang(batch):
-                lang = name.encode()
-                below = sum(b[0] < lang for b in bounds)
-                own_bounds = [b[1:] for b in bounds if b[0] == lang]
+                for words, own in stretches(texts, size - 1):
+                    values, rows, _ = _suffixes(words, own, _frequent(bitmap.value, name.encode()), size)
+                    some = [_END.join(values[i] for i in r if i >= 0) for r in rows[::SAMPLE_STEP].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.binary())], ["lang", "words"])
+
+    return run
+
+
+def _suffix_runs(size: int, bitmap, bounds):
+    """(part, lang, words, shape, tails, counts): the suffixes of a stretch that fall into one range.
 
-                def frequent(word: bytes, lang: bytes = lang) -> bool:
-                    slot = _slot(lang, word)
-                    return word != _END and bool(bits[slot >> 3] >> (slot & 7) & 1)
+    A range's number is that of the bounds that are not above its suffixes.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, texts in _by_lang(batch):
+                lang = name.encode()
+                below = sum(b[0] < lang for b in bounds.value)
+                own_bounds = [b[1:] for b in bounds.value if b[0] == lang]
                 for words, own in stretches(texts, size - 1):
-                    values, rows, counts = _suffixes(words, own, frequent, size)
-                    if not len(rows):
-                        continue
-                    cuts = np.zeros(len(rows) + 1, np.int64)
-                    for b in own_bounds:
-                        cuts[lower_bound(values, rows, b)] += 1
-                    table = pa.array(values, pa.binary()).cast(pa.string())
-                    taken = [table.take(pa.array(rows[:, k], mask=rows[:, k] < 0)) for k in range(size)]
-                    part = pa.array(below + np.cumsum(cuts[:-1]), pa.int32())
-                    yield pa.RecordBatch.from_arrays([part, pa.array([name] * len(rows)), *taken, pa.array(counts, pa.int64())], ["part", "lang", *(f"w{k + 1}" for k in range(size)), "count"])
+                    values, rows, counts = _suffixes(words, own, _frequent(bitmap.value, lang), size)
+                    cuts = [0, *(lower_bound(values, rows, b) for b in own_bounds), len(rows)]
+                    out = [(below + i, name, *packed(values, rows[lo:hi], counts[lo:hi])) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
+                    if out:
+                        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 4]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["part", "lang", "words", "shape", "tails", "counts"])
 
     return run
 
 
-class _Stack:
-    """Open prefixes of 2 to `size` words of the row before, with their counts so far."""
-
-    def __init__(self, size: int, least: int):
-        self.size, self.least = size, least
-        self.row: tuple | None = None
-        self.counts = [0] * (size + 1)
-        self.first = [False] * (size + 1)
-        self.out: list[tuple[str, int, str, int]] = []
-
-    def close(self, k: int, at_end: bool) -> None:
-        """Give a prefix's count if it is enough, or if the prefix may go on in another range."""
-        if self.counts[k] and (self.counts[k] >= self.least or self.first[k] or at_end):
-            self.out.append((self.row[1], k, " ".join(self.row[2 : 2 + k]), self.counts[k]))
-        self.counts[k], self.first[k] = 0, False
-
-    def push(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, count = batch.num_rows, np.asarray(batch.column("count"))
-        head = tuple(c[0].as_py() for c in batch.columns[:-1])
-        same, changes = np.ones(n, bool), []
-        for j, column in enumerate(batch.columns[:-1]):
-            same[1:] &= np.asarray(pc.equal(column[1:], column[:-1]).fill_null(False))
-            same[0] &= self.row is not None and head[j] is not None and head[j] == self.row[j]
-            changes.append(~same)
-        part = changes[0]
-        for k in range(self.size, 1, -1):
-            words = batch.columns[2 : 2 + k]
-            valid, change = np.asarray(words[-1].is_valid()), changes[1 + k]
-            sums = np.append(0, np.cumsum(np.where(valid, count, 0)))
-            breaks = np.flatnonzero(change)
-            upto = breaks[0] if len(breaks) else n
-            self.counts[k] += int(sums[upto])
-            if not len(breaks):
-                continue
-            self.close(k, bool(part[upto]))
-            start = breaks[valid[breaks]]
-            if not len(start):
-                continue
-            end = np.append(breaks, n)[np.searchsorted(breaks, start, "right")]
-            total = sums[end] - sums[start]
-            still = end == n
-            give = ~still & ((total >= self.least) | part[start] | part[np.minimum(end, n - 1)])
-            if give.any():
-                at = pa.array(start[give])
-                phrase = pc.binary_join_element_wise(*(w.take(at) for w in words), " ")
-                yield _counted(batch.column("lang").take(at), [k] * len(at), phrase, total[give])
-            if still[-1]:
-                self.counts[k], self.first[k] = int(total[-1]), bool(part[start[-1]])
-        self.row = tuple(c[n - 1].as_py() for c in batch.columns[:-1])
-        yield from self.given()
-
-    def given(self) -> Iterator[pa.RecordBatch]:
-        if self.out:
-            lang, k, phrase, total = zip(*self.out)
-            self.out = []
-            yield _counted(pa.array(lang, pa.string()), list(k), pa.array(phrase, pa.string()), np.array(total))
-
-
-def _counted(lang: pa.Array, size: list[int], phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, pa.array(size, pa.int32()), phrase, pa.array(count, pa.int64())], ["lang", "size", "phrase", "count"])
+def count_prefixes(rows: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, rows, counts) of the prefixes of k words, 2 or more, of suffixes in reverse lexicographic order.
+
+    The stack of open prefixes is worked through for all rows at once: the prefix of k words at a row
+    is opened where it differs from the row before and closed where it differs from the row after.
+    One that closes with less than `least` is dropped, unless it was open at either end.
+    """
+    differs = np.zeros(len(rows), bool)
+    differs[:1] = True
+    for k in range(1, rows.shape[1] + 1):
+        differs[1:] |= rows[1:, k - 1] != rows[:-1, k - 1]
+        if k == 1:
+            continue
+        opened = np.flatnonzero(differs & (rows[:, k - 1] >= 0))
+        if not len(opened):
+            return
+        edges = np.append(np.flatnonzero(differs), len(rows))
+        closed = edges[np.searchsorted(edges, opened, "right")]
+        sums = np.append(0, np.cumsum(counts))
+        total = sums[closed] - sums[opened]
+        give = (total >= least) | (opened == 0) | (closed == len(rows))
+        yield k, opened[give], total[give]
 
 
 def _prefix_counts(size: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = _Stack(size, least)
-        for batch in batches:
-            if batch.num_rows:
-                yield from stack.push(batch)
-        for k in range(size, 1, -1):
-            stack.close(k, True)
-        yield from stack.given()
+    def run(runs: pa.Table) -> pa.Table:
+        parts = [unpacked(*(c.as_py() for c in r), size) for r in zip(*(runs.column(c) for c in ("words", "shape", "tails", "counts")))]
+        values = sorted(set().union(*(p[0] for p in parts)))
+        number = {w: i for i, w in enumerate(values)}
+        rows = np.concatenate([np.append(np.array([number[w] for w in own]), -1)[r] for own, r, _ in parts])
+        counts = np.concatenate([p[2] for p in parts])
+        order = np.lexsort(rows.T[::-1])[::-1]
+        rows, counts = rows[order], counts[order]
+        held = [[], [], []]
+        for k, at, total in count_prefixes(rows, counts, least):
+            held[0] += [k] * len(at)
+            held[1] += [b" ".join(values[i] for i in r).decode() for r in rows[at, :k].tolist()]
+            held[2] += total.tolist()
+        lang = runs.column("lang")[0].as_py()
+        return pa.table({"lang": pa.array([lang] * len(held[0]), pa.string()), "size": pa.array(held[0], pa.int32()), "phrase": pa.array(held[1], pa.string()), "count": pa.array(held[2], pa.int64())})
 
     return run
 
 
-def _bounds(rows: DataFrame, ranges: int, size: int) -> list[tuple[bytes, ...]]:
+def _bounds(sample: DataFrame, ranges: int, size: int) -> list[tuple[bytes, ...]]:
     """Where ranges end: evenly spaced suffixes of a bounded sample."""
-    names = ["lang", *(f"w{k + 1}" for k in range(size))]
-    sample = rows.orderBy(F.xxhash64(*names)).limit(SAMPLE_ROWS).select(*names).collect()
-    sample = sorted(tuple((x or "").encode() for x in r) for r in sample)
-    return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    rows = sorted((r["lang"].encode(), *bytes(r["words"]).split(_END)) for r in sample.limit(SAMPLE_ROWS).collect())
+    rows = [r + (b"",) * (size + 1 - len(r)) for r in rows]
+    return sorted({rows[i * len(rows) // ranges] for i in range(1, ranges)}) if rows else []
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, max_n: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -294,12 +318,12 @@ def phrase_counts(docs: DataFrame, least: int = 100, max_n: int = 5, lang_col: s
     counts = materialize(counts.where(F.col("word").isNull() | (F.col("f") >= least)))
     words = counts.where("word IS NOT NULL")
     bitmap = spark.sparkContext.broadcast(_bitmap(words))
-    kind = "part int, lang string, " + "".join(f"w{k + 1} string, " for k in range(max_n)) + "count long"
-    some = texts.sample(min(1.0, SAMPLE_DOCS / max(1, texts.count())), seed=13)
-    bounds = _bounds(some.mapInArrow(_suffix_rows(max_n, bitmap, []), kind), RANGES_PER_PARTITION * shuffle_partitions(spark), max_n)
-    rows = texts.mapInArrow(_suffix_rows(max_n, bitmap, bounds), kind)
-    dealt = rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", *(F.col(c).desc_nulls_last() for c in ["lang", *(f"w{k + 1}" for k in range(max_n))]))
-    parts = dealt.mapInArrow(_prefix_counts(max_n, least), "lang string, size int, phrase string, count long")
+    tokens = counts.where("word IS NULL").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    ranges = max(RANGES_PER_PARTITION * shuffle_partitions(spark), -(-tokens // RANGE_WORDS))
+    some = texts.sample(min(1.0, SAMPLE_DOCS / max(1, texts.count())), seed=13).mapInArrow(_some_suffixes(max_n, bitmap), "lang string, words binary")
+    bounds = spark.sparkContext.broadcast(_bounds(some, ranges, max_n))
+    runs = texts.mapInArrow(_suffix_runs(max_n, bitmap, bounds), "part int, lang string, words binary, shape binary, tails binary, counts binary")
+    parts = runs.groupBy("part", "lang").applyInArrow(_prefix_counts(max_n, least), "lang string, size int, phrase string, count long")
     phrases = parts.groupBy("lang", "size", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
     single = words.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), "f")
     out = materialize(phrases.unionByName(single))

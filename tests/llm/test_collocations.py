@@ -3,11 +3,10 @@ import random
 import re
 
 import brute
-import pyarrow as pa
 import pytest
 
 from inkmill.llm import collocations as module
-from inkmill.llm.collocations import _FOLD, _END, _prefix_counts, _suffixes, collocations, lower_bound, stretches
+from inkmill.llm.collocations import _END, _FOLD, _suffixes, collocations, count_prefixes, lower_bound, packed, stretches, unpacked
 
 
 def brute_collocations(rows, least, max_n=5, share=100, most=2000):
@@ -70,7 +69,7 @@ def test_stretches_lose_no_phrase():
             at += own
 
 
-def test_prefixes_are_summed_over_ranges_and_batches():
+def test_prefixes_are_summed_over_ranges():
     rng = random.Random(2)
     words = [rng.choice([b"a", b"b", b"c", _END]) for _ in range(3000)]
     values, rows, counts = _suffixes(words, len(words), lambda w: w != _END, 4)
@@ -85,17 +84,16 @@ def test_prefixes_are_summed_over_ranges_and_batches():
     assert cuts == [sum(r < b for r in decoded) for b in bounds]
     found = collections.Counter()
     for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
-        part = [(lo, "en", *(w.decode() or None for w in decoded[i]), int(counts[i])) for i in range(hi - 1, lo - 1, -1)]
-        names = ["part", "lang", "w1", "w2", "w3", "w4", "count"]
-        for step in (1, 5, 1000):
-            batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part[i : i + step]), [pa.int32(), *[pa.string()] * 5, pa.int64()])], names) for i in range(0, len(part), step)]
-            if step == 1:
-                ends = {p for b in _prefix_counts(4, 10**9)(iter(batches)) for p in b.column("phrase").to_pylist()}
-                assert len(ends) <= 6  # only what meets an end of the range leaves with too few
-            total = collections.Counter()
-            for b in _prefix_counts(4, 1)(iter(batches)):
-                total.update(dict(zip(b.column("phrase").to_pylist(), b.column("count").to_pylist())))
-        found.update(total)
+        if lo == hi:
+            continue
+        own, again, times = unpacked(*packed(values, rows[lo:hi], counts[lo:hi]), 4)
+        assert [[own[x] for x in r if x >= 0] for r in again.tolist()] == [[values[x] for x in r if x >= 0] for r in rows[lo:hi].tolist()]
+        assert times.tolist() == counts[lo:hi].tolist()
+        down = rows[lo:hi][::-1], counts[lo:hi][::-1]
+        for k, at, total in count_prefixes(*down, 1):
+            for i, n in zip(at, total):
+                found[b" ".join(values[x] for x in down[0][i, :k]).decode()] += int(n)
+        assert sum(len(at) for _, at, _ in count_prefixes(*down, 10**9)) <= 6  # only what meets an end leaves with too few
     assert found == want
 
 
