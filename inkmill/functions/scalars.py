@@ -147,3 +147,18 @@ def citation_numbers(inner: Column) -> Column:
         return F.when(years, F.array().cast("array<int>")).when(fill, F.sequence(F.least(a, b), F.greatest(a, b))).otherwise(ends)
 
     return F.flatten(F.transform(parts, numbers))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Every match of a pattern from left to right: an array of (start, text), start counted from 0."""
+    said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    kept = F.slice(F.split(text, pattern, -1), 1, F.size(said))
+    each = F.zip_with(said, kept, lambda s, k: F.struct(F.length(k).alias("gap"), s.alias("text")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+
+    def step(held: Column, m: Column) -> Column:
+        start = held["at"] + m["gap"]
+        one = F.array(F.struct(start.alias("start"), m["text"].alias("text")))
+        return F.struct((start + F.length(m["text"])).alias("at"), F.concat(held["out"], one).alias("out"))
+
+    return F.aggregate(each, none, step)["out"]

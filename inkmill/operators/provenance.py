@@ -150,13 +150,11 @@ def denials(texts: DataFrame) -> DataFrame:
     where in this excerpt (from 0) it starts. White space runs count as one space."""
     text = F.trim(F.regexp_replace(F.coalesce("raw", F.lit("")), r"\s+", " "))
     rows = texts.select("doc_id", "line", text.alias("s")).where(F.col("s").rlike(DENIAL))
-    rows = rows.withColumn("said", F.regexp_extract_all("s", F.lit(DENIAL), F.lit(0))).withColumn("kept", F.transform(F.split("s", DENIAL, -1), F.length))
-    ends = F.transform("said", lambda p, i: F.aggregate(F.slice("kept", 1, i + 1), F.lit(0), lambda n, x: n + x) + F.aggregate(F.slice("said", 1, i), F.lit(0), lambda n, x: n + F.length(x)))
-    rows = rows.select("doc_id", "line", "s", F.posexplode(F.arrays_zip("said", ends.alias("start"))).alias("nth", "d"))
+    rows = rows.select("doc_id", "line", "s", F.posexplode(X.match_spans(F.col("s"), DENIAL)).alias("nth", "d"))
     start = F.col("d.start")
     lo = F.greatest(start - REACH, F.lit(0))
-    excerpt = F.substring(F.col("s"), lo + 1, start + F.length("d.said") + REACH - lo)
-    return rows.select("doc_id", "line", "nth", excerpt.alias("claim"), (start - lo).alias("at"), F.col("d.said").rlike(METHOD_DENIAL).alias("method_only"))
+    excerpt = F.substring(F.col("s"), lo + 1, start + F.length("d.text") + REACH - lo)
+    return rows.select("doc_id", "line", "nth", excerpt.alias("claim"), (start - lo).alias("at"), F.col("d.text").rlike(METHOD_DENIAL).alias("method_only"))
 
 
 def negative_claims(texts: DataFrame, cells: DataFrame, per_token: int = PER_TOKEN, per_claim: int = PER_CLAIM) -> DataFrame:
