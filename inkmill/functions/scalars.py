@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,6 +151,12 @@ def citation_numbers(inner: Column) -> Column:
     return F.flatten(F.transform(parts, numbers))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: an expression named inside a lambda is computed anew for
+    each element otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Every match of a pattern from left to right: an array of (start, text), start counted from 0."""
     said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmill.functions.scalars import let
+
 PART_BYTES = 1 << 24
 
 #: Dashes that may stand for a space, words a long form doesn't start with.
@@ -140,16 +142,17 @@ def long_form_candidates(phrase: Column) -> Column:
     with a generic noun, and holds no markup; of tails equal but for case the first stays.
     """
     words = F.filter(F.transform(F.split(F.trim(F.regexp_replace(phrase, r"\s+", " ")), " "), lambda w: F.btrim(w, F.lit(",;:.()[]"))), lambda w: w != "")
-    tails = F.transform(words, lambda w, i: F.slice(words, i + 1, F.size(words) - i))
-
     def fits(t: Column) -> Column:
         head = F.lower(F.get(t, F.lit(0)))
         markup = F.exists(t, lambda w: w.rlike(r"[\\{}(]"))
         return ~head.isin(FILLERS) & ((F.size(t) >= 2) | head.contains("-")) & ~F.rtrim(head, F.lit(",;:")).isin(GENERIC_HEADS) & ~markup
 
-    kept = F.filter(tails, fits)
-    low = F.transform(kept, lambda t: F.lower(F.array_join(t, " ")))
-    return F.filter(kept, lambda t, i: F.array_position(low, F.get(low, i)) == i + 1)
+    tails = let(words, lambda held: F.transform(held, lambda w, i: F.slice(held, i + 1, F.size(held) - i)))
+
+    def first(kept: Column) -> Column:
+        return let(F.transform(kept, lambda t: F.lower(F.array_join(t, " "))), lambda low: F.filter(kept, lambda t, i: F.array_position(low, F.get(low, i)) == i + 1))
+
+    return let(F.filter(tails, fits), first)
 
 
 #: A quotation on one line.
