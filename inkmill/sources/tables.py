@@ -65,7 +65,7 @@ def code_literals(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line", F.regexp_extract("raw", pattern, 1).alias("name"), F.regexp_extract("raw", pattern, 2).alias("literal")).where("name <> ''")
 
 
-def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Write beside `path`, then put the finished folder in its place: a failed write leaves what was
     there. Where a store renames by copying, a reader may meet the folder missing in between."""
     new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
@@ -95,11 +95,11 @@ def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> No
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Whole or not at all: finished files take the place of the folder's old ones."""
-    _replace(df.sparkSession, path, lambda new: df.write.option("header", True).option("escape", '"').csv(new))
+    replace_folder(df.sparkSession, path, lambda new: df.write.option("header", True).option("escape", '"').csv(new))
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    _replace(df.sparkSession, path, lambda new: df.write.json(new))
+    replace_folder(df.sparkSession, path, lambda new: df.write.json(new))
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
