@@ -109,7 +109,7 @@ def defect_class(check: Column) -> Column:
     return (
         F.when(clean.rlike("^FMT-"), "M20")
         .when(clean.rlike("^Q[0-9]+$"), "J3")
-        .when(number != "", F.concat(F.lit("M"), F.lpad(number, 2, "0")))
+        .when(number != "", F.concat(F.lit("M"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)))
         .otherwise(clean)
     )
 

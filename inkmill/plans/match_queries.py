@@ -1,5 +1,5 @@
 """Queries over joins, pairings and differences. Where the tables have no such data (citations,
-reviews, manifests) the rows are inline or derived, the same in the SQL."""
+reviews, manifests) the rows are derived from their columns, the same in the SQL."""
 
 from __future__ import annotations
 
@@ -9,34 +9,31 @@ from pyspark.sql import functions as F
 from inkmill.functions import scalars as X
 from inkmill.operators import matching as M
 from inkmill.operators import text as T
-from inkmill.plans.base import Registry, table
+from inkmill.plans.base import Registry, select_from, table
 
 R = Registry()
 
 
-def _values(name: str, columns: str, rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+_CITED = "SELECT CAST(o_custkey % 50 AS BIGINT) AS doc_id, 'k' || CAST(o_orderkey % 40 AS STRING) AS key FROM orders"
+_LISTED = "SELECT CAST(p_partkey % 45 AS BIGINT) AS doc_id, 'k' || CAST(p_partkey * 7 % 35 AS STRING) AS key FROM part"
+_LISTS = f"WITH cited AS ({_CITED}), listed AS ({_LISTED}) "
 
 
-CITED = [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "z"), (3, "b"), (3, "y")]
-LISTED = [(1, "a"), (1, "c"), (1, "d"), (2, "a"), (2, "b")]
-_LISTS = "WITH " + _values("cited", "doc_id, key", CITED) + ", " + _values("listed", "doc_id, key", LISTED) + " "
-
-
-def _cited(s):
-    return M.table_of(s, CITED, "doc_id long, key string"), M.table_of(s, LISTED, "doc_id long, key string")
+def _cited(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return select_from(s, d, _CITED, "orders"), select_from(s, d, _LISTED, "part")
 
 
 R.add(
-    "orphan_citations", lambda s, d: M.orphans(*_cited(s)),
+    "orphan_citations", lambda s, d: M.orphans(*_cited(s, d)),
     _LISTS + "SELECT DISTINCT doc_id::BIGINT AS doc_id, key FROM cited c WHERE CASE WHEN doc_id IN (SELECT doc_id FROM listed) THEN NOT EXISTS (SELECT 1 FROM listed l WHERE l.doc_id = c.doc_id AND l.key = c.key) ELSE key NOT IN (SELECT key FROM listed) END",
 )
-R.add("uncited_entries", lambda s, d: M.uncited(*_cited(s)), _LISTS + "SELECT DISTINCT doc_id::BIGINT AS doc_id, key FROM listed l WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE l.doc_id = c.doc_id AND l.key = c.key)")
-EDGES = [("main", "intro"), ("main", "methods"), ("methods", "stats"), ("stats", "methods"), ("supp", "stats"), ("stats", "tables")]
+R.add("uncited_entries", lambda s, d: M.uncited(*_cited(s, d)), _LISTS + "SELECT DISTINCT doc_id::BIGINT AS doc_id, key FROM listed l WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE l.doc_id = c.doc_id AND l.key = c.key)")
+#: Each file includes the one of half its number; two more edges close a circle and join the nations.
+_EDGES = """SELECT 'f' || CAST(c_custkey AS STRING) AS src, 'f' || CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS STRING) AS dst FROM customer WHERE c_custkey > 1
+ UNION ALL SELECT 'f1', 'f3' FROM nation WHERE n_nationkey = 0 UNION ALL SELECT 'f' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING) FROM nation"""
 R.add(
-    "include_closure", lambda s, d: M.closure(M.table_of(s, EDGES, "src string, dst string")),
-    "WITH RECURSIVE " + _values("e", "src, dst", EDGES) + ", r(root, node) AS (SELECT DISTINCT src, src FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT DISTINCT root, node FROM r",
+    "include_closure", lambda s, d: M.closure(select_from(s, d, _EDGES, "customer", "nation")),
+    f"WITH RECURSIVE e AS ({_EDGES}), r(root, node) AS (SELECT DISTINCT src, src FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT DISTINCT root, node FROM r",
 )
 R.add("duplicate_texts", lambda s, d: M.duplicates(table(s, d, "documents").select(F.sha2("text", 256).alias("digest")), ["digest"]), "SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 R.add(
@@ -55,11 +52,11 @@ R.add(
     "multiset_parity", parity,
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), c AS (SELECT md5(raw) AS key, count(*) FILTER (doc_id % 2 = 0) AS n_left, count(*) FILTER (doc_id % 2 = 1) AS n_right FROM l WHERE raw <> '' GROUP BY 1) SELECT * FROM c WHERE n_left <> n_right AND n_left + n_right > 2",
 )
-BEFORE = [("doi", "10.1/a"), ("doi", "10.1/b"), ("orcid", "0000-1"), ("doi", "10.1/b")]
-AFTER = [("doi", "10.1/a"), ("doi", "10.1/c"), ("orcid", "0000-1")]
+_BEFORE = "SELECT event_type AS kind, 'id' || CAST(event_id % 97 AS STRING) AS value FROM events"
+_AFTER = "SELECT event_type AS kind, 'id' || CAST(event_id % 101 AS STRING) AS value FROM events WHERE user_id % 3 > 0"
 R.add(
-    "changed_ids", lambda s, d: M.changed_ids(M.table_of(s, BEFORE, "kind string, value string"), M.table_of(s, AFTER, "kind string, value string")),
-    "WITH " + _values("b", "kind, value", BEFORE) + ", " + _values("a", "kind, value", AFTER) + " SELECT *, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
+    "changed_ids", lambda s, d: M.changed_ids(select_from(s, d, _BEFORE, "events"), select_from(s, d, _AFTER, "events")),
+    f"WITH b AS ({_BEFORE}), a AS ({_AFTER}) SELECT *, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
 )
 
 
@@ -74,10 +71,11 @@ for _i, _k in enumerate(("name, digest", "name", "digest")):
     _TIERS += f", p{_i} AS MATERIALIZED (SELECT a.id AS left_id, b.id AS right_id, {_i + 1} AS tier FROM (SELECT *, row_number() OVER (PARTITION BY {_k} ORDER BY id) AS rn FROM l{_i}) a JOIN (SELECT *, row_number() OVER (PARTITION BY {_k} ORDER BY id) AS rn FROM r{_i}) b USING ({_k}, rn))"
     _TIERS += f", l{_i + 1} AS (SELECT * FROM l{_i} WHERE id NOT IN (SELECT left_id FROM p{_i})), r{_i + 1} AS (SELECT * FROM r{_i} WHERE id NOT IN (SELECT right_id FROM p{_i}))"
 R.add("document_pairing", pairing, _TIERS + " SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT id, NULL, 0 FROM l3 UNION ALL SELECT NULL, id, 0 FROM r3")
-WANT, GOT = [("x/a.csv", "a"), ("x/b.csv", "b"), ("x/c.csv", "c")], [("x/a.csv", "a"), ("y/b_1.csv", "b"), ("y/c_1.csv", "c"), ("z/c_2.csv", "c")]
+_WANT = "SELECT 'c/' || CAST(c_custkey AS STRING) || '.csv' AS path, c_mktsegment || CAST(c_custkey % 90 AS STRING) AS key FROM customer"
+_GOT = "SELECT 'c/' || CAST(c_custkey * 3 AS STRING) || '.csv' AS path, c_mktsegment || CAST(c_custkey * 3 % 90 AS STRING) AS key FROM customer WHERE c_nationkey % 5 = 0"
 R.add(
-    "raw_data_pairs", lambda s, d: M.unique_fallback_pairs(M.table_of(s, WANT, "path string, key string"), M.table_of(s, GOT, "path string, key string")),
-    "WITH " + _values("w", "path, key", WANT) + ", " + _values("g", "path, key", GOT) + " SELECT w.path, coalesce(e.path, k.path) AS match, CASE WHEN e.path IS NULL THEN 'key' ELSE 'exact' END AS how FROM w LEFT JOIN g e ON w.path = e.path LEFT JOIN (SELECT key, any_value(path) AS path FROM g GROUP BY key HAVING count(*) = 1) k ON w.key = k.key WHERE coalesce(e.path, k.path) IS NOT NULL",
+    "raw_data_pairs", lambda s, d: M.unique_fallback_pairs(select_from(s, d, _WANT, "customer"), select_from(s, d, _GOT, "customer")),
+    f"WITH w AS ({_WANT}), g AS ({_GOT}) SELECT w.path, coalesce(e.path, k.path) AS match, CASE WHEN e.path IS NULL THEN 'key' ELSE 'exact' END AS how FROM w LEFT JOIN g e ON w.path = e.path LEFT JOIN (SELECT key, any_value(path) AS path FROM g GROUP BY key HAVING count(*) = 1) k ON w.key = k.key WHERE coalesce(e.path, k.path) IS NOT NULL",
 )
 
 
@@ -133,17 +131,17 @@ R.add(
     "near_defects", near_defects,
     "WITH l AS (SELECT doc_id AS id, lang, unnest(range(1, len(p) + 1))::INT AS line, unnest(p) AS raw FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents)), r AS MATERIALIZED (SELECT id, lang, line, list_distinct(regexp_extract_all(lower(raw), '[a-z]+')) AS w FROM l WHERE len(list_distinct(regexp_extract_all(lower(raw), '[a-z]+'))) >= 7), c AS (SELECT a.id AS id_a, b.id AS id_b, a.line, len(a.w) AS n, len(b.w) AS m, len(list_intersect(a.w, b.w)) AS k FROM r a JOIN r b ON a.lang = b.lang AND a.line = b.line AND a.id < b.id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))) SELECT id_a, id_b, line, round(k / (n + m - k), 9) AS similarity FROM c WHERE k >= 0.8 * (n + m - k)",
 )
-REVIEW_A = [("M1", "p1", "same evidence"), ("M2", "p2", "other")]
-REVIEW_B = [("M1", "p1", "same evidence"), ("M1", "p2", "same evidence"), ("M3", "p1", "new")]
-_REVIEW = "check string, location string, evidence string"
+_REVIEW = "SELECT 'M' || CAST(o_orderkey % 9 AS STRING) AS class, 'p' || CAST(o_custkey % 20 AS STRING) AS location, o_orderpriority || repeat('x', CAST(o_custkey % 3 AS INT) * 40) || CAST(o_custkey % 7 AS STRING) AS evidence FROM orders WHERE o_orderkey % 5 {of}"
+_REVIEWS = [_REVIEW.format(of="< 2"), _REVIEW.format(of="> 2")]
 R.add(
-    "review_merge", lambda s, d: M.merge_reviews(M.table_of(s, REVIEW_A, _REVIEW), M.table_of(s, REVIEW_B, _REVIEW)),
-    "WITH " + _values("a", '"check", location, evidence', REVIEW_A) + ", " + _values("b", '"check", location, evidence', REVIEW_B) + " SELECT *, 'a' AS part FROM a UNION ALL SELECT *, 'b' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.\"check\" = b.\"check\" AND a.location = b.location AND left(a.evidence, 80) = left(b.evidence, 80))",
+    "review_merge", lambda s, d: M.merge_reviews(*(select_from(s, d, t, "orders").withColumnRenamed("class", "check") for t in _REVIEWS)),
+    f"WITH a AS ({_REVIEWS[0]}), b AS ({_REVIEWS[1]}) SELECT class AS \"check\", location, evidence, 'a' AS part FROM a UNION ALL SELECT *, 'b' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.class = b.class AND a.location = b.location AND left(a.evidence, 80) = left(b.evidence, 80))",
 )
-COVER_A, COVER_B = [("M1", "done"), ("M2", "out-of-scope"), ("M4", "out-of-scope")], [("M1", "partial"), ("M2", "done"), ("M3", "done")]
+_COVER = "SELECT 'M' || CAST(c_custkey AS STRING) AS class, CASE CAST(c_nationkey % 3 AS INT) WHEN 0 THEN 'out-of-scope' WHEN 1 THEN 'done' ELSE '{other}' END AS status FROM customer WHERE c_custkey % 3 {of}"
+_COVERS = [_COVER.format(other="partial", of="< 2"), _COVER.format(other="unable", of="> 0")]
 R.add(
-    "coverage_union", lambda s, d: M.coverage_union(M.table_of(s, COVER_A, "check string, status string"), M.table_of(s, COVER_B, "check string, status string")),
-    "WITH " + _values("a", '"check", status', COVER_A) + ", " + _values("b", '"check", status', COVER_B) + " SELECT \"check\", status FROM (SELECT *, CASE WHEN status = 'out-of-scope' THEN 2 ELSE 0 END AS r FROM a UNION ALL SELECT *, 1 FROM b) QUALIFY row_number() OVER (PARTITION BY \"check\" ORDER BY r) = 1",
+    "coverage_union", lambda s, d: M.coverage_union(*(select_from(s, d, t, "customer").withColumnRenamed("class", "check") for t in _COVERS)),
+    f"SELECT class AS \"check\", status FROM (SELECT *, CASE WHEN status = 'out-of-scope' THEN 2 ELSE 0 END AS r FROM ({_COVERS[0]}) UNION ALL SELECT *, 1 FROM ({_COVERS[1]})) QUALIFY row_number() OVER (PARTITION BY class ORDER BY r) = 1",
 )
 
 
@@ -195,15 +193,16 @@ def located(s: SparkSession, d: str) -> DataFrame:
 R.add("location_dedup", located)
 
 
-def class_ids(s: SparkSession, d: str) -> DataFrame:
-    rows = M.table_of(s, [(c,) for c in ("M01", "m1", "M12", "FMT-T8", "Q3", "J4", " x ")], "check string")
-    return rows.select("check", X.defect_class(F.col("check")).alias("class"))
-
-
-R.add("defect_classes", class_ids, "SELECT * FROM (VALUES ('M01', 'M01'), ('m1', 'M01'), ('M12', 'M12'), ('FMT-T8', 'M20'), ('Q3', 'J3'), ('J4', 'J4'), (' x ', 'X')) t(\"check\", class)")
+_CHECK = "SELECT CAST(event_id AS BIGINT) AS event_id, CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'M0' || CAST(user_id % 10 AS STRING) WHEN 1 THEN 'm' || CAST(user_id * 7 AS STRING) WHEN 2 THEN ' M12 ' WHEN 3 THEN 'fmt-T' || CAST(user_id % 9 AS STRING) WHEN 4 THEN 'Q' || CAST(user_id AS STRING) WHEN 5 THEN 'J' || CAST(user_id % 5 AS STRING) ELSE ' ' || event_type END AS name FROM events"
+R.add(
+    "defect_classes", lambda s, d: select_from(s, d, _CHECK, "events").select("event_id", F.col("name").alias("check"), X.defect_class(F.col("name")).alias("class")),
+    f"""SELECT event_id, name AS "check", CASE WHEN starts_with(n, 'FMT-') THEN 'M20' WHEN regexp_full_match(n, 'Q[0-9]+') THEN 'J3' WHEN regexp_full_match(n, 'M[0-9]+') THEN 'M' || lpad((substr(n, 2)::INT)::VARCHAR, greatest(2, length((substr(n, 2)::INT)::VARCHAR))::INT, '0') ELSE n END AS class
+    FROM (SELECT *, upper(trim(name)) AS n FROM ({_CHECK}))""",
+)
+_LETTERS = "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN chr(CAST(65 + o_custkey % 26 AS INT)) ELSE '' END || CASE WHEN o_custkey % 2 = 0 THEN chr(CAST(97 + o_custkey % 26 AS INT)) ELSE '' END || chr(CAST(65 + o_orderkey % 26 AS INT)) AS letters FROM orders"
 R.add(
-    "column_letters", lambda s, d: M.table_of(s, [(c,) for c in ("A", "Z", "AA", "BC", "XFD")], "letters string").select("letters", X.column_index(F.col("letters")).alias("n")),
-    "SELECT * FROM (VALUES ('A', 1), ('Z', 26), ('AA', 27), ('BC', 55), ('XFD', 16384)) t(letters, n)",
+    "column_letters", lambda s, d: select_from(s, d, _LETTERS, "orders").select("o_orderkey", "letters", X.column_index(F.col("letters")).alias("n")),
+    f"SELECT o_orderkey, letters, list_reduce(list_transform(string_split(upper(letters), ''), lambda c: ascii(c) - 64), lambda a, b: a * 26 + b)::INT AS n FROM ({_LETTERS})",
 )
 R.add(
     "benchmark_containment", lambda s, d: containment(s, d),
@@ -232,15 +231,20 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.union(docs.join(F.broadcast(short), F.contains("text", "passage")).select("doc_id", "item_id")).distinct()
 
 
-def nth_figure(s: SparkSession, d: str) -> DataFrame:
+_SPAN = "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, l_linenumber, CAST(l_linenumber AS STRING) || CASE WHEN l_partkey % 3 > 0 THEN '-' || CAST(l_partkey % 9 AS STRING) ELSE '' END AS span FROM lineitem"
+
+
+def display_ranges(s: SparkSession, d: str) -> DataFrame:
     """Display numbers filled from ranges: the least and greatest, each number between."""
-    rows = M.table_of(s, [("3-5",), ("7-6",), ("9",)], "span string")
     a = F.regexp_extract("span", "^([0-9]+)", 1).cast("int")
     b = F.coalesce(F.nullif(F.regexp_extract("span", "-([0-9]+)$", 1), F.lit("")).cast("int"), a)
-    return rows.select("span", F.explode(F.sequence(F.least(a, b), F.greatest(a, b))).alias("number"))
+    return select_from(s, d, _SPAN, "lineitem").select("l_orderkey", "l_linenumber", "span", F.explode(F.sequence(F.least(a, b), F.greatest(a, b))).alias("number"))
 
 
-R.add("display_ranges", nth_figure, "SELECT * FROM (VALUES ('3-5', 3), ('3-5', 4), ('3-5', 5), ('7-6', 6), ('7-6', 7), ('9', 9)) t(span, number)")
+R.add(
+    "display_ranges", display_ranges,
+    f"WITH e AS (SELECT *, list_transform(string_split(span, '-'), lambda x: x::INT) AS ends FROM ({_SPAN})) SELECT l_orderkey, l_linenumber, span, unnest(range(list_min(ends), list_max(ends) + 1))::INT AS number FROM e",
+)
 R.add(
     "running_rank", lambda s, d: table(s, d, "customer").select("c_custkey", "c_mktsegment", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("place")).where("place <= 3"),
     "SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)::INT AS place FROM customer QUALIFY place <= 3",

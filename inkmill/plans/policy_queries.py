@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkmill.operators import bundle as U
 from inkmill.operators import policy as Y
 from inkmill.operators import regions as G
-from inkmill.plans.base import Registry, table
+from inkmill.plans.base import Registry, select_from, table
 from inkmill.plans.paper_queries import ORACLE_SQL as PAPER_SQL
 from inkmill.plans.paper_queries import _quoted, paper
 from inkmill.plans.prose_queries import _SPLIT
@@ -35,13 +35,8 @@ _SETTINGS = """SELECT 'n' || CAST(n_nationkey AS STRING) AS profile, CASE CAST(n
  UNION ALL SELECT 'all', NULL, 'body', 'paragraph', CAST(60 AS DOUBLE), CAST(0 AS DOUBLE) FROM region WHERE r_regionkey = 0"""
 
 
-def _select(s: SparkSession, d: str, text: str) -> DataFrame:
-    text = text.replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}")
-    return s.sql(text, nation=table(s, d, "nation"), region=table(s, d, "region"))
-
-
 def policy(s: SparkSession, d: str) -> DataFrame:
-    return Y.resolved(_select(s, d, _PROFILES), _select(s, d, _SETTINGS))
+    return Y.resolved(select_from(s, d, _PROFILES, "nation", "region"), select_from(s, d, _SETTINGS, "nation", "region"))
 
 
 def venue_lines(s: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from inkmill.operators import slots as L
-from inkmill.plans.base import Registry, table
+from inkmill.plans.base import Registry, select_from
 
 R = Registry()
 
@@ -16,14 +14,8 @@ _RUNS = """SELECT CAST(o_custkey AS BIGINT) AS book, CAST(o_orderkey AS BIGINT)
  WHEN 2 THEN 'a [long] name of the sheet: ' || o_orderpriority ELSE NULL END AS stem, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'all' WHEN 1 THEN '0' || CAST(o_orderkey % 2 AS STRING) ELSE 'r/' || o_orderstatus END AS round FROM orders"""
 
 
-def _select(s: SparkSession, d: str, text: str, *names: str) -> DataFrame:
-    for n in names:
-        text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
-    return s.sql(text, **{n: table(s, d, n) for n in names})
-
-
 R.add(
-    "remapped_ids", lambda s, d: L.remapped_ids(_select(s, d, _ROWS, "orders"), _select(s, d, _HELD, "customer")),
+    "remapped_ids", lambda s, d: L.remapped_ids(select_from(s, d, _ROWS, "orders"), select_from(s, d, _HELD, "customer")),
     f"""WITH RECURSIVE rows AS (SELECT *, trim(coalesce(id, '')) AS own, row_number() OVER (PARTITION BY grp ORDER BY ord) AS n FROM ({_ROWS})), held AS (SELECT grp, list(id) AS used FROM ({_HELD}) GROUP BY grp),
     slots AS (SELECT list_transform(range(901, 1000), lambda k: 'X-' || k) || list_transform(range(9001, 10000), lambda k: 'X-' || k) AS all_slots),
     walk AS (SELECT grp, 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::VARCHAR AS id, NULL::VARCHAR AS new_id, coalesce(used, []) AS used FROM (SELECT DISTINCT grp FROM rows) LEFT JOIN held USING (grp)
@@ -34,7 +26,7 @@ R.add(
 )
 _CLEAN = r"trim(regexp_replace(coalesce({}, ''), '[\[\]:*?/\\]', '_', 'g'))"
 R.add(
-    "sheet_tabs", lambda s, d: L.sheet_tabs(_select(s, d, _RUNS, "orders")),
+    "sheet_tabs", lambda s, d: L.sheet_tabs(select_from(s, d, _RUNS, "orders")),
     f"""WITH RECURSIVE runs AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY ord) AS n, CASE WHEN {_CLEAN.format('stem')} = '' THEN 'run' ELSE {_CLEAN.format('stem')} END AS base,
       left(CASE WHEN regexp_full_match(round, '[0-9]+') THEN '_r' || round::INT ELSE '_' || {_CLEAN.format('round')} END, 31) AS suffix FROM ({_RUNS})),
     walk AS (SELECT DISTINCT book, 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::VARCHAR AS stem, NULL::VARCHAR AS round, NULL::VARCHAR AS tab, []::VARCHAR[] AS used FROM runs

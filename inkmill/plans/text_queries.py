@@ -1,5 +1,5 @@
-"""Queries over the lines and tokens of documents, and over inline rows where the tables have none of
-the kind (spelling variants, citations, numbers in prose)."""
+"""Queries over the lines and tokens of documents. Where invented prose has none of a kind (spelling
+variants, citations, numbers), some of the lines are replaced by ones that do (SAMPLE)."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from inkmill.functions import scalars as X
 from inkmill.operators import profile as P
 from inkmill.operators import text as T
-from inkmill.plans.base import Registry, table
+from inkmill.plans.base import Registry, select_from, table
 from inkmill.streaming import windows as W
 
 R = Registry()
 
-#: Inline lines for rules that find nothing in invented prose.
+#: Lines for rules that find nothing in invented prose.
 SAMPLE = [
     "# Introduction", "The colour of the analysed sample was analyzed by color; we organise and organize.", "", "",
     "Results may suggest a clearly proven effect of 1,250 cells and 3.5 mg.", "We re-analyzed and reanalyzed the reanalyzed, re-analyzed set.",
@@ -23,13 +23,12 @@ SAMPLE = [
 ]
 
 
-def sample(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, i, t) for i, t in enumerate(SAMPLE, 1)], "doc_id long, line int, raw string")
+#: Lines of documents, some of them replaced by those of SAMPLE, in SQL that both engines read.
+_SAMPLED = "CASE CAST((doc_id * 5 + line * line * 3 + line) % 41 AS INT) " + " ".join(f"WHEN {i} THEN '" + t.replace("'", "''").replace("\\", "' || chr(92) || '") + "'" for i, t in enumerate(SAMPLE)) + " ELSE raw || CASE WHEN line % 3 = 0 THEN ',' || lower(split_part(raw, ' ', 1)) ELSE '' END END"
 
 
-_SAMPLE = "WITH sample AS (SELECT 1::BIGINT AS doc_id, unnest(range(1, {n}))::INT AS line, unnest([{rows}]) AS raw) ".format(
-    n=len(SAMPLE) + 1, rows=", ".join("'" + t.replace("'", "''") + "'" for t in SAMPLE)
-)
+def sample(s: SparkSession, d: str) -> DataFrame:
+    return lines(s, d).selectExpr("doc_id", "line", f"{_SAMPLED} AS raw")
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
@@ -43,6 +42,9 @@ def lines(s: SparkSession, d: str) -> DataFrame:
 _LINES = "WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), lines AS (SELECT doc_id, unnest(range(1, len(p) + 1))::INT AS line, unnest(p) AS raw FROM parts) "
 
 
+_SAMPLE = _LINES + f", sample AS (SELECT doc_id, line, {_SAMPLED} AS raw FROM lines) "
+
+
 def _tokens(pattern: str, group: int = 0) -> str:
     return f"SELECT doc_id, line, unnest(regexp_extract_all(raw, '{pattern}', {group})) AS match"
 
@@ -62,10 +64,10 @@ R.add("case_families", lambda s, d: T.case_families(lines(s, d)), _LINES + ", m
 _KEY = "lower(match)"
 for _p, _to in X.SPELLING_REWRITES:
     _KEY = f"regexp_replace({_KEY}, '{_p}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
-R.add("spelling_families", lambda s, d: T.spelling_families(sample(s)), _SAMPLE + ", m AS (" + _tokens("[A-Za-z]{5,}") + f" FROM sample), t AS (SELECT {_KEY} AS k, lower(match) AS f FROM m WHERE length({_KEY}) >= 5)" + _FAMILY)
+R.add("spelling_families", lambda s, d: T.spelling_families(sample(s, d)), _SAMPLE + ", m AS (" + _tokens("[A-Za-z]{5,}") + f" FROM sample), t AS (SELECT {_KEY} AS k, lower(match) AS f FROM m WHERE length({_KEY}) >= 5)" + _FAMILY)
 R.add("spelling_families_documents", lambda s, d: T.spelling_families(lines(s, d)), _LINES + ", m AS (" + _tokens("[A-Za-z]{5,}") + f" FROM lines), t AS (SELECT {_KEY} AS k, lower(match) AS f FROM m WHERE length({_KEY}) >= 5)" + _FAMILY)
 R.add(
-    "hyphen_families", lambda s, d: T.hyphen_families(sample(s)),
+    "hyphen_families", lambda s, d: T.hyphen_families(sample(s, d)),
     _SAMPLE + ", m AS (" + _tokens("[A-Za-z][A-Za-z-]{4,}") + " FROM sample), h AS (SELECT lower(trim(match, '-')) AS f FROM m), t AS (SELECT replace(f, '-', '') AS k, f FROM h WHERE length(replace(f, '-', '')) >= 5)" + _FAMILY + " AND min(n) >= 2 AND bool_or(contains(f, '-'))",
 )
 R.add(
@@ -85,8 +87,8 @@ R.add(
     _LINES + ", t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, lower(match) AS value, doc_id, line FROM ({_tokens(p)} FROM lines)" for k, p in _KINDS.items()) + ") SELECT kind, value, count(*) AS n, min(doc_id) AS first_doc, first(line ORDER BY doc_id, line) AS first_line FROM t GROUP BY 1, 2",
 )
 R.add(
-    "section_context", lambda s, d: T.carried(sample(s), F.col("raw").startswith("#"), F.col("raw")).select("line", "section", "part"),
-    _SAMPLE + "SELECT line, coalesce(last_value(CASE WHEN starts_with(raw, '#') THEN raw END IGNORE NULLS) OVER w, 'front') AS section, count(*) FILTER (starts_with(raw, '#')) OVER w AS part FROM sample WINDOW w AS (ORDER BY line)",
+    "section_context", lambda s, d: T.carried(sample(s, d), F.col("raw").startswith("#"), F.col("raw")).select("doc_id", "line", "section", "part"),
+    _SAMPLE + "SELECT doc_id, line, coalesce(last_value(CASE WHEN starts_with(raw, '#') THEN raw END IGNORE NULLS) OVER w, 'front') AS section, count(*) FILTER (starts_with(raw, '#')) OVER w AS part FROM sample WINDOW w AS (PARTITION BY doc_id ORDER BY line)",
 )
 R.add(
     "turn_context", lambda s, d: T.carried(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line"), F.col("role").alias("raw")), F.col("raw") == "user", F.concat(F.lit("q"), F.col("line").cast("string"))).select("doc_id", "line", "section", "part"),
@@ -94,12 +96,12 @@ R.add(
 )
 _HEDGES, _ABSOLUTES = ["may", "might", "suggest", "could"], ["clearly", "proven", "always", "never"]
 R.add(
-    "claim_strength", lambda s, d: T.claim_strength(sample(s), _HEDGES, _ABSOLUTES).select("line", F.col("n_hedge").cast("long").alias("n_hedge"), F.col("n_absolute").cast("long").alias("n_absolute")),
-    _SAMPLE + f"SELECT * FROM (SELECT line, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_HEDGES)})\\b')) AS n_hedge, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_ABSOLUTES)})\\b')) AS n_absolute FROM sample) WHERE n_hedge > 0 OR n_absolute > 0",
+    "claim_strength", lambda s, d: T.claim_strength(sample(s, d), _HEDGES, _ABSOLUTES).select("doc_id", "line", F.col("n_hedge").cast("long").alias("n_hedge"), F.col("n_absolute").cast("long").alias("n_absolute")),
+    _SAMPLE + f"SELECT * FROM (SELECT doc_id, line, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_HEDGES)})\\b')) AS n_hedge, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_ABSOLUTES)})\\b')) AS n_absolute FROM sample) WHERE n_hedge > 0 OR n_absolute > 0",
 )
 _PAIRS = [("affect", "effect"), ("principal", "principle")]
 R.add(
-    "confusable_pairs", lambda s, d: T.confusable_pairs(sample(s), _PAIRS),
+    "confusable_pairs", lambda s, d: T.confusable_pairs(sample(s, d), _PAIRS),
     _SAMPLE + ", p AS (SELECT unnest(['affect', 'principal']) AS a, unnest(['effect', 'principle']) AS b), r AS (SELECT doc_id, a, b, regexp_matches(lower(raw), '\\b' || a || '\\b') AS ia, regexp_matches(lower(raw), '\\b' || b || '\\b') AS ib FROM sample, p) SELECT doc_id, a, b, count(*) FILTER (ia) AS n_a, count(*) FILTER (ib) AS n_b, count(*) FILTER (ia AND ib) AS n_both FROM r GROUP BY 1, 2, 3 HAVING count(*) FILTER (ia) > 0 AND count(*) FILTER (ib) > 0",
 )
 R.add(
@@ -107,24 +109,24 @@ R.add(
     _LINES + ", t AS (SELECT unnest(['License', 'thing', 'queue']) AS term) SELECT term, count(*) AS n, min(doc_id) AS first_doc, first(line ORDER BY doc_id, line) AS first_line, first(left(raw, 120) ORDER BY doc_id, line) AS context FROM lines, t WHERE contains(lower(raw), lower(term)) GROUP BY 1",
 )
 R.add(
-    "term_repetition", lambda s, d: T.term_repetition(sample(s)).select("line", "gram", "n", "place"),
-    _SAMPLE + ", w AS (SELECT line, regexp_extract_all(lower(raw), '[a-z]+') AS w FROM sample), g AS (SELECT line, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w WHERE len(w) >= 3), c AS (SELECT line, gram, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) > 1) SELECT line, gram, n, place FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY n DESC, length(gram) DESC, gram)::INT AS place FROM c) WHERE place <= 3",
+    "term_repetition", lambda s, d: T.term_repetition(sample(s, d)).select("doc_id", "line", "gram", "n", "place"),
+    _SAMPLE + ", w AS (SELECT doc_id, line, regexp_extract_all(lower(raw), '[a-z]+') AS w FROM sample), g AS (SELECT doc_id, line, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w WHERE len(w) >= 3), c AS (SELECT doc_id, line, gram, count(*) AS n FROM g GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT doc_id, line, gram, n, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY n DESC, length(gram) DESC, gram)::INT AS place FROM c) WHERE place <= 3",
 )
 R.add(
     "length_caps", lambda s, d: T.length_caps(docs(s, d), 100, 1.15).select("doc_id", "line", F.col("n_words").cast("long").alias("n_words"), F.col("cap").cast("long").alias("cap")),
     _LINES + "SELECT * FROM (SELECT doc_id, line, len(regexp_extract_all(raw, '[^\\s\\x{0B}]+')) AS n_words, floor(100 * 1.15 + 1e-9)::BIGINT AS cap FROM lines) WHERE n_words > cap",
 )
 R.add(
-    "number_ledger", lambda s, d: T.number_ledger(sample(s)).select("line", "number", "unit", "grouped"),
-    _SAMPLE + ", m AS (" + _tokens("[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?(?: [A-Za-z]+)?") + " FROM sample) SELECT line, regexp_extract(match, '^([0-9.,]+)', 1) AS number, regexp_extract(match, ' ([A-Za-z]+)$', 1) AS unit, contains(regexp_extract(match, '^([0-9.,]+)', 1), ',') AS grouped FROM m",
+    "number_ledger", lambda s, d: T.number_ledger(sample(s, d)).select("doc_id", "line", "number", "unit", "grouped"),
+    _SAMPLE + ", m AS (" + _tokens("[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?(?: [A-Za-z]+)?") + " FROM sample) SELECT doc_id, line, regexp_extract(match, '^([0-9.,]+)', 1) AS number, regexp_extract(match, ' ([A-Za-z]+)$', 1) AS unit, contains(regexp_extract(match, '^([0-9.,]+)', 1), ',') AS grouped FROM m",
 )
-R.add("comma_glue", lambda s, d: T.comma_glue(sample(s)).select("line", "match"), _SAMPLE + "SELECT line, match FROM (" + _tokens("[A-Za-z]+,[A-Za-z]+") + " FROM sample)")
+R.add("comma_glue", lambda s, d: T.comma_glue(sample(s, d)).select("doc_id", "line", "match"), _SAMPLE + ", g AS (SELECT doc_id, line, unnest(range(1, len(m) + 1)) AS nth, unnest(m) AS match FROM (SELECT doc_id, line, regexp_extract_all(raw, '[A-Za-z]+,[A-Za-z]+') AS m FROM sample)) SELECT doc_id, line, match FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line, nth) <= 24")
 R.add(
-    "empty_runs", lambda s, d: T.empty_runs(sample(s)).select("first_line", "n"),
-    _SAMPLE + "SELECT min(line) AS first_line, count(*) AS n FROM (SELECT line, line - row_number() OVER (ORDER BY line) AS g FROM sample WHERE trim(raw) = '') GROUP BY g HAVING count(*) > 1",
+    "empty_runs", lambda s, d: T.empty_runs(sample(s, d)).select("doc_id", "first_line", "n"),
+    _SAMPLE + "SELECT doc_id, min(line) AS first_line, count(*) AS n FROM (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM sample WHERE trim(raw) = '') GROUP BY doc_id, g HAVING count(*) > 1",
 )
 R.add("leftover_phrases", lambda s, d: T.leftovers(lines(s, d), ["Licensed under", "All rights reserved", "todo"]), _LINES + "SELECT doc_id, line, CASE WHEN contains(lower(raw), 'licensed under') THEN 'Licensed under' WHEN contains(lower(raw), 'all rights reserved') THEN 'All rights reserved' ELSE 'todo' END AS phrase FROM lines WHERE contains(lower(raw), 'licensed under') OR contains(lower(raw), 'all rights reserved') OR contains(lower(raw), 'todo')")
-R.add("correspondence_glue", lambda s, d: T.glued_mail(sample(s)).select("line"), _SAMPLE + "SELECT line FROM sample WHERE regexp_matches(raw, '[:;)][A-Za-z0-9._-]+@|[A-Za-z]:[A-Za-z0-9._-]+@')")
+R.add("correspondence_glue", lambda s, d: T.glued_mail(sample(s, d)).select("doc_id", "line"), _SAMPLE + "SELECT doc_id, line FROM sample WHERE regexp_matches(raw, '[:;)][A-Za-z0-9._-]+@|[A-Za-z]:[A-Za-z0-9._-]+@')")
 
 
 def rule_summary(s: SparkSession, d: str) -> DataFrame:
@@ -142,31 +144,32 @@ R.add(
     "masked_length", lambda s, d: docs(s, d).select("doc_id", F.length(T.masked(F.col("text"))).cast("long").alias("n")),
     r"SELECT doc_id, length(regexp_replace(text, 'https?://[^\s]+|10\.[0-9]{4,9}/[^\s]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+|/[A-Za-z0-9_.-]+/[^\s]+', ' ', 'g')) AS n FROM documents",
 )
-R.add("tex_comments", lambda s, d: sample(s).select("line", T.without_comment(F.col("raw")).alias("raw")), _SAMPLE + r"SELECT line, regexp_extract(raw, '^((?:\\.|[^%\\])*)', 1) AS raw FROM sample")
+R.add("tex_comments", lambda s, d: sample(s, d).select("doc_id", "line", T.without_comment(F.col("raw")).alias("raw")), _SAMPLE + r"SELECT doc_id, line, regexp_extract(raw, '^((?:\\.|[^%\\])*)', 1) AS raw FROM sample")
 R.add(
-    "citation_numbers", lambda s, d: T.matches_of(sample(s), r"\[([0-9, –-]+)\]", 1).select("line", "nth", F.explode(X.citation_numbers(F.col("match"))).alias("number")).select("line", "number"),
+    "citation_numbers", lambda s, d: T.matches_of(sample(s, d), r"\[([0-9, –-]+)\]", 1).select("line", "nth", F.explode(X.citation_numbers(F.col("match"))).alias("number")).select("line", "number"),
     _SAMPLE + ", m AS (" + _tokens(r"\[([0-9, –-]+)\]", 1) + " FROM sample), p AS (SELECT line, trim(unnest(regexp_split_to_array(match, '[,;]'))) AS p FROM m), r AS (SELECT line, regexp_extract(p, '^([0-9]+)', 1)::INT AS a, coalesce(try_cast(regexp_extract(p, '-\\s*([0-9]+)$', 1) AS INT), regexp_extract(p, '^([0-9]+)', 1)::INT) AS b, contains(p, '-') AS ranged FROM p) SELECT line, unnest(CASE WHEN b - a <= 80 THEN range(a, b + 1) ELSE [a, b] END)::INT AS number FROM r WHERE NOT (ranged AND a BETWEEN 1900 AND 2099 AND b BETWEEN 1900 AND 2099)",
 )
 
 
-def cells(s: SparkSession, d: str) -> DataFrame:
-    texts = ["1,250", "$3.50", "0,5", "12%", "abc", "", "1e3", ".5", "12.", "1,25", "inf"]
-    return s.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, cell string").select("i", X.cell_number(F.col("cell")).alias("value"))
-
-
-R.add("cell_numbers", cells, "SELECT unnest(range(11))::INT AS i, unnest([1250.0, 3.5, NULL, 12.0, NULL, NULL, 1000.0, 0.5, 12.0, NULL, NULL])::DOUBLE AS value")
-_NAMES = ["firstName_total", "l_extendedprice", "ploidies", "Cell Count", "XMLName"]
+_CELL = """CASE CAST(l_orderkey % 11 AS INT) WHEN 0 THEN '1,' || CAST(100 + l_partkey % 900 AS STRING) WHEN 1 THEN '$' || CAST(l_quantity AS STRING) WHEN 2 THEN '0,' || CAST(l_linenumber AS STRING)
+ WHEN 3 THEN CAST(l_partkey AS STRING) || '%' WHEN 4 THEN l_returnflag WHEN 5 THEN '' WHEN 6 THEN CAST(l_linenumber AS STRING) || 'e3' WHEN 7 THEN ' .' || CAST(l_suppkey AS STRING) WHEN 8 THEN '-' || CAST(l_partkey AS STRING) || '.' WHEN 9 THEN '12,' || CAST(l_partkey AS STRING) || '.5' ELSE 'inf' END"""
+_CELLS = f"SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, l_linenumber, {_CELL} AS cell FROM lineitem"
+R.add(
+    "cell_numbers", lambda s, d: select_from(s, d, _CELLS, "lineitem").select("l_orderkey", "l_linenumber", "cell", X.cell_number(F.col("cell")).alias("value")),
+    rf"""WITH c AS (SELECT *, regexp_replace(trim(cell), '[$€£%]', '', 'g') AS t FROM ({_CELLS})) SELECT l_orderkey, l_linenumber, cell,
+    CASE WHEN regexp_full_match(t, '[+-]?[0-9]{{1,3}}(,[0-9]{{3}})+(\.[0-9]+)?') THEN replace(t, ',', '')::DOUBLE WHEN regexp_full_match(t, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN t::DOUBLE END AS value FROM c""",
+)
+_HEADER = "SELECT DISTINCT CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN lower(p_type) || 'Total_' || split_part(p_name, ' ', 2) || 's' WHEN 1 THEN 'l_' || replace(p_name, ' ', '') || 'Counties' WHEN 2 THEN p_brand || ' ' || p_name ELSE 'XML' || p_type || 'Name ' || p_name END AS name FROM part"
 
 
 def headers(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(n,) for n in _NAMES], "name string")
     token = F.explode(X.header_tokens(F.col("name"))).alias("token")
-    return rows.select("name", X.slug(F.col("name")).alias("slug"), token).withColumn("stem", X.plural_stem(F.col("token")))
+    return select_from(s, d, _HEADER, "part").select("name", X.slug(F.col("name")).alias("slug"), token).withColumn("stem", X.plural_stem(F.col("token")))
 
 
 R.add(
     "header_tokens", headers,
-    "WITH n AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS name), t AS (SELECT name, left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 40) AS slug, unnest(list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS token FROM n) SELECT *, CASE WHEN regexp_matches(token, 'ies$') AND length(token) > 4 THEN regexp_replace(token, 'ies$', 'y') WHEN regexp_matches(token, '[^s]s$') AND length(token) > 3 THEN regexp_replace(token, 's$', '') ELSE token END AS stem FROM t",
+    "WITH n AS (" + _HEADER + "), t AS (SELECT name, left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 40) AS slug, unnest(list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS token FROM n) SELECT *, CASE WHEN regexp_matches(token, 'ies$') AND length(token) > 4 THEN regexp_replace(token, 'ies$', 'y') WHEN regexp_matches(token, '[^s]s$') AND length(token) > 3 THEN regexp_replace(token, 's$', '') ELSE token END AS stem FROM t",
 )
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 R.add(
