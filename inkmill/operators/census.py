@@ -39,11 +39,8 @@ def census(rows: DataFrame) -> DataFrame:
 
 def rollups(counts: DataFrame) -> DataFrame:
     """Totals by tier and severity, by severity, by tier and in all, per version."""
-    counts.createOrReplaceTempView("inkmill_census")
-    return counts.sparkSession.sql("""
-        SELECT version, tier, severity, sum(n) AS n FROM inkmill_census
-        GROUP BY GROUPING SETS ((version, tier, severity), (version, severity), (version, tier), (version))
-    """)
+    text = "SELECT version, tier, severity, sum(n) AS n FROM {counts} GROUP BY GROUPING SETS ((version, tier, severity), (version, severity), (version, tier), (version))"
+    return counts.sparkSession.sql(text, counts=counts)
 
 
 def prefix_sums(counts: DataFrame) -> DataFrame:

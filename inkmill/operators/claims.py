@@ -6,12 +6,17 @@ Lines have doc_id, line and raw, as from `text.lines_of`.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from inkmill.operators import fixed
+from inkmill.operators.census import adaptive_prefix, prefix_sums
+
 #: What a line may report: label and the pattern whose first group is the value.
 METRICS = {
     "p-value": r"(?i)\bp\s*((?:<=|>=|[<>=])\s*[0-9]*\.?[0-9]+(?:\s*[×x]\s*10\s*\^?\s*[-+]?[0-9]+)?)",
@@ -123,17 +128,14 @@ def location_of(evidence: Column) -> tuple[Column, Column, Column]:
 
 
 def placeholders(lines: DataFrame) -> DataFrame:
-    """Hand-off placeholders: payload, whether its fact can be looked up, and which kind it is."""
-    hits = F.explode(F.regexp_extract_all("raw", F.lit(r"(?i)\[\s*AUTHOR\s+TO\s+COMPLETE\b([^\]]*)\]"), F.lit(1))).alias("payload")
+    """Hand-off placeholders: payload, whether its fact can be looked up, and which kind it is, the first
+    of PLACEHOLDER_KINDS whose patterns it all has."""
+    hits = F.explode(F.regexp_extract_all("raw", F.lit(fixed.PLACEHOLDER), F.lit(1))).alias("payload")
     rows = lines.select("doc_id", "line", hits).withColumn("payload", F.btrim("payload", F.lit(" :;-")))
     low = F.lower("payload")
-    findable = low.rlike(r"preprint|doi|accession|database|repository|zenodo|figshare|geo\b|sra\b|arrayexpress|version|registration|url")
-    kind = F.when(low.contains("preprint"), "preprint")
-    named = low.contains("persistent identifier") | low.rlike(r"\bdoi\b")
-    kind = kind.when(named & low.rlike("archiv|zenodo|figshare|persistent"), "archive").when(named, "doi")
-    kind = kind.when(low.contains("accession") | low.rlike(r"\b(geo|sra|bioproject)\b"), "accession")
-    kind = kind.when(low.contains("orcid"), "orcid").when(low.rlike("repositor|github|url|commit"), "repository").otherwise("")
-    return rows.select("doc_id", "line", F.left("payload", F.lit(200)).alias("payload"), F.when(findable, "searchable").otherwise("author-only").alias("class"), kind.alias("kind"))
+    kind = F.coalesce(*(F.when(reduce(and_, (low.rlike(p) for p in patterns)), F.lit(name)) for name, patterns in fixed.PLACEHOLDER_KINDS), F.lit(""))
+    found = F.when(low.rlike(fixed.FINDABLE), "searchable").otherwise("author-only")
+    return rows.select("doc_id", "line", F.left("payload", F.lit(200)).alias("payload"), found.alias("class"), kind.alias("kind"))
 
 
 def abstained(dispositions: Column) -> Column:
@@ -204,20 +206,33 @@ def identifier_similar(kind: Column, a: Column, b: Column) -> Column:
     return identifier_near(kind, a, b) | (F.coalesce(a != b, F.lit(False)) & (kind != "doi") & _alike(a, b))
 
 
-def champion(stats: DataFrame, base: str, panel: int, floor: float = 0.0) -> DataFrame:
-    """Of the members with a complete panel and a median against the base of at least `floor`, the best
-    by median, mean and smaller spread. The base stays where it ties exactly or none is eligible.
+def champion(stats: DataFrame, counts: DataFrame, base: str, panel: int, against: int, floor: int, least: float = 0.0) -> DataFrame:
+    """One row: the member that wins a round, whether that is the base, and how many cells decided.
+
+    stats: member, n, median, mean, iqr, original_n, original_median, digest; counts: version, cell, n
+    (from `census.census`). A member needs a panel of `panel` scores; one that is not the base also
+    needs `against` scores against the original with a median of at least `least`. Those left are ranked
+    by their defects, cell by cell, over the leading cells up to the first where each has `floor` in
+    all; then by median and mean, higher first, spread and digest, never by name. The base stays where
+    the winner has its median, mean and spread, or where nobody is left.
 
-    One row a member comes in (see `scores.member_stats`), so one ordered task is enough.
+    One row a member comes in, so one ordered task is enough.
     """
-    own = stats.where(F.col("member") == base).select("median", "mean", "iqr").limit(1)
-    eligible = stats.where((F.col("member") != base) & (F.col("n") >= panel) & (F.col("vs_base") >= floor))
-    best = eligible.orderBy(F.desc("median"), F.desc("mean"), "iqr", "member").limit(1).select("member", *(F.col(c).alias(f"b_{c}") for c in ("median", "mean", "iqr")))
-    one = stats.sparkSession.range(1).select()
-    both = one.join(best, how="left").join(own, how="left")
-    mine, theirs = F.struct("median", "mean", -F.col("iqr")), F.struct("b_median", "b_mean", -F.col("b_iqr"))
-    holds = F.col("member").isNull() | (F.col("median").isNotNull() & (mine >= theirs))
-    return both.select(F.when(holds, F.lit(base)).otherwise(F.col("member")).alias("champion"), holds.alias("base_kept"))
+    is_base = F.col("member") == base
+    passes = (F.col("n") >= panel) & (is_base | ((F.col("original_n") >= against) & (F.col("original_median") >= least)))
+    left = stats.where(F.coalesce(passes, F.lit(False))).select("member", "median", "mean", "iqr", "digest")
+    prefixes = prefix_sums(counts.join(left.select(F.col("member").alias("version")), "version", "left_semi"))
+    used = adaptive_prefix(prefixes, floor)
+    leading = prefixes.join(F.broadcast(used), F.col("cell") < F.col("cells_used"))  # one row
+    lead = leading.groupBy(F.col("version").alias("member")).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "n"))), lambda x: x["n"]).alias("lead"))
+    ranked = left.join(lead, "member", "left").withColumn("lead", F.coalesce("lead", F.array().cast("array<long>")))
+    best = ranked.orderBy("lead", F.desc_nulls_last("median"), F.desc_nulls_last("mean"), F.asc_nulls_last("iqr"), "digest").limit(1)
+    best = best.select("member", *(F.col(c).alias(f"best_{c}") for c in ("median", "mean", "iqr")))
+    own = left.where(is_base).select("median", "mean", "iqr").limit(1)
+    both = stats.sparkSession.range(1).select().join(best, how="left").join(own, how="left").join(used, how="left")  # one row each
+    same = F.col("best_median").eqNullSafe(F.col("median")) & F.col("best_mean").eqNullSafe(F.col("mean")) & F.col("best_iqr").eqNullSafe(F.col("iqr"))
+    stays = F.col("member").isNull() | (F.col("member") == base) | (same & F.col("median").isNotNull())
+    return both.select(F.when(stays, F.lit(base)).otherwise(F.col("member")).alias("champion"), stays.alias("base_kept"), "cells_used")
 
 
 def below_floor(p: Column, n: Column, family: Column) -> Column:

@@ -86,6 +86,17 @@ def member_stats(rows: DataFrame, base: str) -> DataFrame:
     )
 
 
+def candidates(rows: DataFrame, original: str) -> DataFrame:
+    """What a round is decided on, per member: n, median, mean, iqr, original_n and original_median (the
+    scores against the original) and the digest of its text, here of its name's."""
+    kept = votes(rows).where("kept")
+    against = F.when(F.col("opponent") == original, F.col("score"))
+    return kept.groupBy("member").agg(
+        F.count("*").alias("n"), F.median("score").alias("median"), F.avg("score").alias("mean"), iqr(F.col("score")).alias("iqr"),
+        F.count(against).alias("original_n"), F.median(against).alias("original_median"),
+    ).withColumn("digest", F.md5("member"))
+
+
 def panel_quality(rows: DataFrame) -> DataFrame:
     """One row per judge: n, share of zeros, mean and greatest absolute score, mean."""
     kept = votes(rows).where("kept")

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.operators import claims as C
+from inkmill.operators import fixed
 from inkmill.operators import scores as S
 from inkmill.operators import text as T
+from inkmill.operators.census import census
 from inkmill.plans.base import Registry, table
+from inkmill.plans.census_queries import DEFECTS, defect_rows
 from inkmill.plans.score_queries import ROWS, score_rows
 
 R = Registry()
@@ -73,9 +76,9 @@ R.add(
 )
 R.add(
     "placeholders", lambda s, d: C.placeholders(claims(s, d)),
-    _CLAIMS + r""", p AS (SELECT doc_id, line, trim(unnest(regexp_extract_all(raw, '(?i)\[author to complete([^\]]*)\]', 1)), ' :;-') AS payload FROM lines)
-    SELECT doc_id, line, payload, CASE WHEN payload IN ('consent', 'ORCID', 'persistent identifier; archived') THEN 'author-only' ELSE 'searchable' END AS class,
-    CASE payload WHEN 'the DOI' THEN 'doi' WHEN 'zenodo doi' THEN 'archive' WHEN 'GEO accession' THEN 'accession' WHEN 'ORCID' THEN 'orcid' WHEN 'github url' THEN 'repository' WHEN 'preprint' THEN 'preprint' WHEN 'consent' THEN '' ELSE 'archive' END AS kind FROM p""",
+    _CLAIMS + f""", p AS (SELECT doc_id, line, trim(unnest(regexp_extract_all(raw, '{fixed.PLACEHOLDER}', 1)), ' :;-') AS payload FROM lines)
+    SELECT doc_id, line, left(payload, 200) AS payload, CASE WHEN regexp_matches(lower(payload), '{fixed.FINDABLE}') THEN 'searchable' ELSE 'author-only' END AS class,
+    CASE {' '.join('WHEN ' + ' AND '.join(f"regexp_matches(lower(payload), '{p}')" for p in patterns) + f" THEN '{name}'" for name, patterns in fixed.PLACEHOLDER_KINDS)} ELSE '' END AS kind FROM p""",
 )
 
 
@@ -141,12 +144,18 @@ R.add(
     "identifier_corrections", lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", *_IDS).where(C.identifier_near(F.col("kind"), F.col("a"), F.col("b"))),
     f"WITH i AS (SELECT o_orderkey, {', '.join(_IDS)} FROM orders) SELECT * FROM i WHERE a <> b AND ((kind = 'doi' AND length(a) = length(b) AND hamming(a, b) <= 2) OR (kind <> 'doi' AND least(length(a), length(b)) >= 7 AND (starts_with(a, b) OR starts_with(b, a))))",
 )
-R.add(
-    "champion", lambda s, d: C.champion(S.member_stats(score_rows(s, d), "v0"), "v0", 5, 0.0),
-    ROWS + """, m AS (SELECT member, count(*) AS n, median(s) AS median, avg(s) AS mean, CASE WHEN count(*) < 2 THEN 0 ELSE quantile_cont(s, 0.75) - quantile_cont(s, 0.25) END::DOUBLE AS iqr, median(s) FILTER (opponent = 'v0') AS vs FROM votes WHERE kept GROUP BY 1),
-    o AS (SELECT member FROM m WHERE member = 'v0' OR (n >= 5 AND vs >= 0) ORDER BY median DESC, mean DESC, iqr, member <> 'v0', member LIMIT 1)
-    SELECT coalesce((SELECT member FROM o), 'v0') AS champion, coalesce((SELECT member FROM o), 'v0') = 'v0' AS base_kept""",
-)
+for _name, _floor, _least in (("champion", 20, 0.0), ("champion_any", 0, -9.0), ("champion_deep", 10**6, -9.0)):
+    R.add(
+        _name, lambda s, d, f=_floor, x=_least: C.champion(S.candidates(score_rows(s, d), "v1"), census(defect_rows(s, d)), "v0", 5, 1, f, x),
+        ROWS + ", " + DEFECTS.strip().removeprefix("WITH ") + f""", m AS (SELECT member, count(*) AS n, median(s) AS median, avg(s) AS mean, CASE WHEN count(*) < 2 THEN 0 ELSE quantile_cont(s, 0.75) - quantile_cont(s, 0.25) END::DOUBLE AS iqr,
+      count(*) FILTER (opponent = 'v1') AS original_n, median(s) FILTER (opponent = 'v1') AS original_median, md5(member) AS digest FROM votes WHERE kept GROUP BY 1),
+    e AS (SELECT * FROM m WHERE n >= 5 AND (member = 'v0' OR (original_n >= 1 AND original_median >= {_least}))),
+    k AS (SELECT CASE WHEN {_floor} <= 0 THEN 0 ELSE coalesce(min(cell + 1) FILTER (least >= {_floor}), 48) END::INT AS used FROM (SELECT cell, min(running) AS least FROM p WHERE version IN (SELECT member FROM e) GROUP BY cell)),
+    lead AS (SELECT version, list(n ORDER BY cell) AS l FROM c, k WHERE cell < used GROUP BY version),
+    best AS (SELECT e.* FROM e LEFT JOIN lead ON member = version ORDER BY coalesce(l, []), median DESC, mean DESC, iqr, digest LIMIT 1),
+    o AS (SELECT (SELECT used FROM k) AS cells_used, (SELECT member FROM best) AS member, coalesce((SELECT b.median = x.median AND b.mean = x.mean AND b.iqr = x.iqr FROM best b, e x WHERE x.member = 'v0'), false) AS same)
+    SELECT CASE WHEN member IS NULL OR same THEN 'v0' ELSE member END AS champion, member IS NULL OR member = 'v0' OR same AS base_kept, cells_used FROM o""",
+    )
 R.add(
     "statistics_floor", lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "CAST(o_orderkey % 20 + 3 AS INT) AS n", "CAST(o_custkey % 19 + 1 AS INT) AS family", "CAST(o_custkey % 97 AS DOUBLE) / 50000 AS p").where(C.below_floor(F.col("p"), F.col("n"), F.col("family"))),
     "WITH r AS (SELECT o_orderkey, (o_orderkey % 20 + 3)::INT AS n, (o_custkey % 19 + 1)::INT AS family, (o_custkey % 97)::DOUBLE / 50000 AS p FROM orders) SELECT * FROM r WHERE n >= 5 AND p < family * 2 / pow(2.0, n) - greatest(1e-12, 0.02 * family * 2 / pow(2.0, n))",

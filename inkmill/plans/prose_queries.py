@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.operators import fixed
 from inkmill.operators import prose as P
 from inkmill.operators import scores as S
 from inkmill.plans.base import Registry, table
@@ -30,8 +31,8 @@ _LINE = """CASE CAST(o_orderkey % 12 AS INT)
  WHEN 7 THEN 'The long sample of cells ended early' || CASE WHEN o_custkey % 3 = 0 THEN ', as Roe J' ELSE '' END || '. the next one began at 5 vs. the other' || CASE WHEN o_custkey % 2 = 0 THEN '! However it went? we stopped.' ELSE '.' END
  WHEN 8 THEN 'use average spot length (' || CASE WHEN o_custkey % 2 = 0 THEN 'read length, which is associated with technology ' ELSE 'see the long table of the lengths ' END || CAST(o_custkey % 4 AS STRING) || ') and Length (short, that is, it)'
  WHEN 9 THEN 'We follow (Smith et al., ' || CASE WHEN o_custkey % 7 = 0 THEN 'Nature, ' ELSE '' END || '2019) and (Lee, 2020' || CASE WHEN o_custkey % 11 = 0 THEN ', Cell' ELSE '' END || '). In January and February 2019, Roe and Doe 2018 saw DNA and RNA 2020 with Poe et al. 2001.'
- WHEN 10 THEN 'BRCA' || CAST(o_custkey % 3 AS STRING) || CASE WHEN o_custkey % 2 = 0 THEN ' expression' ELSE ' counts' END || ' rose in TP53 of DNA; KRAS not, see S12 and Fig. ABC1'
- ELSE 'Widths of 5 mm, ' || chr(92) || 'SI{3}{mm} and $7 nm$ or ' || chr(92) || 'code{8 nm} and ' || CAST(o_custkey % 10 AS STRING) || ',250 bp; Copy number or state of each event' END"""
+ WHEN 10 THEN 'BRCA' || CAST(o_custkey % 3 AS STRING) || CASE WHEN o_custkey % 2 = 0 THEN ' expression' ELSE ' counts' END || ' rose in TP53 of DNA; KRAS not, see S12 and Fig. ABC1, Supplementary GATA3, ' || chr(92) || 'code{XYZ1} AB12 kb; and after some more words that keep it apart from all that was said, CD3D' || CASE WHEN o_custkey % 5 = 0 THEN ' gene' ELSE '' END
+ ELSE 'Widths of 5 mm, ' || chr(92) || 'SI{3}{mm} and $7 nm$ or ' || chr(92) || 'code{8 nm} and ' || CAST(o_custkey % 10 AS STRING) || ',250 bp, ' || chr(92) || 'verb|9 nm| ' || chr(92) || '(4 mm' || chr(92) || ') 7 µm' || CASE WHEN o_custkey % 3 = 0 THEN ' and 12.5 °C' ELSE '' END || '; Copy number or state of each event' END"""
 
 
 def manuscript(s: SparkSession, d: str) -> DataFrame:
@@ -48,14 +49,26 @@ def add(name: str, query, sql: str) -> None:
     R.add(name, lambda s, d: query(manuscript(s, d)), sql)
 
 
+def _like(pattern: str, text: str = "raw") -> str:
+    said = pattern.replace("'", "''")
+    return f"regexp_matches({text}, '{said}')"
+
+
+#: DuckDB's patterns know no references back, so one delimiter of verbatim text stands for all.
+_MASKS = [p.replace(r"\\verb\*?([^A-Za-z\s])(?:(?!\1).)*\1", r"\\verb\*?\|[^|]*\|") for p in P.TEX_EXEMPT]
+_BLANK = "array_to_string(list_transform(range(1, len(kept) + 1), lambda i: kept[i] || coalesce(repeat(' ', length(said[i])), '')), '') AS raw"
+_MASKED = _M + ", mask0 AS (SELECT doc_id, line, raw FROM lines)" + "".join(
+    f", mask{i} AS (SELECT doc_id, line, {_BLANK} FROM (SELECT doc_id, line, regexp_extract_all(raw, '{p}') AS said, regexp_split_to_array(raw, '{p}') AS kept FROM mask{i - 1}))" for i, p in enumerate(_MASKS, 1)
+)
+add("masked_in_place", lambda x: x.select("doc_id", "line", P.masked_in_place(F.col("raw"), *P.TEX_EXEMPT).alias("raw")), _MASKED + f" SELECT doc_id, line, raw FROM mask{len(_MASKS)}")
+_QUANTITY = P.QUANTITY.removeprefix(r"(?<![\w.])")
 add(
-    "masked_in_place", lambda x: x.where("raw LIKE 'Widths%'").select("doc_id", "line", P.masked_in_place(F.col("raw"), P.TEX_EXEMPT).alias("raw")),
-    _M + "SELECT doc_id, line, replace(replace(replace(raw, chr(92) || 'SI{3}{mm}', repeat(' ', 10)), '$7 nm$', repeat(' ', 6)), chr(92) || 'code{8 nm}', repeat(' ', 11)) AS raw FROM lines WHERE raw LIKE 'Widths%'",
+    "latex_numbers", P.latex_numbers,
+    _MASKED + rf", f AS (SELECT doc_id, line, regexp_extract_all(raw, '(^|[^\w.])({_QUANTITY})', 2) AS f FROM mask{len(_MASKS)}) SELECT doc_id, line, len(f) AS n, f[1] AS first FROM f WHERE len(f) > 0",
 )
-add("latex_numbers", P.latex_numbers, _M + "SELECT doc_id, line, 2::BIGINT AS n, '5 mm' AS first FROM lines WHERE raw LIKE 'Widths%'")
 add(
     "legend_claims", P.legend_claims,
-    _M + ", f AS (SELECT doc_id, line, raw FROM lines WHERE raw LIKE 'Figure%') SELECT doc_id, line, 'argues' AS rule FROM f WHERE contains(raw, 'the leading') AND NOT contains(raw, 'p <') UNION ALL SELECT doc_id, line, 'connectives' FROM f WHERE contains(raw, 'next,')",
+    _M + f", f AS (SELECT * FROM lines WHERE {_like(fixed.FIGURE)}) SELECT doc_id, line, 'argues' AS rule FROM f WHERE {_like(fixed.LEGEND_ARGUES)} AND NOT {_like(fixed.LEGEND_EXCUSED)} UNION ALL SELECT doc_id, line, 'connectives' FROM f WHERE {_like(fixed.LEGEND_ORDER)} AND {_like(fixed.LEGEND_CONNECTIVES)}",
 )
 add(
     "count_claims", lambda x: P.count_claims(x, r"\bCN_[A-Za-z_]+\b"),
@@ -64,18 +77,18 @@ add(
 )
 add(
     "availability_claims", P.availability_claims,
-    _SENTENCES + r"SELECT doc_id, line, nth FROM sents WHERE regexp_matches(sentence, '(?i)\bshipped\b|\b(was|were|is|are|has been|have been)\s+deposited\b') AND len(regexp_extract_all(sentence, '\S+')) >= 6 AND NOT regexp_matches(sentence, 'https?://|shipped with|\.csv\b')",
+    _SENTENCES + rf"SELECT doc_id, line, nth FROM sents WHERE {_like(fixed.SHIPPED, 'sentence')} AND len(regexp_extract_all(sentence, '\S+')) >= 6 AND NOT {_like(fixed.SHIPPED_WHERE, 'sentence')}",
 )
-_PROMISES = [("on request", r"(?i)\b(?:availab\w*|shar(?:ed|ing))\b[^.]{0,60}\b(?:up)?on\s+(?:reasonable\s+)?request\b"), ("upon publication", r"(?i)\bavailab\w*[^.]{0,40}\b(?:up)?on\s+publication\b")]
 add(
-    "availability_promises", lambda x: P.availability_promises(x, _PROMISES),
-    _M + "SELECT doc_id, line, CASE WHEN contains(raw, 'request') THEN 'on request' ELSE 'upon publication' END AS promise FROM lines WHERE raw LIKE 'Code is %' AND (contains(raw, 'request') OR contains(raw, 'publication'))",
+    "availability_promises", P.availability_promises,
+    _M + ", p AS (SELECT doc_id, line, CASE " + " ".join(f"WHEN {_like(p)} THEN '{n}'" for n, p in fixed.PROMISES) + " END AS promise FROM lines) SELECT * FROM p WHERE promise IS NOT NULL",
 )
 add(
-    "pin_conflicts", lambda x: P.pin_conflicts(x.withColumn("raw", F.replace("raw", F.lit("GitHub"), F.lit("github")))),
-    _M + r""", p AS (SELECT DISTINCT doc_id, 'github.com' || regexp_extract(raw, 'com(/lab/\w+)/', 1) AS repository, regexp_extract(raw, '/tree/(\w+)', 1) AS pin FROM lines WHERE raw LIKE 'Pinned%'),
-    l AS (SELECT doc_id, repository, first(pin ORDER BY length(pin) DESC, pin DESC) AS longest FROM p GROUP BY 1, 2)
-    SELECT doc_id, repository, count(*) AS n_conflicts FROM p JOIN l USING (doc_id, repository) WHERE NOT starts_with(longest, pin) GROUP BY 1, 2""",
+    "pin_conflicts", P.pin_conflicts,
+    _M + f""", h AS (SELECT doc_id, unnest(regexp_extract_all(raw, '{fixed.PIN}', 1)) AS host, unnest(regexp_extract_all(raw, '{fixed.PIN}', 2)) AS path, unnest(regexp_extract_all(raw, '{fixed.PIN}', 3)) AS pin FROM lines),
+    p AS (SELECT DISTINCT doc_id, lower(host) || '/' || path AS repository, left(lower(pin), 12) AS pin FROM h),
+    c AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS q WHERE q.doc_id = p.doc_id AND q.repository = p.repository AND q.pin <> p.pin AND starts_with(q.pin, p.pin)))
+    SELECT doc_id, repository, count(*) - 1 AS n_conflicts FROM c GROUP BY 1, 2 HAVING count(*) > 1""",
 )
 _YEARS = r"CASE WHEN contains(raw, '; 5:1') THEN regexp_extract(raw, 'Nature ([0-9]{4})', 1) ELSE '2014' END"
 add(
@@ -106,12 +119,20 @@ add(
     _SENTENCES + r""", b AS (SELECT *, lag(sentence) OVER (PARTITION BY line ORDER BY nth) AS before FROM sents JOIN (SELECT line FROM lines WHERE length(raw) >= 40) USING (line))
     SELECT doc_id, line, nth::INT AS nth, regexp_extract(sentence, '^([a-z]{2,})\b', 1) AS word FROM b WHERE before IS NOT NULL AND regexp_extract(sentence, '^([a-z]{2,})\b', 1) IN ('the', 'we', 'however', 'this', 'it') AND NOT regexp_matches(lower(before), '(vs|e\.g|i\.e|etc|al|fig)\.$') AND NOT regexp_matches(before, '(^|[^A-Za-z])[A-Za-z]\.$')""",
 )
-_NEAR, _STOP = r"(?i)\b(?:gene|protein|expression|mutation)s?\b", ["DNA", "RNA"]
+_SYMBOL = fixed.GENE_SYMBOL[fixed.GENE_SYMBOL.index("([A-Z][A-Z0-9]") :]
+_GENES = ", ".join(f"'{x}'" for x in fixed.NO_GENES)
 add(
-    "gene_symbols", lambda x: P.gene_symbols(x, _NEAR, _STOP),
-    _M + r""", t AS (SELECT doc_id, line, raw, unnest(regexp_extract_all(replace(raw, 'Fig. ABC1', ''), '\b[A-Z][A-Z0-9]{2,}\b')) AS symbol FROM lines)
-    SELECT symbol, (CASE WHEN regexp_matches(symbol, '[0-9]') THEN 0 ELSE 2 END + CASE WHEN bool_or(contains(raw, 'expression')) THEN 2 ELSE 0 END)::BIGINT AS score, count(*) AS n, min(doc_id) AS first_doc, first(line ORDER BY doc_id, line) AS first_line
-    FROM t WHERE symbol NOT IN ('DNA', 'RNA') AND NOT regexp_full_match(symbol, 'S[0-9]{1,3}') GROUP BY 1""",
+    "gene_symbols", P.gene_symbols,
+    _M + rf""", t AS (SELECT doc_id, line, raw, regexp_replace(raw, '{fixed.GENE_MASKS}', ' ', 'g') AS text FROM lines),
+    o AS (SELECT raw, unnest(range(1, len(said) + 1)) AS i, said, kept FROM (SELECT raw, regexp_extract_all(raw, '\b{_SYMBOL}') AS said, regexp_split_to_array(raw, '\b{_SYMBOL}') AS kept FROM t)),
+    every AS (SELECT said[i] AS symbol, count(*) AS n FROM o WHERE NOT regexp_matches(said[i] || kept[i + 1], '^[A-Z]{{1,2}}[0-9]*\s*(kb|Mb|GB|GHz)\b') GROUP BY 1),
+    h AS (SELECT doc_id, line, text, said, kept, unnest(range(1, len(said) + 1)) AS i FROM (SELECT doc_id, line, text, regexp_extract_all(text, '\b{_SYMBOL}') AS said, regexp_split_to_array(text, '\b{_SYMBOL}') AS kept FROM t)),
+    p AS (SELECT doc_id, line, text, said[i] AS symbol, kept[i + 1] AS after, (list_sum(list_transform(kept[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(said[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM h),
+    c AS (SELECT *, trim(regexp_replace(substr(text, greatest(start - 60, 0) + 1, start + length(symbol) + 60 - greatest(start - 60, 0)), '\s+', ' ', 'g')) AS context, trim(regexp_replace(substr(text, greatest(start - 80, 0) + 1, start - greatest(start - 80, 0)), '\s+', ' ', 'g')) AS before FROM p),
+    f AS (SELECT * FROM c WHERE symbol NOT IN ({_GENES}) AND NOT regexp_full_match(symbol, 'S[0-9]{{1,3}}') AND NOT regexp_matches(before, '{fixed.GENE_LABELS}') AND NOT regexp_matches(symbol || after, '^[A-Z]{{1,2}}[0-9]*\s*(kb|Mb|GB|GHz)\b')
+      QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY doc_id, line, start) = 1)
+    SELECT symbol, (CASE WHEN regexp_matches(symbol, '[0-9]') THEN 0 ELSE 2 END + CASE WHEN regexp_matches(context, '{fixed.GENE_LANGUAGE}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(context, '\b' || symbol || '\b') THEN 1 ELSE 0 END)::BIGINT AS score,
+      n, doc_id AS first_doc, line AS first_line, left(context, 150) AS context FROM f JOIN every USING (symbol)""",
 )
 add(
     "self_glosses", lambda x: P.self_glosses(x, ["which is", "that is", "i.e."], ["the", "a", "and"]),

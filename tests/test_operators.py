@@ -183,13 +183,33 @@ def test_similar_identifiers(spark):
     assert all(r[0] == r[1] for r in got)
 
 
-def test_champion_keeps_the_base(spark):
+def test_champion_by_defects_first(spark):
     from inkmill.operators import claims as C
 
-    schema = "member string, n long, median double, mean double, iqr double, vs_base double"
-    base = ("b", 9, 1.0, 1.0, 1.0, None)
-    for rows, want in [([base], "b"), ([base, ("x", 9, 1.0, 1.0, 1.0, 0.0)], "b"), ([base, ("x", 9, 1.0, 1.0, 0.5, 0.0)], "x"), ([base, ("x", 4, 3.0, 3.0, 0.5, 1.0)], "b"), ([base, ("x", 9, 3.0, 3.0, 0.5, -1.0), ("y", 9, 2.0, 0.0, 1.0, 1.0)], "y"), ([], "b")]:
-        assert C.champion(spark.createDataFrame(rows, schema), "b", 5).collect()[0][0] == want
+    schema = "member string, n long, median double, mean double, iqr double, original_n long, original_median double, digest string"
+    counts = spark.createDataFrame([(v, c, n) for v, cells in {"b": [5, 5], "x": [0, 9], "y": [1, 0], "z": [0, 9]}.items() for c, n in enumerate(cells + [0] * 46)], "version string, cell int, n long")
+    one = lambda member, median=1.0, mean=1.0, iqr=1.0, n=9, against=3, vs=0.0, digest="d": (member, n, median, mean, iqr, against, vs, digest)
+    base = one("b", against=0, vs=None)
+    cases = [
+        ([base], 5, "b"), ([base, one("x")], 5, "b"), ([base, one("x", iqr=0.5)], 5, "x"), ([base, one("x", 3.0, n=4)], 5, "b"), ([base, one("x", 3.0, vs=-1.0), one("y", 2.0)], 5, "y"), ([], 5, "b"),
+        ([base, one("y", 3.0), one("x", 0.0)], 5, "x"),  # fewer defects in the first cell beat the median
+        ([base, one("y", 3.0), one("x", 0.0)], 0, "y"),  # without a floor the median decides
+        ([base, one("x", 2.0, digest="q"), one("z", 2.0, digest="p")], 5, "z"),  # a full tie goes by digest
+        ([base, one("x", 3.0, against=2)], 5, "b"), ([one("x", 3.0)], 5, "x"), ([base, one("x", 3.0, vs=None)], 5, "b"),
+    ]
+    for rows, floor, want in cases:
+        found = C.champion(spark.createDataFrame(rows, schema), counts, "b", 5, 3, floor).collect()
+        assert [r.champion for r in found] == [want]
+
+
+def test_pins_and_promises(spark):
+    rows = [
+        (1, 1, "https://GitHub.com/a/b/tree/1234567 and http://www.github.com/a/b/blob/ABCDEF0123"), (1, 2, "https://github.com/a/b/commit/abcdef01234567890"), (2, 1, "https://gitlab.com/a/b/-/tree/1234567 https://gitlab.com/a/b/-/blob/12345678"),
+        (3, 1, "Data will be shared after acceptance."), (3, 2, "In the meantime ask for what is deposited"), (3, 3, "here"), (3, 4, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, line long, raw string")
+    assert [tuple(r) for r in P.pin_conflicts(df).collect()] == [(1, "github.com/a/b", 1)]
+    assert [(r.line, r.promise) for r in P.availability_promises(df).orderBy("line").collect()] == [(1, "promised ... before publication"), (2, "in the meantime")]
 
 
 def test_sinks_replace_whole_folders(spark, tmp_path):
@@ -216,7 +236,7 @@ def test_redline_weight(spark):
 
 def test_masks_keep_positions(spark):
     rows = spark.createDataFrame([("",), ("$x$",), ("a $x$ b $y$",), (None,), ("none",)], "t string")
-    assert [r[0] for r in rows.select(P.masked_in_place(F.col("t"), P.TEX_EXEMPT)).collect()] == ["", "   ", "a     b    ", None, "none"]
+    assert [r[0] for r in rows.select(P.masked_in_place(F.col("t"), *P.TEX_EXEMPT)).collect()] == ["", "   ", "a     b    ", None, "none"]
 
 
 def test_entry_years(spark):
