@@ -63,9 +63,10 @@ def tables_of(texts: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text", F.trim(head).alias("head"), delimiter.alias("delimiter")).where("delimiter IS NOT NULL")
     records = reduce(lambda out, d: F.when(F.col("delimiter") == d[0], _records(F.col("text"), d[0])).otherwise(out), reversed(DELIMITERS[1:]), _records(F.col("text"), "\t"))
     bars = F.col("delimiter") == "|"
-    rows = rows.withColumn("records", records)
+    # Exploding one value keeps the optimizer from writing the records out anew in every filter below.
+    rows = rows.select("doc_id", "delimiter", "head", F.explode(F.array(records)).alias("records"))
     lead, trail = bars & F.col("head").startswith("|"), bars & F.col("head").endswith("|")
-    rows = rows.withColumn("records", F.transform("records", lambda r: _edges(r, lead, trail)))
+    rows = rows.select("doc_id", "delimiter", F.explode(F.array(F.transform("records", lambda r: _edges(r, lead, trail)))).alias("records"))
     second = F.get("records", F.lit(1))
     ruler = F.coalesce(bars & (F.size(second) > 0) & F.forall(second, lambda c: c.rlike(r"^:?-{2,}:?$")), F.lit(False))
     body = F.slice("records", F.when(ruler, 3).otherwise(2), F.size("records"))
