@@ -141,24 +141,29 @@ def contradictions(lines: DataFrame, positive: str, negative: str) -> DataFrame:
 def near_defects(rows: DataFrame, least_words: int = 7, threshold: float = 0.8) -> DataFrame:
     """Pairs of defects of one class, severity and line whose words are similar.
 
-    rows: id, class, severity, line, words (distinct); an id has one row a line. Blocked by the equal
-    keys and, within those, by a prefix filter: similar sets share a word among the first
-    n - ceil(threshold n) + 1 of each, the words in rising order of their frequency, so that common
-    words are no keys.
+    rows: id, class, severity, line, words (distinct), and, where they have them, n_words (with repeats,
+    else those of words) and document (two that name different documents are apart); an id has one row
+    a line. A row without class or line is alone. Blocked by the equal keys and, within those, by a
+    prefix filter: similar sets share a word among the first n - ceil(threshold n) + 1 of each, the
+    words in rising order of their frequency, so that common words are no keys.
     """
     keys = ["class", "severity", "line"]
-    able = rows.where(F.size("words") >= least_words).select("id", *keys, "words")
+    n_words = F.col("n_words") if "n_words" in rows.columns else F.size("words")
+    named = F.col("document") if "document" in rows.columns else F.lit(None).cast("string")
+    able = rows.where((n_words >= least_words) & F.col("class").isNotNull() & F.col("line").isNotNull())
+    able = able.select("id", *keys, "words", named.alias("document"))
     each = able.select("id", *keys, F.explode("words").alias("w"))
     rare = each.groupBy(*keys, "w").agg(F.count("*").alias("n")).where("n > 1")
     # Words that no other row of the block has can't be shared, but count as places before the others.
-    ranked = each.join(rare, [*keys, "w"]).groupBy("id", *keys).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("shared"))
-    both = able.join(ranked, ["id", *keys])
+    on = lambda x, y, *more: [x[c].eqNullSafe(y[c]) for c in (*more, *keys)]
+    ranked = each.join(rare, on(each, rare, "w")).select(each["*"], rare["n"]).groupBy("id", *keys).agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("shared"))
+    both = able.join(ranked, on(able, ranked, "id")).select(able["*"], ranked["shared"])
     size = F.size("words")
     left = size - F.ceil(size * F.lit(threshold)).cast("int") + 1 - (size - F.size("shared"))
-    keyed = both.where(left > 0).select("id", *keys, "words", F.explode(F.slice("shared", F.lit(1), left)).alias("s")).withColumn("w", F.col("s.w")).drop("s")
+    keyed = both.where(left > 0).select("id", *keys, "words", "document", F.explode(F.slice("shared", F.lit(1), left)).alias("s")).withColumn("w", F.col("s.w")).drop("s")
     a = keyed.select(*(F.col(c).alias(f"{c}_a") for c in keyed.columns))
     b = keyed.select(*(F.col(c).alias(f"{c}_b") for c in keyed.columns))
-    same = F.expr("class_a = class_b AND severity_a = severity_b AND line_a = line_b AND w_a = w_b AND id_a < id_b")
+    same = F.expr("class_a = class_b AND severity_a <=> severity_b AND line_a = line_b AND w_a = w_b AND id_a < id_b AND coalesce(document_a = document_b, true)")
     near = F.expr(f"least(size(words_a), size(words_b)) >= {threshold} * greatest(size(words_a), size(words_b))")
     pairs = a.join(b, same & near).select("id_a", "id_b", F.col("line_a").alias("line"), "words_a", "words_b").dropDuplicates(["id_a", "id_b", "line"])
     return pairs.withColumn("similarity", jaccard(F.col("words_a"), F.col("words_b"))).where(F.col("similarity") >= threshold).select("id_a", "id_b", "line", "similarity")
@@ -255,32 +260,37 @@ def match_units(base: DataFrame, candidates: DataFrame, least: float = 0.55) ->
 
 
 def merge_by_location(rows: DataFrame, least_words: int = 7, threshold: float = 0.8) -> DataFrame:
-    """Rows in order of id per (version, source): a row is merged into the first counted row of its
-    class, severity and line with similar words.
+    """id, version, source, counted, merged_into: in order of id per (version, source), a row is merged
+    into the first counted row of its class, severity, line and document with similar words.
 
-    rows: id, version, source, class, severity, line, words. Adds counted and merged_into.
-    """
+    rows: id (unique), version, source, class, severity, line, words (with repeats), document (may be
+    absent or null, and then fits any). Rows without class or line, or of too few words, are all counted.
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        counted, into = [], []
-        pdf = pdf.sort_values("id")
-        for r in pdf.itertuples():
-            words, target = set(r.words if r.words is not None else ()), None
-            if r.line == r.line and r.line is not None and len(words) >= least_words:
-                for other, seen in kept:
-                    if len(words & seen) / len(words | seen) >= threshold:
-                        target = other
-                        break
-                if target is None:
-                    kept.append((r.id, words))
-            counted.append(target is None), into.append(target)
-        out = pdf[["id", "version", "source"]].copy()
-        out["counted"], out["merged_into"] = counted, pd.array(into, dtype="Int64")
-        return out
-
-    renamed = rows.select("id", "version", "source", F.col("class").alias("klass"), "severity", "line", "words")
-    return renamed.groupBy("version", "source", "klass", "severity", "line").applyInPandas(walk, "id long, version string, source string, counted boolean, merged_into long")
+    Rows of equal words and document share their fate, so one stands for all. Of the similar pairs among
+    those, a row without an earlier similar row is counted; a row after a counted one is merged; a
+    merged row decides nothing. Each round settles the rows that this tells, until none is left open.
+    """
+    named = F.col("document") if "document" in rows.columns else F.lit(None).cast("string")
+    words = F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))))
+    place = F.when(F.col("class").isNotNull(), F.struct(F.col("version"), F.col("source"), F.col("class").alias("of")))
+    all_ = rows.select("id", "version", "source", place.alias("class"), "severity", "line", words.alias("words"), F.size(F.coalesce("words", F.array().cast("array<string>"))).alias("n_words"), named.alias("document"))
+    able = F.coalesce((F.col("n_words") >= least_words) & F.col("class").isNotNull() & F.col("line").isNotNull(), F.lit(False))
+    one = all_.where(able).groupBy("class", "severity", "line", "words", "document").agg(F.min("id").alias("id"), F.max("n_words").alias("n_words"))
+    pairs = settled(near_defects(one, least_words, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    merged, open_ = pairs.select("b").limit(0), pairs
+    while not open_.isEmpty():
+        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")  # nothing earlier is like them
+        gone = settled(open_.join(first, "a").select("b").distinct())
+        merged = merged.unionByName(gone)
+        open_ = open_.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
+        open_ = settled(open_.select("a", "b"))
+    into = pairs.join(merged.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("target"))
+    same = ["class", "severity", "line", "words", "document"]
+    mine = one.select(*(F.col(c).alias(f"o_{c}") for c in same), F.col("id").alias("stands"))
+    mine = mine.join(into, mine["stands"] == into["b"], "left").drop("b")
+    out = all_.withColumn("able", able).join(mine, F.expr("able AND " + " AND ".join(f"{c} <=> o_{c}" for c in same)), "left")
+    merged = F.coalesce("target", F.when(F.col("stands") != F.col("id"), F.col("stands")))
+    return out.select("id", "version", "source", merged.isNull().alias("counted"), merged.alias("merged_into"))
 
 
 def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

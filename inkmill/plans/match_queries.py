@@ -183,14 +183,29 @@ R.add("content_unit_match", content_units)
 
 
 def located(s: SparkSession, d: str) -> DataFrame:
-    """Words of whole documents as defects of their source, merged by location."""
-    docs = table(s, d, "documents").select("doc_id", "text", "lang", "source")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("version"), F.lit("own").alias("source"), F.col("lang").alias("class"), F.lit("minor").alias("severity"), F.lit(1).alias("line"), words.alias("words"))
-    return M.merge_by_location(rows)
+    """Lines of documents as defects of their source, merged by location; some name their document."""
+    rows = T.lines_of(table(s, d, "documents").select("doc_id", "text")).join(table(s, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    words = F.regexp_extract_all(F.lower("raw"), F.lit("[a-z]+"), F.lit(0))
+    named = F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 2).cast("string"))
+    return M.merge_by_location(rows.select(
+        (F.col("doc_id") * 1_000_000 + F.col("line")).alias("id"), F.col("source").alias("version"), F.lit("own").alias("source"), F.col("lang").alias("class"),
+        F.lit("minor").alias("severity"), "line", words.alias("words"), named.alias("document"),
+    ))
 
 
-R.add("location_dedup", located)
+R.add(
+    "location_dedup", located,
+    """WITH RECURSIVE l AS (SELECT doc_id, lang, source, unnest(range(1, len(p) + 1))::INT AS line, unnest(p) AS raw FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS p FROM documents)),
+    r AS MATERIALIZED (SELECT doc_id * 1000000 + line AS id, source AS version, lang AS class, line, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 2)::VARCHAR END AS document, regexp_extract_all(lower(raw), '[a-z]+') AS words FROM l),
+    s AS MATERIALIZED (SELECT *, list_distinct(words) AS w FROM r WHERE len(words) >= 7),
+    e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM s AS a JOIN s AS b ON a.version = b.version AND a.class = b.class AND a.line = b.line AND a.id < b.id AND coalesce(a.document = b.document, true)
+      AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+    walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, []::BIGINT[] AS gone UNION ALL
+      SELECT n + 1, list_concat(kept, (SELECT coalesce(list(DISTINCT e.b), []) FROM e WHERE NOT list_contains(gone, e.b) AND NOT list_contains(kept, e.b) AND NOT EXISTS (SELECT 1 FROM e AS f WHERE f.b = e.b AND NOT list_contains(gone, f.a)))),
+        list_concat(gone, (SELECT coalesce(list(DISTINCT e.b), []) FROM e WHERE NOT list_contains(gone, e.b) AND (list_contains(kept, e.a) OR e.a NOT IN (SELECT g.b FROM e AS g)))) FROM walk WHERE n < 12),
+    last AS (SELECT * FROM walk WHERE n = 12), t AS (SELECT b, min(a) AS target FROM e, last WHERE NOT list_contains(gone, a) GROUP BY b)
+    SELECT id, version, 'own' AS source, target IS NULL AS counted, target AS merged_into FROM r LEFT JOIN t ON b = id""",
+)
 
 
 _CHECK = "SELECT CAST(event_id AS BIGINT) AS event_id, CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'M0' || CAST(user_id % 10 AS STRING) WHEN 1 THEN 'm' || CAST(user_id * 7 AS STRING) WHEN 2 THEN ' M12 ' WHEN 3 THEN 'fmt-T' || CAST(user_id % 9 AS STRING) WHEN 4 THEN 'Q' || CAST(user_id AS STRING) WHEN 5 THEN 'J' || CAST(user_id % 5 AS STRING) ELSE ' ' || event_type END AS name FROM events"

@@ -249,3 +249,33 @@ def test_written_values(spark):
     lines = spark.createDataFrame([(1, 1, "0.05, .05 0.050 5e-2 x0.05 1.0.05 0.051 (0.05) 1,234 1234.0 12345 1,2345")], "doc_id int, line int, raw string")
     got = [(r.value, r.written) for r in P.value_occurrences(lines, [".05", "1234"]).orderBy("nth").collect()]
     assert got == [*((".05", x) for x in ("0.05", ".05", "0.050", "5e-2", "0.05")), ("1234", "1,234"), ("1234", "1234.0")]
+
+
+def test_merge_by_location_walks_in_order(spark):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    rows = []
+    for i in range(220):
+        own = words[:]
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(12)] = f"z{rng.randint(0, 5)}"
+        own = own[: rng.choice([5, 9, 12])] + own[: rng.choice([0, 3])]
+        rows.append((i, rng.choice("vw"), "own", rng.choice(["M1", "M1", None]), rng.choice(["x", None]), rng.choice([1, 1, 2, None]), rng.choice([own, own, None]) if i % 9 == 0 else own, rng.choice([None, "a.md", "b.md"])))
+    kept, want = [], {}
+    for r in rows:
+        i, v, src, c, sev, line, w, doc = r
+        target = None
+        if c is not None and line is not None and w and len(w) >= 7:
+            for j, key, seen, other in kept:
+                if key == (v, src, c, sev, line) and (doc is None or other is None or doc == other) and len(seen & set(w)) / len(seen | set(w)) >= 0.8:
+                    target = j
+                    break
+            if target is None:
+                kept.append((i, (v, src, c, sev, line), set(w), doc))
+        want[i] = target
+    df = spark.createDataFrame(rows, "id long, version string, source string, class string, severity string, line int, words array<string>, document string")
+    got = {r.id: r.merged_into for r in M.merge_by_location(df).collect()}
+    assert got == want and sum(x is not None for x in want.values()) > 10
+    assert M.merge_by_location(df.limit(0)).count() == 0
