@@ -5,6 +5,8 @@ Input tables have doc_id and text; lines are counted from 1 and blank lines keep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,35 +45,33 @@ def acronyms(lines: DataFrame, least: int = 1) -> DataFrame:
     return out.where(F.col("n") >= least).select("token", "n", "n_docs", F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line"))
 
 
-def families(tokens: DataFrame, key: Column, surface: Column, least_forms: int = 2, least_count: int = 1, need: str | None = None) -> DataFrame:
-    """Surfaces that share a key: forms, the majority form (ties: the lesser), occurrences.
+def families(tokens: DataFrame, key: Callable[[Column], Column], surface: Column, least: int = 0, least_count: int = 1, need: str | None = None) -> DataFrame:
+    """Surfaces that share a key: forms, the majority form (ties: the one used first), occurrences.
 
-    Counts are summed by surface before surfaces meet by key, so a group holds distinct forms only.
+    Occurrences are counted by surface before anything else, so keys are made of distinct surfaces and a
+    group holds distinct forms only. Keys of fewer than `least` characters have no family.
     """
-    counts = tokens.select(key.alias("key"), surface.alias("surface")).groupBy("key", "surface").agg(F.count("*").alias("n"))
-    keep = (F.col("n_forms") >= least_forms) & (F.col("least") >= least_count)
+    counts = tokens.select(surface.alias("surface"), F.struct("doc_id", "line", "nth").alias("at")).groupBy("surface").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    counts = counts.withColumn("key", key(F.col("surface"))).where(F.length("key") >= least)
     out = counts.groupBy("key").agg(
         F.count("*").alias("n_forms"), F.min("n").alias("least"), F.sum("n").alias("n"),
-        F.array_sort(F.collect_list("surface")).alias("forms"), F.min(F.struct(-F.col("n"), "surface"))["surface"].alias("majority"),
+        F.array_sort(F.collect_list("surface")).alias("forms"), F.min(F.struct(-F.col("n"), "at", "surface"))["surface"].alias("majority"),
         F.bool_or(F.col("surface").contains(need) if need else F.lit(True)).alias("has"),
     )
-    return out.where(keep & F.col("has")).select("key", "n_forms", "n", F.array_join("forms", "|").alias("forms"), "majority")
+    return out.where((F.col("n_forms") >= 2) & (F.col("least") >= least_count) & F.col("has")).select("key", "n_forms", "n", F.array_join("forms", "|").alias("forms"), "majority")
 
 
 def spelling_families(lines: DataFrame, least: int = 5) -> DataFrame:
-    tokens = matches_of(lines, r"[A-Za-z]{5,}").withColumn("low", F.lower("match"))
-    tokens = tokens.withColumn("key", spelling_key(F.col("low"))).where(F.length("key") >= least)
-    return families(tokens, F.col("key"), F.col("low"))
+    return families(matches_of(lines, r"[A-Za-z]{5,}"), spelling_key, F.lower("match"), least)
 
 
 def hyphen_families(lines: DataFrame, least: int = 5) -> DataFrame:
-    tokens = matches_of(lines, r"[A-Za-z][A-Za-z-]{4,}").withColumn("low", F.lower(F.regexp_replace("match", "^-+|-+$", "")))
-    tokens = tokens.withColumn("key", F.regexp_replace("low", "-", "")).where(F.length("key") >= least)
-    return families(tokens, F.col("key"), F.col("low"), least_count=2, need="-")
+    low = F.lower(F.regexp_replace("match", "^-+|-+$", ""))
+    return families(matches_of(lines, r"[A-Za-z][A-Za-z-]{4,}"), lambda s: F.regexp_replace(s, "-", ""), low, least, least_count=2, need="-")
 
 
 def case_families(lines: DataFrame) -> DataFrame:
-    return families(matches_of(lines, r"[A-Za-z]{2,}"), F.lower("match"), F.col("match"))
+    return families(matches_of(lines, r"[A-Za-z]{2,}"), F.lower, F.col("match"))
 
 
 def repeated_lines(lines: DataFrame, least: int = 2) -> DataFrame:

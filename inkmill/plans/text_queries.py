@@ -51,6 +51,10 @@ def _tokens(pattern: str, group: int = 0) -> str:
 
 R.add("doc_word_counts", lambda s, d: docs(s, d).select("doc_id", X.word_count(F.col("text")).cast("long").alias("n_words")), "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')) AS n_words FROM documents")
 R.add("line_counts", lambda s, d: lines(s, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("raw") == "").alias("n_blank"), F.max(F.length("raw")).cast("long").alias("longest")), _LINES + "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(raw) = '') AS n_blank, max(length(raw)) AS longest FROM lines GROUP BY 1")
+def _placed(pattern: str, source: str) -> str:
+    return f"SELECT struct_pack(doc_id := doc_id, line := line, nth := nth) AS used, match FROM (SELECT doc_id, line, unnest(range(1, len(m) + 1)) AS nth, unnest(m) AS match FROM (SELECT doc_id, line, regexp_extract_all(raw, '{pattern}') AS m FROM {source}))"
+
+
 R.add(
     "term_occurrences", lambda s, d: T.occurrences(lines(s, d), "apache license", "Apache License").select("doc_id", "line", "match", "exact"),
     _LINES + "SELECT doc_id, line, match, match = 'Apache License' AS exact FROM (" + _tokens(r"(?i)\bapache[\s-]*license(?:es|s)?\b") + " FROM lines)",
@@ -59,16 +63,16 @@ R.add(
     "acronym_inventory", lambda s, d: T.acronyms(lines(s, d)),
     _LINES + ", t AS (" + _tokens(T.WORDS) + " FROM lines) SELECT match AS token, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, first(line ORDER BY doc_id, line) AS first_line FROM t WHERE regexp_full_match(match, '[A-Z]{2,}') GROUP BY 1",
 )
-_FAMILY = ", c AS (SELECT k AS key, f, count(*) AS n FROM t GROUP BY 1, 2) SELECT key, count(*) AS n_forms, sum(n)::BIGINT AS n, string_agg(f, '|' ORDER BY f) AS forms, first(f ORDER BY n DESC, f) AS majority FROM c GROUP BY 1 HAVING count(*) >= 2"
-R.add("case_families", lambda s, d: T.case_families(lines(s, d)), _LINES + ", m AS (" + _tokens("[A-Za-z]{2,}") + " FROM lines), t AS (SELECT lower(match) AS k, match AS f FROM m)" + _FAMILY)
+_FAMILY = ", c AS (SELECT k AS key, f, count(*) AS n, min(used) AS used FROM t GROUP BY 1, 2) SELECT key, count(*) AS n_forms, sum(n)::BIGINT AS n, string_agg(f, '|' ORDER BY f) AS forms, first(f ORDER BY n DESC, used, f) AS majority FROM c GROUP BY 1 HAVING count(*) >= 2"
+R.add("case_families", lambda s, d: T.case_families(lines(s, d)), _LINES + ", m AS (" + _placed("[A-Za-z]{2,}", "lines") + "), t AS (SELECT lower(match) AS k, match AS f, used FROM m)" + _FAMILY)
 _KEY = "lower(match)"
 for _p, _to in X.SPELLING_REWRITES:
     _KEY = f"regexp_replace({_KEY}, '{_p}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
-R.add("spelling_families", lambda s, d: T.spelling_families(sample(s, d)), _SAMPLE + ", m AS (" + _tokens("[A-Za-z]{5,}") + f" FROM sample), t AS (SELECT {_KEY} AS k, lower(match) AS f FROM m WHERE length({_KEY}) >= 5)" + _FAMILY)
-R.add("spelling_families_documents", lambda s, d: T.spelling_families(lines(s, d)), _LINES + ", m AS (" + _tokens("[A-Za-z]{5,}") + f" FROM lines), t AS (SELECT {_KEY} AS k, lower(match) AS f FROM m WHERE length({_KEY}) >= 5)" + _FAMILY)
+R.add("spelling_families", lambda s, d: T.spelling_families(sample(s, d)), _SAMPLE + ", m AS (" + _placed("[A-Za-z]{5,}", "sample") + f"), t AS (SELECT {_KEY} AS k, lower(match) AS f, used FROM m WHERE length({_KEY}) >= 5)" + _FAMILY)
+R.add("spelling_families_documents", lambda s, d: T.spelling_families(lines(s, d)), _LINES + ", m AS (" + _placed("[A-Za-z]{5,}", "lines") + f"), t AS (SELECT {_KEY} AS k, lower(match) AS f, used FROM m WHERE length({_KEY}) >= 5)" + _FAMILY)
 R.add(
     "hyphen_families", lambda s, d: T.hyphen_families(sample(s, d)),
-    _SAMPLE + ", m AS (" + _tokens("[A-Za-z][A-Za-z-]{4,}") + " FROM sample), h AS (SELECT lower(trim(match, '-')) AS f FROM m), t AS (SELECT replace(f, '-', '') AS k, f FROM h WHERE length(replace(f, '-', '')) >= 5)" + _FAMILY + " AND min(n) >= 2 AND bool_or(contains(f, '-'))",
+    _SAMPLE + ", m AS (" + _placed("[A-Za-z][A-Za-z-]{4,}", "sample") + "), h AS (SELECT lower(trim(match, '-')) AS f, used FROM m), t AS (SELECT replace(f, '-', '') AS k, f, used FROM h WHERE length(replace(f, '-', '')) >= 5)" + _FAMILY + " AND min(n) >= 2 AND bool_or(contains(f, '-'))",
 )
 R.add(
     "repeated_lines", lambda s, d: T.repeated_lines(lines(s, d)),
@@ -205,7 +209,7 @@ def _whole(name: str, query, sql: str) -> None:
     R.add(f"{name}_documents", lambda s, d: query(lines(s, d)), _LINES + sql)
 
 
-_whole("hyphen_families", T.hyphen_families, ", m AS (" + _tokens("[A-Za-z][A-Za-z-]{4,}") + " FROM lines), h AS (SELECT lower(trim(match, '-')) AS f FROM m), t AS (SELECT replace(f, '-', '') AS k, f FROM h WHERE length(replace(f, '-', '')) >= 5)" + _FAMILY + " AND min(n) >= 2 AND bool_or(contains(f, '-'))")
+_whole("hyphen_families", T.hyphen_families, ", m AS (" + _placed("[A-Za-z][A-Za-z-]{4,}", "lines") + "), h AS (SELECT lower(trim(match, '-')) AS f, used FROM m), t AS (SELECT replace(f, '-', '') AS k, f, used FROM h WHERE length(replace(f, '-', '')) >= 5)" + _FAMILY + " AND min(n) >= 2 AND bool_or(contains(f, '-'))")
 _whole(
     "claim_strength", lambda x: T.claim_strength(x, _HEDGES, _ABSOLUTES).select("doc_id", "line", F.col("n_hedge").cast("long").alias("n_hedge"), F.col("n_absolute").cast("long").alias("n_absolute")),
     f"SELECT * FROM (SELECT doc_id, line, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_HEDGES)})\\b')) AS n_hedge, len(regexp_extract_all(lower(raw), '\\b({'|'.join(_ABSOLUTES)})\\b')) AS n_absolute FROM lines) WHERE n_hedge > 0 OR n_absolute > 0",
