@@ -15,6 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def select_from(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """Rows of an SQL text that DuckDB reads too, over the named tables."""
+    text = text.replace("{", "{{").replace("}", "}}")
     for n in names:
         text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
