@@ -6,6 +6,7 @@ from __future__ import annotations
 from inkmill.operators import contacts as K
 from inkmill.plans.base import Registry, select_from
 from inkmill.plans.paper_queries import _quoted, like
+from inkmill.sources.tables import AFTER_QUOTE, CLOSED_ROW, CLOSES_QUOTE, MARKER, PROMPT, dump_blocks
 
 R = Registry()
 
@@ -45,4 +46,15 @@ R.add(
     k AS (SELECT * FROM r WHERE p IS NOT NULL AND n >= 5), f AS (SELECT doc_id, coalesce(stated, count(*))::BIGINT AS family FROM k JOIN stated USING (doc_id) GROUP BY doc_id, stated HAVING count(*) >= 5)
     SELECT doc_id, line, n, p, family FROM k JOIN f USING (doc_id) WHERE p < family * 2 / pow(2.0, n) - greatest(1e-12, family * 2 / pow(2.0, n) * 0.02)""",
 )
+_LISTING = """SELECT CAST(o_custkey % 500 AS BIGINT) AS doc_id, CAST(o_orderkey AS BIGINT) AS line, CASE CAST((o_orderkey + o_custkey % 5) % 9 AS INT) WHEN 0 THEN ' ==> round' || CAST(o_custkey % 4 AS STRING) || '.csv <==' WHEN 1 THEN 'member,opponent_id,reason'
+ WHEN 2 THEN 'v1, "open ' || o_orderpriority WHEN 3 THEN o_orderpriority || '",v2' WHEN 4 THEN '' WHEN 5 THEN 'prompt$' WHEN 6 THEN '"q""q", 5,a"b' WHEN 7 THEN '"a"",' ELSE 'v3,"x",' || CAST(o_orderkey AS STRING) END AS raw FROM orders"""
+R.add(
+    "dump_blocks", lambda s, d: dump_blocks(select_from(s, d, _LISTING, "orders")).select("doc_id", "path", "block", "nth", "raw"),
+    f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n, {like(MARKER, 'raw')} AS marker, CASE WHEN {like(CLOSED_ROW, 'raw')} THEN 0 ELSE 1 END AS outside, regexp_extract(raw, {_quoted(AFTER_QUOTE)}, 1) AS rest FROM ({_LISTING})),
+    e AS (SELECT *, CASE WHEN NOT {like(CLOSES_QUOTE, 'raw')} THEN 1 WHEN NOT contains(rest, ',') THEN 0 WHEN {like(CLOSED_ROW, "regexp_extract(rest, '^[^,]*,(.*)$', 1)")} THEN 0 ELSE 1 END AS inside FROM l),
+    w AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, 2 AS before, 2 AS after FROM l UNION ALL SELECT e.doc_id, e.n, w.after, CASE WHEN w.after = 1 THEN inside WHEN marker THEN 0 WHEN w.after = 0 THEN outside ELSE 2 END FROM w JOIN e ON e.doc_id = w.doc_id AND e.n = w.n + 1),
+    h AS (SELECT e.doc_id, e.line, raw, before, CASE WHEN before <> 1 AND marker THEN regexp_extract(raw, {_quoted(MARKER)}, 1) END AS head FROM e JOIN w USING (doc_id, n)),
+    p AS (SELECT *, last_value(head IGNORE NULLS) OVER o AS path, count(head) OVER o AS block FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY line))
+    SELECT doc_id, path, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY line)::INT AS nth, raw FROM p WHERE path IS NOT NULL AND head IS NULL AND (before = 1 OR (trim(raw) <> '' AND NOT (NOT contains(raw, ',') AND {like(PROMPT, 'raw')})))""",
+)
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -9,23 +9,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkmill.operators.regions import states
+
 SCORES = T.StructType([T.StructField(c, T.StringType()) for c in (
     "round", "member", "opponent_id", "credited", "score_as_written", "direction", "opponent_label", "sheet_target",
     "source_judge_run", "source_judge_index", "basis", "resolved", "introduced", "reason",
 )])
 
 
+#: Score files by name, and any CSV file.
+NAMED_SCORES = "*[rR][oO][uU][nN][dD][0-9]*_[rR][aA][wW]_[sS][cC][oO][rR][eE][sS].[cC][sS][vV]"
+ANY_CSV = "*.[cC][sS][vV]"
+
+
+def score_files(spark: SparkSession, folder: str) -> str:
+    """Which files of a folder are read: those named round<N>_raw_scores.csv, else all CSV files."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", NAMED_SCORES).load(folder).select("path")
+    return ANY_CSV if listed.isEmpty() else NAMED_SCORES
+
+
 def read_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """round<N>_raw_scores.csv files under a folder, quoted line breaks kept, faults raised.
+    """The score files under a folder (see `score_files`), quoted line breaks kept, faults raised.
 
     `ord` is the path, then the row: a file with quoted line breaks is read by one task, so its rows
     keep their order, and how files are dealt to tasks makes no difference.
     """
     rows = spark.read.schema(SCORES).csv(
-        folder, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", pathGlobFilter="round*_raw_scores.csv", recursiveFileLookup=True, enforceSchema=False
+        folder, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", pathGlobFilter=score_files(spark, folder), recursiveFileLookup=True, enforceSchema=False
     )
     path = F.col("_metadata.file_path")
-    named = F.nullif(F.regexp_extract(path, r"round(\d+)", 1), F.lit(""))
+    named = F.nullif(F.regexp_extract(path, r"(?i)round(\d+)", 1), F.lit(""))
     return rows.select(
         F.coalesce(F.nullif(F.trim("round"), F.lit("")), named, F.lit("1")).alias("round"), "member", F.col("opponent_id").alias("opponent"), "credited", "score_as_written", "direction",
         F.col("source_judge_run").alias("judge"), F.col("source_judge_index").alias("judge_index"), F.col("sheet_target").alias("sheet"), path.alias("path"),
@@ -33,14 +46,33 @@ def read_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: A field of a row, and a row all of whose quotes are closed. A quote opens only where a field starts.
+_FIELD = r'(?: *"[^"]*(?:""[^"]*)*"(?:[^",][^,]*)?| *[^", ][^,]*| *)'
+CLOSED_ROW = rf"^{_FIELD}(?:,{_FIELD})*$"
+CLOSES_QUOTE = r'^[^"]*(?:""[^"]*)*"(?:$|[^"])'
+AFTER_QUOTE = r'^[^"]*(?:""[^"]*)*"((?:$|[^"]).*)$'
+MARKER, PROMPT = r"^\s*==> (.+) <==\s*$", r"^\(base\) |\$$"
+
+
 def dump_blocks(lines: DataFrame) -> DataFrame:
-    """Blocks of a `==> path <==` listing: path, line within the block, raw. lines: doc_id, line, raw."""
-    mark = F.regexp_extract("raw", r"^==> (.+) <==$", 1)
+    """Blocks of a `==> path <==` listing: doc_id, path, block, nth (from 1), raw. lines: doc_id, line, raw.
+
+    A marker inside an open quotation is text. Outside quotations blank lines go, and so do lines without
+    a comma that are a shell's prompt. What comes before a document's first marker is left out.
+    """
+    raw = F.coalesce("raw", F.lit(""))
+    rest = F.regexp_extract(raw, AFTER_QUOTE, 1)
+    # 0 between fields' quotations, 1 inside one, 2 before the first marker
+    outside = F.when(raw.rlike(CLOSED_ROW), 0).otherwise(1)
+    inside = F.when(~raw.rlike(CLOSES_QUOTE), 1).when(~rest.contains(","), 0).when(F.regexp_extract(rest, "^[^,]*,(.*)$", 1).rlike(CLOSED_ROW), 0).otherwise(1)
+    before = F.when(raw.rlike(MARKER), 0).otherwise(2)
+    rows = states(lines.select("doc_id", "line", raw.alias("raw")), F.array(F.when(raw.rlike(MARKER), 0).otherwise(outside), inside, before), start=2)
+    head = F.when((F.col("before") != 1) & F.col("raw").rlike(MARKER), F.regexp_extract("raw", MARKER, 1))
     order = Window.partitionBy("doc_id").orderBy("line")
-    rows = lines.withColumn("head", F.nullif(mark, F.lit(""))).withColumn("path", F.last("head", ignorenulls=True).over(order))
-    rows = rows.withColumn("block", F.count("head").over(order)).where("path IS NOT NULL AND head IS NULL")
-    inside = Window.partitionBy("doc_id", "block").orderBy("line")
-    return rows.select("doc_id", "path", "block", F.row_number().over(inside).alias("nth"), "raw")
+    rows = rows.withColumn("head", head).withColumn("path", F.last("head", ignorenulls=True).over(order)).withColumn("block", F.count("head").over(order))
+    text = (F.col("before") == 1) | ((F.trim("raw") != "") & ~(~F.contains("raw", F.lit(",")) & F.col("raw").rlike(PROMPT)))
+    rows = rows.where(F.col("path").isNotNull() & F.col("head").isNull() & text)
+    return rows.select("doc_id", "path", "block", F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("line")).alias("nth"), "raw")
 
 
 def dumps(lines: DataFrame) -> DataFrame:

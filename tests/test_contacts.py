@@ -18,3 +18,17 @@ def test_floor_of_adjusted_p(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)] + [(2, i, t) for i, t in enumerate(rows[1:])] + [(3, i, t) for i, t in enumerate([*rows[:3], "family of 19"])], "doc_id long, line long, raw string")
     assert [(r.doc_id, r.line, r.family) for r in K.floor_violations(df).orderBy("line").collect()] == [(1, 4, 6)]
     assert [r[0] for r in spark.createDataFrame([("1.8x10-3",), ("5 \\times 10^{−2}",), ("1e-3",), ("0.5",), ("x",)], "t string").select(K.printed_p(F.col("t"))).collect()] == [0.0018, 0.05, 0.001, 0.5, None]
+
+
+def test_listings_know_quotes(spark, tmp_path):
+    from inkmill.sources import tables
+
+    text = ["junk", '"open', "==> a.csv <==", "m,o", "", '1,"two', "==> not.csv <==", "", 'three",4', '5," x""y", z"', "(base) $ head", "==> b.csv <==", 'p, "q"', None, '"r"s,"t'] + ["==> still text <=="]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc_id long, line long, raw string")
+    got = [(r.path, r.block, r.nth, r.raw) for r in tables.dump_blocks(df).orderBy("block", "nth").collect()]
+    assert got == [("a.csv", 1, i, t) for i, t in enumerate(["m,o", '1,"two', "==> not.csv <==", "", 'three",4', '5," x""y", z"'], 1)] + [("b.csv", 2, i, t) for i, t in enumerate(['p, "q"', '"r"s,"t', "==> still text <=="], 1)]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "other.CSV").write_text("member,opponent_id\na,b\n")
+    assert tables.score_files(spark, str(tmp_path)) == tables.ANY_CSV
+    (tmp_path / "sub" / "Round12_raw_scores.csv").write_text("x")
+    assert tables.score_files(spark, str(tmp_path)) == tables.NAMED_SCORES
