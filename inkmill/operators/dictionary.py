@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.scalars import let
 
-PART_BYTES = 1 << 24
+#: An automaton takes some 50 bytes a character.
+PART_BYTES = 1 << 21
 
 #: Dashes that may stand for a space, words a long form doesn't start with.
 DASHES = "-‐‑‒–—"
@@ -112,6 +113,51 @@ def dictionary_hits(lines: DataFrame, terms: DataFrame, loose: bool = False, par
     return out
 
 
+def _held(phrases, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        keys: dict[str, list[int]] = {}
+        for i, (_, phrase) in enumerate(phrases.value):
+            keys.setdefault(phrase, []).append(i)
+        empty = keys.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for phrase, members in keys.items():
+            automaton.add_word(phrase, members)
+        if keys:
+            automaton.make_automaton()
+        for batch in batches:
+            row, found = [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                if text is not None:
+                    some = {i for _, members in automaton.iter(text) for i in members} if keys else set()
+                    for i in sorted(some.union(empty)):
+                        row.append(n), found.append(phrases.value[i][0])
+            ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, kind)], ["doc_id", "key"])
+
+    return run
+
+
+def phrases_in(texts: DataFrame, phrases: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, key: which texts (doc_id, text) hold which phrases (key, phrase), character by character.
+
+    A text gives one row for each row of phrases that it holds. The empty phrase is in every text that is
+    not null; null phrases and null texts give no rows.
+    """
+    spark = texts.sparkSession
+    rows, known = texts.select("doc_id", "text"), phrases.select("key", "phrase").where(F.col("phrase").isNotNull())
+    kind = known.limit(0).toArrow().schema.field("key").type
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key {known.schema['key'].dataType.simpleString()}"
+    parts, out = max(1, -(-(known.agg(F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()[0]) // part_bytes)), None
+    for p in range(parts):
+        some = known.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == p).orderBy("key", "phrase").collect()
+        if some:
+            hits = rows.mapInArrow(_held(spark.sparkContext.broadcast([tuple(r) for r in some]), kind), schema)
+            out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
 def longest_hits(hits: DataFrame) -> DataFrame:
     """Hits that don't overlap: from the left, of those that start at one place the longest, and what
     starts inside one that is taken goes. Of equal spans the least variant stays."""

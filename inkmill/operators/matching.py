@@ -72,17 +72,37 @@ def changed_ids(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(after.distinct().join(before, ["kind", "value"], "left_anti").withColumn("change", F.lit("added")))
 
 
+#: Ranges of ids into which the rows of one key are cut.
+RANGES = 256
+
+
+def places(rows: DataFrame, keys: list[str], lo: int, width: float) -> DataFrame:
+    """rows with `place`, from 1 in order of id among the rows of equal keys; rows with a null key go.
+
+    Ids are cut into ranges: rows are counted by key and range, these counts (RANGES a key at most) are
+    added up, and rows are ranked inside their range only, so no task ranks all rows of a frequent key.
+    """
+    sound = rows.dropna(subset=keys).withColumn("range", F.floor((F.col("id") - F.lit(lo)) / F.lit(width)).cast("long"))
+    counts = sound.groupBy(*keys, "range").agg(F.count("*").alias("held"))
+    so_far = F.sum("held").over(Window.partitionBy(*keys).orderBy("range"))
+    before = counts.select(*keys, "range", (so_far - F.col("held")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("id"))
+    return sound.withColumn("inside", inside).join(before, [*keys, "range"]).withColumn("place", F.col("before") + F.col("inside")).drop("range", "inside", "before")
+
+
 def three_tier_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """One-to-one pairs by (name, digest), then name, then digest; each tier in order of id.
 
-    left, right: id, name, digest. Returns left_id, right_id, tier; rows without a partner have nulls.
+    left, right: id (a whole number), name, digest. Returns left_id, right_id, tier; rows without a
+    partner have nulls.
     """
-    pairs = None
+    ends = left.select("id").unionByName(right.select("id")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    lo, pairs = ends["lo"] or 0, None
+    width = max(1, ((ends["hi"] or 0) - lo + 1) / RANGES)
     for tier, keys in enumerate((["name", "digest"], ["name"], ["digest"]), 1):
-        order = Window.partitionBy(*keys).orderBy("id")
-        a = left.select(F.col("id").alias("left_id"), *keys, F.row_number().over(order).alias("rn"))
-        b = right.select(F.col("id").alias("right_id"), *keys, F.row_number().over(order).alias("rn"))
-        found = a.join(b, [*keys, "rn"]).select("left_id", "right_id", F.lit(tier).alias("tier"))
+        a = places(left, keys, lo, width).select(F.col("id").alias("left_id"), *keys, "place")
+        b = places(right, keys, lo, width).select(F.col("id").alias("right_id"), *keys, "place")
+        found = settled(a.join(b, [*keys, "place"]).select("left_id", "right_id", F.lit(tier).alias("tier")))
         pairs = found if pairs is None else pairs.unionByName(found)
         left = left.join(found, left["id"] == found["left_id"], "left_anti")
         right = right.join(found, right["id"] == found["right_id"], "left_anti")

@@ -60,3 +60,13 @@ def test_long_form_candidates(spark):
     got = [[" ".join(w) for w in r[0]] for r in df.select(D.long_form_candidates(F.col("t"))).collect()]
     want = [["copy-number"], ["direct nuclear tagmentation see", "nuclear tagmentation see", "tagmentation see"], [], [], [], ["Blue blue rings blue rings", "blue rings blue rings", "rings blue rings", "blue rings"]]
     assert got == want
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 21, 3])
+def test_phrases_in_texts(spark, part_bytes):
+    texts, phrases = ["", "a b", "ab\nab c", "é€", None, "a b"], ["a", "ab", "ab\nab", "", None, "é", "zz", "a"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    sought = spark.createDataFrame(list(enumerate(phrases)), "key int, phrase string")
+    got = sorted(map(tuple, D.phrases_in(df, sought, part_bytes).collect()))
+    assert got == [(i, k) for i, t in enumerate(texts) for k, p in enumerate(phrases) if t is not None and p is not None and p in t]
+    assert D.phrases_in(df, sought.limit(0)).count() == 0
