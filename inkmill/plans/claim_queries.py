@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkmill.operators import claims as C
 from inkmill.operators import fixed
+from inkmill.operators import reported as V
 from inkmill.operators import scores as S
 from inkmill.operators import text as T
 from inkmill.operators.census import census
@@ -160,4 +161,15 @@ R.add(
     "statistics_floor", lambda s, d: table(s, d, "orders").selectExpr("o_orderkey", "CAST(o_orderkey % 20 + 3 AS INT) AS n", "CAST(o_custkey % 19 + 1 AS INT) AS family", "CAST(o_custkey % 97 AS DOUBLE) / 50000 AS p").where(C.below_floor(F.col("p"), F.col("n"), F.col("family"))),
     "WITH r AS (SELECT o_orderkey, (o_orderkey % 20 + 3)::INT AS n, (o_custkey % 19 + 1)::INT AS family, (o_custkey % 97)::DOUBLE / 50000 AS p FROM orders) SELECT * FROM r WHERE n >= 5 AND p < family * 2 / pow(2.0, n) - greatest(1e-12, 0.02 * family * 2 / pow(2.0, n))",
 )
+#: Lines of claims with intervals, explained variance, accessions and versions after them.
+_REPORTED = """raw || ' 95% CI [0.' || CAST(line % 7 AS STRING) || '0, ' || CAST(line % 5 AS STRING) || '.5]; R² = -0.' || CAST(line % 9 AS STRING) || '; AUC was 0.' || CAST(line % 4 + 5 AS STRING)
+ || ', GSE' || CAST(line % 11 AS STRING) || ' by v1.' || CAST(line % 6 AS STRING) || '.0, p = ' || CAST(line % 8 + 1 AS STRING) || ' × 10⁻' || CASE WHEN line % 2 = 0 THEN '³' ELSE '⁸' END"""
+
+
+def reported(s: SparkSession, d: str) -> DataFrame:
+    return V.reported_values(claims(s, d).selectExpr("doc_id", "line", f"{_REPORTED} AS raw"))
+
+
+R.add("reported_values", lambda s, d: V.value_inventory(reported(s, d)))
+R.add("reported_divergence", lambda s, d: V.value_divergence(reported(s, d)))
 QUERIES, ORACLE_SQL = R.queries, R.sql
