@@ -16,7 +16,7 @@ R = Registry()
 
 
 _CITED = "SELECT CAST(o_custkey % 50 AS BIGINT) AS doc_id, 'k' || CAST(o_orderkey % 40 AS STRING) AS key FROM orders"
-_LISTED = "SELECT CAST(p_partkey % 45 AS BIGINT) AS doc_id, 'k' || CAST(p_partkey * 7 % 35 AS STRING) AS key FROM part"
+_LISTED = "SELECT CAST(p_partkey % 45 AS BIGINT) AS doc_id, 'k' || CAST(p_partkey * 7 % 55 AS STRING) AS key FROM part"
 _LISTS = f"WITH cited AS ({_CITED}), listed AS ({_LISTED}) "
 
 
