@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,7 @@ def worker_held(key: tuple | None, make: Callable[[], object] | None = None) ->
     that follow each other don't add up. Without a key it lets go of everything."""
     if key not in _held:
         _held.clear()
+        pa.default_memory_pool().release_unused()
         if key is not None:
             _held[key] = make()
     return _held.get(key)

@@ -52,9 +52,9 @@ SUBSETS = list(combinations(range(PARTS), PARTS - DIFFER))
 #: Share of partitions beyond those that k differences can spoil.
 SLACK = 0.2
 GROWTH = 1.5
-FLUSH = 700_000
+FLUSH = 500_000
 #: Signatures that a partition holds packed, and that it expands at a time.
-HELD, EXPANDED = 2_000_000, 500_000
+HELD, EXPANDED = 2_000_000, 250_000
 #: Least bits of a set's sketch, and of the short one that pairs are sifted by first.
 SKETCH, COARSE = 2048, 256
 #: Ids of texts that are sent to all workers, about 100 bytes each; more are joined by a shuffle.
@@ -137,6 +137,7 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_held(None)
     for batch in batches:
         for words in words_of(batch.column(0), lower=True):
             hashes, bounds = shingle_sets(words)
