@@ -279,3 +279,28 @@ def test_merge_by_location_walks_in_order(spark):
     got = {r.id: r.merged_into for r in M.merge_by_location(df).collect()}
     assert got == want and sum(x is not None for x in want.values()) > 10
     assert M.merge_by_location(df.limit(0)).count() == 0
+
+
+def test_near_pairs_stand_for_their_copies(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(160):
+        own = [f"w{j}" for j in range(rng.choice([7, 10, 40]))]
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = f"z{rng.randint(0, 4)}"
+        rows.append((i, rng.choice(["a", "b", None]), rng.choice(["x", None]), rng.choice([1, 2, None]), sorted(set(own)), rng.choice([None, "d", "e"])))
+    rows += [(i % 3 + 200, "a", None, i, [f"w{j}" for j in range(9)], None) for i in range(9)]
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {
+        (a[0], b[0], a[3], round(alike(a[4], b[4]), 9)) for a in rows for b in rows
+        if a[0] < b[0] and a[1] is not None and a[3] is not None and a[1:4] == b[1:4] and (a[5] is None or b[5] is None or a[5] == b[5]) and min(len(a[4]), len(b[4])) >= 7 and alike(a[4], b[4]) >= 0.8
+    }
+    df = spark.createDataFrame(rows, "id long, class string, severity string, line int, words array<string>, document string")
+    got = [(r.id_a, r.id_b, r.line, round(r.similarity, 9)) for r in M.near_defects(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 30
+    copies, pairs = M.near_pairs(df.dropna(subset=["class", "line"]), 0.8)
+    groups = {(r.stands, r.line) for r in copies.collect()}
+    assert len(groups) < copies.count() and {(i, r.line) for r in pairs.collect() for i in (r.id_a, r.id_b)} <= groups
+    assert M.near_defects(df.limit(0)).count() == 0
