@@ -11,6 +11,7 @@ from inkmill.functions import sequential as Q
 from inkmill.functions.scalars import binomial_tail, parse_score
 from inkmill.operators import matching as M
 from inkmill.operators import prose as P
+from inkmill.operators import text as T
 from inkmill.operators.scores import member_stats
 from inkmill.plans import match_queries
 from inkmill.plans.match_queries import contained
@@ -304,3 +305,35 @@ def test_near_pairs_stand_for_their_copies(spark):
     groups = {(r.stands, r.line) for r in copies.collect()}
     assert len(groups) < copies.count() and {(i, r.line) for r in pairs.collect() for i in (r.id_a, r.id_b)} <= groups
     assert M.near_defects(df.limit(0)).count() == 0
+
+
+def test_columns_are_sought_once_for_a_set_of_tokens(spark):
+    said = spark.createDataFrame([(i, [["b", "a", "b"], ["a", "b"], ["c"], ["x"], []][i % 5]) for i in range(40)], "sid long, tokens array<string>")
+    columns = spark.createDataFrame([("t", "one", ["a"]), ("t", "two", ["a", "b"]), ("s", "c", ["c"]), ("r", "a", ["a", "c"]), ("u", "b", ["b"])], "file string, column string, tokens array<string>")
+    found = M.top_producers(said, columns)
+    got = sorted((r.sid, r.place, r.file, r.column, r.score) for r in found.collect())
+    both, one = [(1, "t", "two", 2), (2, "r", "a", 1), (3, "t", "one", 1)], [(1, "r", "a", 1), (2, "s", "c", 1)]
+    assert got == [(i, *x) for i in range(40) for x in (both, both, one, [], [])[i % 5]]
+    assert "hashpartitioning(sid" not in found._jdf.queryExecution().toString()
+
+
+def test_closure_makes_a_pair_once_on_a_chain(spark, monkeypatch):
+    made = []
+
+    def watched(df):
+        made.append(df.count())
+        return settled(df)
+
+    settled = M.settled
+    monkeypatch.setattr(M, "settled", watched)
+    assert M.closure(spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")).count() == 40 + 40 * 41 // 2
+    assert sum(made) == 40 * 41 // 2  # what is written is each pair once
+
+
+def test_repeated_grams_are_counted_in_their_line(spark):
+    raw = ["a b c a b c a b c x", "a b", "", None, "q w e r", "x x x x x", "B b b, b z y z y z y z"]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(raw)], "doc_id long, line int, raw string")
+    found = T.term_repetition(df)
+    got = sorted((r.doc_id, r.place, r.gram, r.n) for r in found.collect())
+    assert got == [(0, 1, "a b c", 3), (0, 2, "b c a", 2), (0, 3, "c a b", 2), (5, 1, "x x x", 3), (6, 1, "y z y", 3), (6, 2, "z y z", 3), (6, 3, "b b b", 2)]
+    assert "Exchange" not in found._jdf.queryExecution().toString()
