@@ -157,6 +157,19 @@ def denials(texts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line", "nth", excerpt.alias("claim"), (start - lo).alias("at"), F.col("d.text").rlike(METHOD_DENIAL).alias("method_only"))
 
 
+def first_copies(claims: DataFrame) -> DataFrame:
+    """The first of a document's equal claims: the later ones have the same sources and give none again.
+
+    line and nth are packed into one decimal, so the least is kept in a hash table and no task sorts its claims.
+    """
+    per_line = F.lit(1 << 31).cast("decimal(10,0)")
+    kind = claims.schema["line"].dataType
+    least = F.min(F.col("line").cast("decimal(20,0)") * per_line + F.col("nth").cast("decimal(10,0)")).alias("first")
+    kept = claims.groupBy("doc_id", "claim", "at", "method_only").agg(least).withColumn("nth", F.pmod("first", per_line).cast("int"))
+    line = F.expr("(first - CAST(nth AS DECIMAL(10, 0))) div 2147483648BD").cast(kind)
+    return kept.select("doc_id", line.alias("line"), "nth", "claim", "at", "method_only")
+
+
 def negative_claims(texts: DataFrame, cells: DataFrame, per_token: int = PER_TOKEN, per_claim: int = PER_CLAIM) -> DataFrame:
     """doc_id, line, nth, token, source, place: denials of what a table holds.
 
@@ -165,7 +178,7 @@ def negative_claims(texts: DataFrame, cells: DataFrame, per_token: int = PER_TOK
     `per_token` of one token and `per_claim` in all at most. A claim that repeats a document's earlier
     one in its first 80 characters doesn't give the same token and source again.
     """
-    claims, tokens = denials(texts), table_tokens(cells)
+    claims, tokens = first_copies(denials(texts)), table_tokens(cells)
     names = tokens.select("token").unionByName(tokens.select(F.explode("context").alias("token"))).distinct()
     sought = claims.select(F.struct("doc_id", "line").alias("doc_id"), F.col("nth").alias("line"), F.col("claim").alias("raw"))
     hits = dictionary_hits(sought, names.select(F.lit("").alias("family"), F.col("token").alias("variant")))
@@ -174,7 +187,8 @@ def negative_claims(texts: DataFrame, cells: DataFrame, per_token: int = PER_TOK
     rows = claims.join(present, ["doc_id", "line", "nth"]).select("*", F.explode("found").alias("f")).where(F.col("f.start") - 1 < F.col("at"))
     rows = rows.select("doc_id", "line", "nth", "claim", "method_only", "present", F.col("f.token").alias("token")).join(tokens, "token").where("tool_like OR NOT method_only")
     rows = rows.withColumn("off_context", (~F.arrays_overlap("context", "present")).cast("int")).withColumn("no_tool", (~F.col("tool_like")).cast("int"))
-    again = Window.partitionBy("doc_id", "token", "source", F.left("claim", F.lit(80))).orderBy("line", "nth")
+    rows = rows.select("doc_id", "line", "nth", "token", "source", "off_context", "no_tool", F.left("claim", F.lit(80)).alias("head"))
+    again = Window.partitionBy("doc_id", "token", "source", "head").orderBy("line", "nth")
     rows = rows.withColumn("copy", F.row_number().over(again)).where("copy = 1")
     order = [F.col(c) for c in ("off_context", "no_tool", "token", "source")]
     claim = ["doc_id", "line", "nth"]

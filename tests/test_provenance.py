@@ -32,3 +32,10 @@ def test_denials_need_the_token_before_them(spark):
     rows = V.negative_claims(spark.createDataFrame(texts, "doc_id long, line long, raw string"), spark.createDataFrame(runs, CELLS))
     got = sorted((r.line, r.place, r.token, r.source[-5:]) for r in rows.collect())
     assert got == [(1, 1, "scyn", "b.csv"), (1, 2, "germ", "b.csv"), (1, 3, "scyn", "a.csv"), (4, 1, "act", "a.csv"), (5, 1, "scyn", "b.csv"), (5, 2, "germ", "b.csv"), (5, 3, "scyn", "a.csv")]
+
+
+def test_equal_claims_of_a_document_stay_once(spark):
+    rows = [(1, 5, 0, "c", 3, False), (1, 2, 1, "c", 3, False), (1, 2, 0, "c", 3, True), (2, 2**40, 7, "c", 3, False), (1, -4, 2, "d", 3, False), (1, 0, 0, "d", 3, False), (None, 1, 0, "c", 3, False)]
+    got = V.first_copies(spark.createDataFrame(rows, "doc_id long, line long, nth int, claim string, at int, method_only boolean"))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, "c", 3, False), (1, 2, 0, "c", 3, True), (2, 2**40, 7, "c", 3, False), (1, -4, 2, "d", 3, False), (None, 1, 0, "c", 3, False)}
+    assert got.schema["line"].dataType.simpleString() == "bigint"
