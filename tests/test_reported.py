@@ -42,3 +42,12 @@ def test_values_of_the_query_lines(spark):
     got = collections.Counter((r.doc_id, r.line, r.label, r.value) for r in Q.reported(spark, "/root/testdata/sf0.001").collect())
     assert got == want and len({k[2] for k in want}) == 9
     assert sum(r.n for r in Q.QUERIES["reported_values"](spark, "/root/testdata/sf0.001").collect()) == sum(want.values())
+
+
+def test_inventory_lists_the_first_places(spark):
+    from inkmill.operators.claims import inventory
+
+    rows = [(d, line, "k", 1.5) for d in (3, 1, 2) for line in (9, 4, 4, 7)] + [(5, 1, "k", None), (None, 2, "m", 2.0), (4, 1, "m", 2.0)]
+    found = spark.createDataFrame(rows, "doc_id long, line int, label string, number double")
+    got = {(r.label, r.number): (r.n, r.n_docs, r.places) for r in inventory(found.where("number IS NOT NULL"), ["label", "number"], 5).collect()}
+    assert got == {("k", 1.5): (12, 3, "1:4 1:7 1:9 2:4 2:7"), ("m", 2.0): (2, 1, "2 4:1")}
