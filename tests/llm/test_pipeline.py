@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import brute
 from tokenizers import Tokenizer
 
@@ -28,3 +32,26 @@ def test_stages(spark, tmp_path):
                 assert r.token_ids == library.encode(before[r.doc_id], add_special_tokens=False).ids
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == COLUMNS
+
+
+HELD = """
+import numpy as np
+from inkmill.llm.common import lean
+
+def held():
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) // 1024
+
+def task(batches):
+    blocks = [np.ones(7500) for _ in range(4000)]
+    yield held()
+    keep.append(np.ones(7500))
+
+keep = []
+(peak,) = lean(task)([])
+print(peak - held())
+"""
+
+
+def test_workers_give_back_what_a_task_held():
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) > 180
