@@ -8,7 +8,7 @@ from inkmill.llm import exact_dedup
 from inkmill.llm.components import components
 from inkmill.llm.embed_dedup import embedding_components
 from inkmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from inkmill.llm.partenum import _signatures, jaccard_components, keep_one_of_each
+from inkmill.llm.partenum import _class_keys, _coarse, _in_cells, _signatures, _sketches, jaccard_components, keep_one_of_each
 from inkmill.llm.substring_dedup import remove_repeats, suffix_order
 from inkmill.llm.textbytes import all_words, shingle_sets
 
@@ -189,3 +189,17 @@ def test_jaccard_of_repeated_rows_one_large_group_and_a_common_line(spark):
     want = brute.jaccard(rows)
     got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows + rows[:5], DOCS).repartition(3)).collect()}
     assert got == want
+
+
+def test_cells_need_only_short_sketches(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.append(base[: 300 - i], rng.integers(0, 1 << 63, i, dtype=np.uint64))) for i in (0, 5, 12)] + [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))]
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    keys = _class_keys(np.concatenate(sets), bounds).tolist()
+    short = [bytearray(_coarse(x, len(s))) for x, s in zip(_sketches(np.concatenate(sets), bounds), sets)]
+    classes = spark.createDataFrame([(k, len(s), c) for k, s, c in zip(keys, sets, short)], "set_key long, n long, coarse binary")
+    large = spark.createDataFrame([(7, k) for k in keys], "group long, set_key long")
+    roots = spark.createDataFrame([], "node long, root long")
+    got = {(r.a, r.b) for r in _in_cells(large, roots, classes, 2, False).collect()}
+    assert got == {tuple(sorted(p)) for p in ((keys[0], keys[1]), (keys[0], keys[2]), (keys[1], keys[2]))}
