@@ -337,3 +337,14 @@ def test_repeated_grams_are_counted_in_their_line(spark):
     got = sorted((r.doc_id, r.place, r.gram, r.n) for r in found.collect())
     assert got == [(0, 1, "a b c", 3), (0, 2, "b c a", 2), (0, 3, "c a b", 2), (5, 1, "x x x", 3), (6, 1, "z y z", 3), (6, 2, "b b b", 2), (6, 3, "y z y", 2)]
     assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
+def test_first_places_are_found_in_a_hash_table(spark):
+    top = 2**63 - 1
+    rows = [(top, 3, 2, "b"), (top, 3, 1, "c"), (-top, 2**31 - 1, 9, "d"), (-top, 2**31 - 1, 10**9 - 1, "e"), (None, 7, 1, "f"), (0, 10, 1, "g"), (0, 9, 5, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, line int, nth int, match string")
+    got = [r.match for r in df.orderBy(T.place_of(df)).collect()]
+    assert got == ["f", "d", "e", "h", "g", "c", "b"]
+    assert df.where(T.place_of(df).isNull()).count() == 0
+    least = df.groupBy("match").agg(F.min(T.place_of(df)))
+    assert "SortAggregate" not in least._jdf.queryExecution().executedPlan().toString()
