@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkmill.llm import bpe, langid, lm_scoring, mixing
 from inkmill.llm.pii import find_pii
@@ -151,3 +154,20 @@ def test_mixture_of_awkward_rows(spark):
     rows = spark.createDataFrame([(1, None, None, None, "x"), (1, None, None, None, "x"), (2, "a b", "s", "en", "y")], "doc_id long, text string, source string, lang string, topic string")
     assert mixing.mixture(rows).count() == 3 and mixing.mixture(rows.limit(0)).count() == 0
     assert mixing.sample_mixture(rows, rate=10**9).columns == rows.columns
+
+
+def test_lm_buckets_are_read_in_stretches():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, 16_000)) for _ in range(80)]
+    table = pa.table({"bucket": pa.array([3] * len(texts), pa.int32()), "id": list(range(len(texts))), "text": texts, "train": [True] * len(texts)})
+    tracemalloc.start()
+    told = lm_scoring._own_counts(4)(table)
+    first = tracemalloc.get_traced_memory()[1]
+    told = told.select(["keys", "counts"]).append_column("kind", pa.array([0] * told.num_rows, pa.int32()))
+    schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])
+    tracemalloc.reset_peak()
+    got = lm_scoring._scores(4, None, 80 * 16_001, 20_001, schema)(table, told)
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("n_known").to_pylist() == [16_001] * 80
+    assert max(first, second) < 80 << 20  # some eight megabytes of text; at once, scoring took 185 MB
