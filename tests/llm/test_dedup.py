@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from inkmill.llm import exact_dedup
+from inkmill.llm import exact_dedup, partenum
 from inkmill.llm.components import components
 from inkmill.llm.embed_dedup import embedding_components
 from inkmill.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
@@ -203,3 +203,25 @@ def test_cells_need_only_short_sketches(spark):
     roots = spark.createDataFrame([], "node long, root long")
     got = {(r.a, r.b) for r in _in_cells(large, roots, classes, 2, False).collect()}
     assert got == {tuple(sorted(p)) for p in ((keys[0], keys[1]), (keys[0], keys[2]), (keys[1], keys[2]))}
+
+
+def test_cells_of_near_copies_give_sets_and_a_forest_not_pairs(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.append(base[10:], rng.integers(0, 1 << 63, 3, dtype=np.uint64))) for _ in range(150)]
+    sets += [np.unique(np.append(base[:40], rng.integers(0, 1 << 63, 60, dtype=np.uint64))) for _ in range(20)]
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    keys = _class_keys(np.concatenate(sets), bounds).tolist()
+    rows = [(k, len(s), bytearray(_coarse(x, len(s))), bytearray(s.tobytes())) for k, x, s in zip(keys, _sketches(np.concatenate(sets), bounds), sets)]
+    classes = spark.createDataFrame(rows, "set_key long, n long, coarse binary, whole binary")
+    large = spark.createDataFrame([(7, k) for k in keys], "group long, set_key long")
+    roots = spark.createDataFrame([(k, keys[0]) for k in keys[1:30]], "node long, root long")
+    near = [r.set_key for r in _in_cells(large, roots, classes, 2, True).collect()]
+    assert len(near) == len(set(near)) and set(keys[:150]) <= set(near)  # one row a set, where pairs were 7,000
+    for block in (1 << 20, 20_000):
+        links = _in_cells(large, roots, classes, 2, True, "whole", block, partenum._cell_links)
+        blocks = -(-sum(8 * len(s) for s in sets) // block)
+        assert links.count() < 170 * blocks
+        joined = {r.node: r.root for r in components(links.union(roots.selectExpr("root", "node"))).collect()}
+        least = min(keys[:150])
+        assert joined == {k: least for k in keys[:150] if k != least}
