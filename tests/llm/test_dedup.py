@@ -225,3 +225,36 @@ def test_cells_of_near_copies_give_sets_and_a_forest_not_pairs(spark):
         joined = {r.node: r.root for r in components(links.union(roots.selectExpr("root", "node"))).collect()}
         least = min(keys[:150])
         assert joined == {k: least for k in keys[:150] if k != least}
+
+
+def test_packed_signatures_take_five_bytes_and_nine_a_set():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n)) for n in (3, 5, 400, 400, 2000)] * 2 + [None, ""]
+    rows = [r for b in partenum._packed(2)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for r in b.to_pylist()]
+    signatures, keys = (sum(len(r[c]) for r in rows) // w for c, w in (("sig", 4), ("keys", 8)))
+    assert sum(len(v) for r in rows for c, v in r.items() if c != "part") <= 5 * signatures + 10 * keys
+    found = set()
+    for r in rows:
+        low, top, at, own = partenum._unpacked(*(pa.py_buffer(r[c]) for c in ("sig", "high", "keys", "counts")))
+        assert (np.diff((top & 127).astype(int)) >= 0).all()
+        found |= {(r["part"], int(h & 127) << 32 | int(x), int(k)) for x, h, k in zip(low, top, own[at])}
+    words = all_words(pa.array(texts[:5]), lower=True)
+    hashes, bounds = partenum.shingle_sets(words)
+    sig, owner, _, _ = _signatures(hashes, bounds)
+    assert found == {((s >> 39) % 2, s & (1 << 39) - 1, k) for s, k in zip(sig.tolist(), _class_keys(hashes, bounds)[owner].tolist())}
+
+
+def test_groups_that_share_sets_deal_each_set_once(spark):
+    near = [(g, k) for g in range(100, 140) for k in range(20) if k != g % 20]  # 40 signatures of 20 near copies
+    far = [(500 + i, k) for i in range(6) for k in (1000 + i, 1001 + i)]  # a chain, longer than its links are wide
+    alone = [(900, 50), (900, 51)]  # of one component
+    large = spark.createDataFrame(near + far + alone, "group long, set_key long")
+    roots = spark.createDataFrame([(51, 50), (19, 18)], "node long, root long")
+    sizes = spark.createDataFrame([(k, 100) for k in {k for _, k in near + far + alone}], "set_key long, bytes long")
+    got = {(r.group, r.set_key) for r in partenum._merged(large, roots, sizes, 2000).collect()}
+    assert {k for g, k in got if g == 0} == set(range(20)) and sum(k < 20 for _, k in got) == 20
+    assert not {50, 51} & {k for _, k in got}
+    got = [(r.group, r.set_key) for r in partenum._merged(large, roots, sizes, 200).collect()]
+    assert len(got) == len(set(got)) and {x for x in got if x[1] >= 1000} == set(far)  # merged cells would ship more
