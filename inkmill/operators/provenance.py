@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import scalars as X
 from inkmill.operators.dictionary import dictionary_hits
+from inkmill.operators.rounds import settled
 
 #: Words that tie nothing, kinds of line that prove nothing, words of another statistic.
 CONTEXT_STOPWORDS = (
@@ -90,27 +91,29 @@ def provenance(numbers: DataFrame, cells: DataFrame) -> DataFrame:
     one written as a citation or superscript, or one whose sentence has no noun in common with column
     and file. A cell also needs the row the sentence names best, if it names any. A sum, min or max
     doesn't prove a sentence that speaks of another statistic, and proves a bare number, one without
-    a sentence.
+    a sentence. The numbers and the nouns of their sentences are settled once, as each step reads them.
     """
     index = value_index(cells)
     text = F.trim(F.coalesce("sentence", F.lit("")))
     number = F.trim(F.coalesce("number", F.lit("")))
-    key = F.round(X.cell_number(F.regexp_replace(F.regexp_replace(number, "[  \\u00a0\\s]", ""), r"\.$", "")), 6)
+    key = X.let(F.regexp_replace(F.regexp_replace(number, "[  \\u00a0\\s]", ""), r"\.$", ""), lambda n: F.round(X.cell_number(n), 6))
     marked = F.replace(text, number, F.lit("\u0001"))
     cited = marked.rlike(r"\^\s*\x01\s*\^|\[\s*\x01\s*[,\]]|[\[,]\s*\x01\s*\]")
     veto = text.rlike(rf"(?i)\b(?:{'|'.join(ESTIMATORS)})\b")
-    rows = numbers.select("id", "kind", text.alias("text"), key.alias("key"), cited.alias("cited"), veto.alias("veto"), context_tokens(text).alias("tokens"))
-    rows = rows.where(F.col("key").isNotNull() & ~F.lower(F.trim(F.coalesce("kind", F.lit("")))).isin(*UNPROVABLE_KINDS))
+    provable = ~F.lower(F.trim(F.coalesce("kind", F.lit("")))).isin(*UNPROVABLE_KINDS)
+    rows = settled(numbers.where(provable).select("id", key.alias("key"), (text == "").alias("bare"), cited.alias("cited"), veto.alias("veto"), context_tokens(text).alias("tokens")))
+    rows = rows.where("key IS NOT NULL")
+    told = rows.where("NOT bare AND NOT cited")
 
     columns = cells.select("file", "column").distinct()
     terms = columns.select("file", "column", F.explode(F.array_union(context_tokens(F.col("column")), context_tokens(F.col("file")))).alias("token"))
-    spoken = rows.where("text <> '' AND NOT cited").select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    spoken = told.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
     near = spoken.join(terms, "token").select("tokens", "file", "column").distinct()  # the columns a set of nouns speaks of
     best = best_labels(rows, cells).withColumnRenamed("label", "best")
     named = best.select("tokens", "file").distinct().withColumn("named", F.lit(True))
     near = near.join(named, ["tokens", "file"], "left")
 
-    said = rows.where("text <> '' AND NOT cited").select("id", "key", "tokens", "veto").join(near, "tokens")
+    said = told.select("id", "key", "tokens", "veto").join(near, "tokens")
     first = index.groupBy("key", "file", "column", "kind").agg(F.min(F.struct("at", "label")).alias("place"))
     found = said.join(first, ["key", "file", "column"])
     loose = found.where(F.when(F.col("kind") == "cell", F.col("named").isNull()).otherwise(~F.col("veto")))
@@ -120,7 +123,7 @@ def provenance(numbers: DataFrame, cells: DataFrame) -> DataFrame:
     unnamed = said.where("named").join(cell.where("label = ''"), ["key", "file", "column"])  # a row without a name contradicts none
     hits = loose.unionByName(exact.select("id", F.struct("at", "column", F.lit("cell").alias("kind"), F.col("best").alias("label")).alias("hit")))
     hits = hits.unionByName(unnamed.select("id", F.struct("at", "column", F.lit("cell").alias("kind"), "label").alias("hit")))
-    bare = rows.where("text = ''").select("id", "key").join(first.where("kind <> 'cell'"), "key").select("id", F.struct("place.at", "column", "kind", "place.label").alias("hit"))
+    bare = rows.where("bare").select("id", "key").join(first.where("kind <> 'cell'"), "key").select("id", F.struct("place.at", "column", "kind", "place.label").alias("hit"))
     proved = hits.unionByName(bare).groupBy("id").agg(F.min("hit").alias("hit"))
     return numbers.select("id", "number").join(proved, "id", "left").select("id", "number", F.col("hit.at.file").alias("file"), F.col("hit.column").alias("column"), F.col("hit.kind").alias("proof"), F.col("hit.label").alias("label"))
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from inkmill.operators import provenance as V
 
 CELLS = "file string, row int, label string, column string, place int, cell string"
@@ -39,3 +41,17 @@ def test_equal_claims_of_a_document_stay_once(spark):
     got = V.first_copies(spark.createDataFrame(rows, "doc_id long, line long, nth int, claim string, at int, method_only boolean"))
     assert {tuple(r) for r in got.collect()} == {(1, 2, 1, "c", 3, False), (1, 2, 0, "c", 3, True), (2, 2**40, 7, "c", 3, False), (1, -4, 2, "d", 3, False), (None, 1, 0, "c", 3, False)}
     assert got.schema["line"].dataType.simpleString() == "bigint"
+
+
+def test_sentences_are_read_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def said(text):
+        calls.add(1)
+        return text
+
+    cells = spark.createDataFrame([("sizes.csv", i, n, "Size", 1, str(i)) for i, n in enumerate(("red bolt", "blue bolt", "old ring"))], CELLS)
+    numbers = spark.createDataFrame([(i, str(i % 4), "body", f"The size of the {c} was {i % 4}") for i, c in enumerate(("red bolt", "blue bolt", "ring", "hat") * 3)], "id long, number string, kind string, sentence string")
+    got = V.provenance(numbers.withColumn("sentence", F.udf(said, "string")("sentence")), cells).where("proof = 'cell'").select("id", "label").collect()
+    assert {r.id: r.label for r in got} == {i: ("red bolt", "blue bolt", "old ring")[i % 4] for i in range(12) if i % 4 < 3}
+    assert calls.value == 12
