@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.operators.prose import sentence_rows
+from inkmill.operators.rounds import settled
 
 #: Shapes of a sentence and the rule each belongs to, in the order of the report.
 SHAPES = (
@@ -42,7 +43,8 @@ def described_above(lines: DataFrame, masked: Column | None = None) -> DataFrame
     """doc_id, line, nth, term: mentions `the X described above` with no X before them in their document.
 
     nth is the place of X among the line's words and signs. X counts as used where it stands as a word
-    or as whole parts of a word with hyphens. Masked lines hold no mention, but their words count.
+    or as whole parts of a word with hyphens. Masked lines hold no mention, but their words count. Mentions
+    are few and settled once; a word crosses the network only if it may be a term of its document.
     """
     rows = lines.select("doc_id", "line", "raw", (F.coalesce(masked, F.lit(False)) if masked is not None else F.lit(False)).alias("masked"))
     hint = rows.where(~F.col("masked") & F.col("raw").rlike(r"(?i)\bthe\s+[a-z][a-z-]{3,}\s+described\s+above\b"))
@@ -51,11 +53,28 @@ def described_above(lines: DataFrame, masked: Column | None = None) -> DataFrame
         F.element_at("w", i - 1).rlike("(?:^|-)the$") & F.element_at("w", i).rlike("^[a-z][a-z-]{3,}$") & (F.element_at("w", i + 1) == "described") & F.element_at("w", i + 2).rlike("^above(?:-|$)")
     ))
     said = words.where(F.size("w") >= 4).select("doc_id", "line", "w", F.explode(place).alias("nth")).select("doc_id", "line", "nth", F.element_at("w", F.col("nth")).alias("term"))
+    said = settled(said)
     docs = said.select("doc_id", "term").distinct()
-    every = rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "line", F.posexplode(word_runs(F.col("raw"))).alias("at", "word"))
-    parts = F.split("word", "-", -1)
+    sought = docs.groupBy("doc_id").agg(F.bit_or(term_bit("term")).alias("sought"))
+    every = rows.join(sought, "doc_id").select("doc_id", "line", "sought", F.posexplode(word_runs(F.col("raw"))).alias("at", "word"))
+    return late_mentions(said, docs, terms_sought(every))
+
+
+def term_bit(term: str) -> Column:
+    return F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({term}), 64) AS INT))")
+
+
+def terms_sought(words: DataFrame) -> DataFrame:
+    """doc_id, line, at, term: words, and whole parts of words with hyphens, whose bit is among those sought
+    in their document. A term has four letters at least."""
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.transform(F.sequence(F.lit(1), F.size("p") - i + 1), lambda n: F.array_join(F.slice(F.col("p"), i, n), "-"))))
-    every = every.withColumn("p", parts).select("doc_id", "line", "at", F.explode(F.array_distinct(spans)).alias("term"))
+    long_ = words.where(F.length("word") >= 4).withColumn("p", F.split("word", "-", -1))
+    each = F.when(F.contains("word", F.lit("-")), F.array_distinct(spans)).otherwise(F.array("word"))
+    return long_.select("doc_id", "line", "at", "sought", F.explode(each).alias("term")).where(F.col("sought").bitwiseAND(term_bit("term")) != 0).drop("sought")
+
+
+def late_mentions(said: DataFrame, docs: DataFrame, every: DataFrame) -> DataFrame:
+    """The mentions that no use of their term precedes."""
     first = every.join(docs, ["doc_id", "term"], "left_semi").groupBy("doc_id", "term").agg(F.min(F.struct("line", (F.col("at") + 1).alias("nth"))).alias("first"))
     late = said.join(first, ["doc_id", "term"], "left").where(F.col("first").isNull() | (F.struct("line", "nth") <= F.col("first")))
     return late.select("doc_id", "line", "nth", "term")

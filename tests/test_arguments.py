@@ -1,6 +1,7 @@
 import re
 
 from inkmill.operators import counts as N
+from inkmill.operators import logic as A
 from inkmill.operators.counts import spelled_counts
 from inkmill.operators.logic import logic_rows
 from inkmill.plans import argument_queries as Q
@@ -85,3 +86,13 @@ def test_logic(spark):
     got = sorted((r.line, r.place, r.evidence[:24]) for r in logic_rows(df, df["hide"]).collect())
     assert got == [(1, 11, "We therefore stop."), (5, 11, "We therefore go. The bol"), (5, 12, "bold-claim"), (7, 12, "late"), (9, 4 - 1, "They will be flagged as ")]
     assert logic_rows(df.limit(0)).count() == 0
+
+
+def test_words_that_no_mention_seeks_stay_where_they_are(spark):
+    said = [(1, 1, "A well-known-lattice grew"), (1, 2, "the lattice described above, the gizmo described above"), (2, 1, "the gadget described above"), (2, 2, "Gadget"), (3, 1, "lattice")]
+    lines = spark.createDataFrame(said, "doc_id long, line long, raw string")
+    assert {(r.doc_id, r.line, r.nth, r.term) for r in A.described_above(lines).collect()} == {(1, 2, 7, "gizmo"), (2, 1, 2, "gadget")}
+    words = [(1, 1, 0, f"word{i}") for i in range(640)] + [(1, 1, 700, "well-known-lattice"), (1, 1, 701, "the")]
+    bit = A.term_bit("'lattice'")
+    got = [r.term for r in A.terms_sought(spark.createDataFrame(words, "doc_id long, line long, at int, word string").withColumn("sought", bit)).collect()]
+    assert "lattice" in got and len(got) < 40
